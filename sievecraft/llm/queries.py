@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, url_filter
+from . import exact_dedup, secret_scan, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {**url_filter.SQL, **secret_scan.SQL, **exact_dedup.SQL}
+SQL = {**toxicity.SQL, **url_filter.SQL, **secret_scan.SQL, **exact_dedup.SQL}
