@@ -9,9 +9,11 @@ sequence and offset, and is applied to all pieces in parallel.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,11 +38,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks(path: str) -> tuple[dict[bytes, int], str] | None:
+    """(token bytes -> id, split pattern) of a byte-level BPE file whose merges come in the order of their ids; else None."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    model, pre = data["model"], data.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not data.get("normalizer") and not model.get("ignore_merges")
+    if not plain:
+        return None
+    # printable stand-ins of bytes: those that are printable themselves, the others from 256 on
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(c): c for c in own} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in own)}
+    special = {t["content"] for t in data.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(merged) + 256 != len(ranks):
+        return None
+    return ranks, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteBpe:
-    """ids of whole texts, with a bounded memory of space-led pieces.
+    """ids of whole texts as the tokenizers library gives them, with a bounded memory of space-led pieces.
 
     The byte-level pattern never joins a non-space character with a space behind it, so a text may be cut before
     every space that follows a non-space and its pieces encoded on their own. Other texts are encoded whole.
+    Where the file's merges come in the order of their ids, tiktoken gives the same ids from the same file faster.
     """
 
     SPACES = re.compile(r"\s ")
@@ -49,25 +71,36 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+        path = tokenizer_path(name)
+        if got := byte_ranks(path):
+            import tiktoken
+
+            self._ids = tiktoken.Encoding(name, pat_str=got[1], mergeable_ranks=got[0], special_tokens={}).encode_ordinary
+        else:
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+            self._ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, text: str) -> bytes:
+        return array("I", self._ids(text)).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        got = self._encode(f" {piece}")
+        if len(piece) <= self.longest:
+            self.cache[piece] = got
+        return got
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.SPACES.search(text):
+            return self._encode(text)
         if len(self.cache) > self.most:
             self.cache.clear()
-        cut_up = [None if self.SPACES.search(t) else t.split(" ") for t in texts]
-        new = {p for pieces in cut_up if pieces for p in pieces[1:]} - self.cache.keys()
-        fresh = dict(zip(new, self._encode([f" {p}" for p in new])))
-        self.cache.update((p, b) for p, b in fresh.items() if len(p) <= self.longest)
-        heads = self._encode([t if pieces is None else pieces[0] for t, pieces in zip(texts, cut_up)])
-        known = self.cache
-        return [h if pieces is None else h + b"".join([known[p] if p in known else fresh[p] for p in pieces[1:]]) for h, pieces in zip(heads, cut_up)]
+        head, *pieces = text.split(" ")
+        known, piece = self.cache, self._piece
+        return self._encode(head) + b"".join([known[p] if p in known else piece(p) for p in pieces])
 
 
 def pieces_of(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -78,10 +111,9 @@ def pieces_of(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: i
         end = np.array([SEPARATOR], dtype="<u4").tobytes()
         for b in batches:
             for at in range(0, len(b), 256):
-                ids, texts = b[id_col].iloc[at : at + 256].tolist(), b["__text"].iloc[at : at + 256].tolist()
                 rows = []
-                for doc, got in zip(ids, bpe.encode(texts)):
-                    got += end
+                for doc, text in zip(b[id_col].iloc[at : at + 256].tolist(), b["__text"].iloc[at : at + 256].tolist()):
+                    got = bpe.encode(text) + end
                     n = len(got) // 4
                     first = n - (-(-n // capacity) - 1) * capacity
                     for k, (lo, hi) in enumerate(zip([0, *range(first, n, capacity)], [*range(first, n, capacity), n])):

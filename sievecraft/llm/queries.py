@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, secret_scan, toxicity, url_filter
+from . import exact_dedup, license_scan, packing, secret_scan, sentencepiece_codec, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_secret_scan": secret_scan.op8_secret_scan,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {**toxicity.SQL, **url_filter.SQL, **secret_scan.SQL, **exact_dedup.SQL}
+SQL = {k: v for m in (toxicity, sentencepiece_codec, license_scan, url_filter, secret_scan, packing, exact_dedup) for k, v in m.SQL.items()}
