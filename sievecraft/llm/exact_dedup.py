@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 
-def winners(docs: DataFrame, content: Column, digest: Column, id_col: str = "doc_id", salts: int = 16) -> DataFrame:
-    """(digest, content, keep_id, n): one row per distinct content, with its largest id and number of rows."""
+def winners(docs: DataFrame, content: Column, digest: Column, id_col: str = "doc_id", salts: int = 16, keep: str = "max") -> DataFrame:
+    """(digest, content, keep_id, n): one row per distinct content, with its largest (or smallest) id and number of rows."""
+    best = {"max": F.max, "min": F.min}[keep]
     rows = docs.select(digest.alias("digest"), content.alias("content"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("salt"))
-    salted = rows.groupBy("digest", "salt", "content").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
-    return salted.groupBy("digest", "content").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    salted = rows.groupBy("digest", "salt", "content").agg(best("id").alias("keep_id"), F.count("*").alias("n"))
+    return salted.groupBy("digest", "content").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", salts: int = 16, digest=None, hot_share: int = 1024) -> DataFrame:
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", salts: int = 16, digest=None, hot_share: int = 1024, keep: str = "max") -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256 added (clashing columns replaced).
 
-    Null text counts as empty. Of equal texts the row with the largest id stays; of rows that share that id too
+    Null text counts as empty. Of equal texts the row with the largest id (smallest with ``keep="min"``) stays; of rows that share that id too
     (repeated rows), each is marked kept, as they cannot be told apart. A null id never beats another id; a
     group whose ids are all null has a null keep_id and kept = true. An empty table gives an empty result.
 
@@ -33,14 +34,14 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     content = F.coalesce(F.col(text_col), F.lit(""))
     digest = digest or (lambda c: F.unhex(F.sha2(c, 256)))
-    found = cut(winners(docs, content, digest(content), id_col, salts).select("digest", F.col("keep_id"), "n", F.sha2("content", 256).alias("sha")), "winners")
+    found = cut(winners(docs, content, digest(content), id_col, salts, keep).select("digest", F.col("keep_id"), "n", F.sha2("content", 256).alias("sha")), "winners")
     total = docs.count()
     per = found.groupBy("digest").agg(F.count("*").alias("contents"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
     several = per.where("contents > 1").select("digest")
     rows = docs.select(*[c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]).withColumn("__digest", digest(content)).withColumn("text_sha256", F.sha2(content, 256))
     if not several.isEmpty():
         # the digest asked for collides: compare whole texts
-        full = winners(docs, content, digest(content), id_col, salts)
+        full = winners(docs, content, digest(content), id_col, salts, keep)
         out = rows.withColumn("__content", content).join(full.select(F.col("digest").alias("__digest"), F.col("content").alias("__content"), "keep_id", F.col("n").alias("group_size")), ["__digest", "__content"]).drop("__content")
     else:
         least = max(2, total // hot_share + 1)
