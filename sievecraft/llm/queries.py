@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, license_scan, packing, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filter
+from . import embedding_dedup, exact_dedup, license_scan, ngram_join, packing, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_license_scan": license_scan.op6_license_scan,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {k: v for m in (toxicity, substring_dedup, embedding_dedup, sentencepiece_codec, license_scan, url_filter, secret_scan, packing, exact_dedup) for k, v in m.SQL.items()}
+SQL = {k: v for m in (toxicity, substring_dedup, ngram_join, embedding_dedup, sentencepiece_codec, license_scan, url_filter, secret_scan, packing, exact_dedup) for k, v in m.SQL.items()}

@@ -237,6 +237,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000,
     grammar = Grammar()
     grammar.words, grammar.stems = learn_insults(sample)
     rows = sample.mapInPandas(_features_of(grammar, ["y"]), "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    grammar.coef[0] = -4.0
     if len(rows):
         grammar.coef = fit_logistic(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(dtype=float))
     return grammar
