@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rank as rk
-from ..registry import FEATURES, lines, query, r6
+from ..registry import FEATURES, lines, query, r6, read
 
 C = F.col
 _LONG = "SELECT row_id, label, grp, f.feature, f.value FROM (SELECT *, unnest([" + ", ".join(f"{{'feature': '{f}', 'value': {f}}}" for f in FEATURES) + "]) AS f FROM {lines})"
@@ -123,7 +123,8 @@ def rank_fairness(s, d):
 
 @query("rank_permutation_importance")
 def rank_permutation_importance(s, d):
-    return scored(rk.rank_permutation_importance(lines(s, d), ["quantity", "price"], "label", "row_id"))
+    df = read(s, d, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").alias("day"), (C("o_totalprice") > 250000).cast("int").alias("label"))
+    return scored(rk.rank_permutation_importance(df, ["o_totalprice", "day"], "label", "o_orderkey"))
 
 
 @query("consistency", "SELECT round(sum(CASE WHEN lo = hi THEN n ELSE 0 END) / sum(n), 6) AS consistency FROM (SELECT count(*) AS n, min(label) AS lo, max(label) AS hi FROM {lines} GROUP BY quantity, discount, tax)")
