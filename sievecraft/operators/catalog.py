@@ -35,17 +35,8 @@ def canonical(op: Column, a: Column, b: Column | None = None) -> Column:
     return F.concat(op, F.lit("("), pair, F.lit(")"))
 
 
-def collapse_groups(key: Column) -> Column:
-    """Nested group-by on one key: agg(agg2(x;k);k) -> agg2(x;k), std of it -> 0; min(-x) -> -max(x) and so on; the grouping key ignores scaling, minus, 1/x and log."""
-    inner = r"\((\w+)\(([^;()]+);([^;()]+)\);\3\)$"
-    out = F.regexp_replace(key, r"^(std|var)" + inner, "0")
-    out = F.regexp_replace(out, r"^(mean|min|max|median)" + inner, "$2($3;$4)") if False else F.regexp_replace(out, r"^(?:mean|min|max|median)\((\w+)\(([^;()]+);([^;()]+)\);\3\)$", "$1($2;$3)")
-    out = F.regexp_replace(out, r"^min\(minus\(([^()]+)\);([^;()]+)\)$", "minus(max($1;$2))")
-    out = F.regexp_replace(out, r"^max\(minus\(([^()]+)\);([^;()]+)\)$", "minus(min($1;$2))")
-    return F.regexp_replace(out, r";(?:minus|one_div|scale|impute|log)\(([^()]+)\)\)$", ";$1)")
-
-
 def canonical_groups(key: Column) -> Column:
+    """Rules for group-by forms agg(x;k): nested ones on one key collapse (std of them is 0), min(-x) is -max(x), and the key ignores scaling, minus, 1/x and log."""
     std = F.regexp_replace(key, r"^(?:std|var)\(\w+\([^;()]+;([^;()]+)\);\1\)$", "0")
     out = F.regexp_replace(std, r"^(?:mean|min|max|median)\((\w+)\(([^;()]+);([^;()]+)\);\3\)$", "$1($2;$3)")
     out = F.regexp_replace(out, r"^min\(minus\(([^()]+)\);([^;()]+)\)$", "minus(max($1;$2))")
@@ -144,16 +135,13 @@ def epsilon_prune(scored: DataFrame, epsilon: float) -> DataFrame:
     return parent_gain(scored).where(F.col("op").isin("raw", "one_hot") | (F.col("gain") > epsilon))
 
 
-def predecessor_prune(scored: DataFrame, depth: int = 10) -> DataFrame:
-    """Candidates that score above all their ancestors: the best ancestor's score is carried down level by level."""
+def predecessor_prune(scored: DataFrame) -> DataFrame:
+    """Candidates that score above all their ancestors; the best ancestor's score is carried up level by level of the catalog."""
+    links = scored.select("key", F.explode("parents").alias("parent")).join(scored.select(F.col("key").alias("parent"), F.col("score").alias("ps")), "parent")
     best = scored.select("key", F.lit(None).cast("double").alias("above"))
-    for _ in range(depth):
-        level = scored.select("key", F.explode("parents").alias("parent")).join(scored.select(F.col("key").alias("parent"), "score"), "parent").join(best.select(F.col("key").alias("parent"), F.col("above").alias("pa")), "parent")
-        now = level.groupBy("key").agg(F.max(F.greatest("score", "pa")).alias("above"))
-        best = scored.select("key").join(now, "key", "left")
-        depth -= 1
-        if depth <= 10 - scored.agg(F.max("complexity")).first()[0]:
-            break
+    for _ in range((scored.agg(F.max("complexity")).first()[0] or 1) - 1):
+        up = links.join(best.select(F.col("key").alias("parent"), F.col("above").alias("pa")), "parent")
+        best = scored.select("key").join(up.groupBy("key").agg(F.max(F.greatest("ps", "pa")).alias("above")), "key", "left")
     return scored.join(best, "key").where(F.col("above").isNull() | (F.col("score") > F.col("above"))).drop("above")
 
 

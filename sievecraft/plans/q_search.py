@@ -1 +1,111 @@
-"""Queries."""
+"""Queries over mask-search strategies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rank as rk
+from ..operators import search as se
+from ..operators.evaluate import Constraints
+from ..operators.select import select_k_best
+from ..registry import FEATURES, query, r6
+from .q_evaluate import LIMITS, _LOSS, _MET, MASKS, parts
+
+C = F.col
+
+
+def _search(s, d, limits=LIMITS):
+    train, valid, _ = parts(s, d)
+    return se.Search(train, valid, FEATURES, "label", "grp", limits)
+
+
+def _table(search):
+    return search.table().select("seq", "batch", "mask", "size", *[r6(C(c), c) for c in ("accuracy", "f1", "fairness", "loss")], "satisfied")
+
+
+#: Constraints that no mask meets, so that a strategy goes through all its steps.
+HARD = Constraints(accuracy=0.99, fairness=0.9)
+
+
+def select_features(s, d):
+    """The flagship: profile, rank, search and verify; names of the chosen features with their scores."""
+    train, valid, test = parts(s, d)
+    ranking = rk.rank_chi2(train, FEATURES, "label")
+    best = [r.feature for r in select_k_best(ranking, len(FEATURES)).collect()]
+    names, trials = se.query(train, valid, test, FEATURES, "label", "grp", Constraints(0.5, 0.6, None, 0.75), lambda x: se.ranking_k(x, best))
+    return ranking.withColumn("selected", C("feature").isin(names) if names else F.lit(False))
+
+
+@query("select_features")
+def select_features_query(s, d):
+    return select_features(s, d).select("feature", F.round("score", 4).alias("score"), "selected")
+
+
+def _strategy(name):
+    def run(s, d):
+        search = _search(s, d, HARD)
+        se.STRATEGIES[name](search)
+        return _table(search)
+
+    return run
+
+
+for _name in se.STRATEGIES:
+    if _name != "exhaustive":
+        query(f"strategy_{_name}")(_strategy(_name))
+
+_ALL = _MET.replace(str(MASKS), str(list(range(1, 16))))
+
+
+@query("strategy_exhaustive", _ALL + " SELECT mask::BIGINT AS mask, size::INT AS size, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(fairness, 6) AS fairness, round(pow(greatest(0, 0.99 - accuracy), 2) + pow(greatest(0, 0.9 - fairness), 2), 6) AS loss FROM m")
+def strategy_exhaustive(s, d):
+    search = _search(s, d, HARD)
+    se.exhaustive(search)
+    return _table(search).select("mask", "size", "accuracy", "f1", "fairness", "loss")
+
+
+@query("strategy_ranking_k", _MET.replace(str(MASKS), str([2, 3, 7, 15])) + " SELECT mask::BIGINT AS mask, round(accuracy, 6) AS accuracy, round(fairness, 6) AS fairness FROM m")
+def strategy_ranking_k(s, d):
+    search = _search(s, d, HARD)
+    se.ranking_k(search, ["price", "quantity", "discount", "tax"])
+    return _table(search).select("mask", "accuracy", "fairness")
+
+
+@query("strategy_rfe")
+def strategy_rfe(s, d):
+    search = _search(s, d, HARD)
+    se.rfe(search, lambda names: {r.feature: r.score for r in rk.rank_model_importance(search.train, names, "label", "logistic").collect()})
+    return _table(search)
+
+
+@query("select_k_best_curve", _MET.replace(str(MASKS), str([1, 3, 7, 15])) + " SELECT size::INT AS k, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1 FROM m")
+def select_k_best_curve(s, d):
+    search = _search(s, d, HARD)
+    se.ranking_k(search, FEATURES)
+    return _table(search).select(C("size").alias("k"), "accuracy", "f1")
+
+
+@query("forward_cv")
+def forward_cv(s, d):
+    """Forward selection with accuracy averaged over three folds: each step scores all folds' batches."""
+    from ..registry import lines
+
+    df = lines(s, d).withColumn("fold", C("row_id") % 3)
+    searches = [se.Search(df.where(C("fold") != k), df.where(C("fold") == k), FEATURES, "label", "grp", HARD) for k in range(3)]
+    now, rows = 0, []
+    for _ in FEATURES:
+        masks = [now | 1 << i for i in range(len(FEATURES)) if not (now >> i) & 1]
+        scored = [x.score(masks) for x in searches]
+        mean = {m: sum(fold[i]["accuracy"] for fold in scored) / 3 for i, m in enumerate(masks)}
+        now = min(mean, key=lambda m: (-round(mean[m], 9), m))
+        rows.append((bin(now).count("1"), now, mean[now]))
+    return s.createDataFrame(rows, "size int, mask long, accuracy double")
+
+
+@query("constrained_query")
+def constrained_query(s, d):
+    """Trials of a floating forward search, and whether each mask's names are the answer."""
+    train, valid, test = parts(s, d)
+    names, trials = se.query(train, valid, test, FEATURES, "label", "grp", Constraints(0.6, 0.8, None, 0.5))
+    mask = sum(1 << FEATURES.index(f) for f in names)
+    return trials.withColumn("answer", C("mask") == mask)
