@@ -7,9 +7,9 @@ prefix is extended to the whole set, which is dealt into one more hash class tha
 (and two to spare), so that some class is equal in both; each class's combination of tokens is a key. Documents
 that share a key are candidates, and every link is verified on the whole sets.
 
-Candidates of a key are compared with its smallest document first. Only keys whose documents are then not yet
-one component are gone through further, by comparing documents outside their largest component with all others;
-no key ever gives all its pairs.
+Candidates of a key are compared with its smallest document first. Keys whose documents are then not yet one
+component are gone through further: in their tasks, sketches of the sets (sizes of token classes) rule out nearly
+all pairs of different components, first for the closest pair of two components, then for all that are left.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, table
@@ -34,6 +33,8 @@ SHINGLE, LEAST = 4, 0.85
 FREQUENT = 8
 #: Sizes are rounded up to powers of this ratio to fix the number of classes of a combination index.
 LADDER = 1.5
+#: Token classes whose sizes are a set's sketch: the sketches of linked sets can't differ by more than the sets.
+CLASSES = 128
 _NO_DOC = np.iinfo(np.int64).min
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8")])
 
@@ -121,6 +122,11 @@ def _index_chunk(ids: np.ndarray, sets: list[np.ndarray], keys_of, parts: int, f
     return _blocks(key, doc, parts), flagged
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Sizes of the set's token classes, one byte each (larger ones as 255)."""
+    return np.minimum(np.bincount(((tokens >> np.uint64(40)) % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
 def _long_blob(values: np.ndarray) -> bytes:
     return zstandard.compress(values.astype("<i8").tobytes(), 1)
 
@@ -137,7 +143,8 @@ def deal_prefixes(parts: int, least: float, shingle: int, frequent: int):
             out, flagged = _index_chunk(ids, sets, lambda s: s[: prefix_length(len(s), least)], parts, frequent)
             digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            out.append((turn % parts, 0, "sets", zstandard.compress(ids.tobytes() + sizes.tobytes() + digests, 1)))
+            sketches = b"".join(map(sketch, sets))
+            out.append((turn % parts, 0, "sets", zstandard.compress(ids.tobytes() + sizes.tobytes() + digests + sketches, 1)))
             if len(flagged):
                 out.append((turn % parts, 0, "flagged", _long_blob(flagged)))
             yield pd.DataFrame(out, columns=["part", "sub", "kind", "blob"])
@@ -160,17 +167,17 @@ def deal_combinations(parts: int, least: float, shingle: int, flags: Bits):
 
 
 def gather(frequent: int):
-    """mapInPandas function: sorted blocks -> rows (kind, grp, doc, rep, n, digest): sets, flagged documents, members of keys.
+    """mapInPandas function: sorted blocks -> rows (kind, grp, doc, rep, n, digest, sketch): sets, flagged documents, members of keys.
 
     Keys with the same documents are one group. A key with more than ``frequent`` documents flags them (0: never).
     """
 
-    columns = ["kind", "grp", "doc", "rep", "n", "digest"]
+    columns = ["kind", "grp", "doc", "rep", "n", "digest", "sketch"]
 
-    def frame(kind: str, doc, grp=None, rep=None, n=None, digest=None) -> pd.DataFrame:
+    def frame(kind: str, doc, grp=None, rep=None, n=None, digest=None, sketches=None) -> pd.DataFrame:
         size = len(doc)
         full = lambda x: [None] * size if x is None else x
-        return pd.DataFrame({"kind": [kind] * size, "grp": pd.array(full(grp), dtype="Int64"), "doc": doc, "rep": pd.array(full(rep), dtype="Int64"), "n": pd.array(full(n), dtype="Int64"), "digest": full(digest)}, columns=columns)
+        return pd.DataFrame({"kind": [kind] * size, "grp": pd.array(full(grp), dtype="Int64"), "doc": doc, "rep": pd.array(full(rep), dtype="Int64"), "n": pd.array(full(n), dtype="Int64"), "digest": full(digest), "sketch": full(sketches)}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, now, told, flagged = [], None, set(), set()
@@ -211,8 +218,9 @@ def gather(frequent: int):
             for part, sub, kind, blob in zip(b["part"], b["sub"], b["kind"], b["blob"]):
                 data = zstandard.decompress(blob)
                 if kind == "sets":
-                    n = len(data) // 32
-                    yield frame("set", np.frombuffer(data, "<i8", n), n=np.frombuffer(data, "<i8", n, 8 * n), digest=[data[i : i + 16] for i in range(16 * n, 32 * n, 16)])
+                    n = len(data) // (32 + CLASSES)
+                    sketches = [data[i : i + CLASSES] for i in range(32 * n, len(data), CLASSES)]
+                    yield frame("set", np.frombuffer(data, "<i8", n), n=np.frombuffer(data, "<i8", n, 8 * n), digest=[data[i : i + 16] for i in range(16 * n, 32 * n, 16)], sketches=sketches)
                 elif kind == "flagged":
                     new = set(np.frombuffer(data, "<i8").tolist()) - flagged
                     flagged.update(new)
@@ -228,7 +236,7 @@ def gather(frequent: int):
     return run
 
 
-_GATHERED = "kind string, grp long, doc long, rep long, n long, digest binary"
+_GATHERED = "kind string, grp long, doc long, rep long, n long, digest binary, sketch binary"
 _BLOCKS = "part int, sub int, kind string, blob binary"
 
 
@@ -266,9 +274,110 @@ class Bits:
         return cls(words.view(np.uint8))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are as similar as asked. texts: doc, blob (compressed text)."""
-    right = pairs.distinct().join(texts.select(F.col("doc").alias("b"), F.col("blob").alias("right")), "b")
+def plausible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches don't rule out: linked sets differ in at most (1 - least) / (1 + least) of both sizes' sum."""
+    percent = round(least * 100)
+    right = pairs.distinct().join(sketches.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    both = right.join(sketches.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    near = both.where((F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint8).reshape(len(b), CLASSES).astype(np.int16) for c in ("sa", "sb"))
+                differ = np.abs(x - y).sum(axis=1)
+                yield b.loc[(100 + percent) * differ <= (100 - percent) * (b["na"] + b["nb"]).to_numpy(), ["a", "b"]]
+
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, "a long, b long")
+
+
+def cross_pairs(groups: DataFrame, sketches: DataFrame, least: float, closest: bool, block: int = 2000) -> DataFrame:
+    """Pairs (a, b) of documents that share a group but no component and that sizes and sketches don't rule out.
+
+    groups: grp, doc, comp. Sketches are compared inside tasks, so only pairs that stay possible are ever rows. A group
+    of more than ``block`` documents is dealt into parts, and each two parts meet in a task of their own. With ``closest``,
+    two components of a group give one pair only, that of least distance.
+    """
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, "own").alias("i"), F.greatest(p, "own").alias("j")))
+    dealt = groups.join(sizes, "grp").withColumn("own", own).withColumn("p", F.explode(meets)).select("grp", "p.i", "p.j", "own", "doc", "comp")
+    rows = dealt.join(sketches, "doc").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "doc")
+    percent = round(least * 100)
+
+    def pairs_in(doc, comp, own, size, x, across: bool):
+        found = []
+        for at in range(0, len(doc), 32):
+            end = min(at + 32, len(doc))
+            differ = np.abs(x[at:end, None, :] - x[None, at:, :]).sum(axis=2, dtype=np.int32)
+            total = size[at:end, None] + size[None, at:]
+            ok = ((100 + percent) * differ <= (100 - percent) * total) & (comp[at:end, None] != comp[None, at:])
+            ok &= 100 * np.minimum(size[at:end, None], size[None, at:]) >= percent * np.maximum(size[at:end, None], size[None, at:])
+            if across:
+                ok &= own[at:end, None] != own[None, at:]
+            i, j = np.nonzero(ok)
+            keep = j > i
+            i, j = i[keep], j[keep]
+            found.append((doc[at + i], doc[at + j], comp[at + i], comp[at + j], differ[i, j]))
+        a, b, ca, cb, d = map(np.concatenate, zip(*found))
+        if closest and len(a):
+            lo, hi = np.minimum(ca, cb), np.maximum(ca, cb)
+            order = np.lexsort((d, hi, lo))
+            first = np.r_[True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)]
+            a, b = a[order[first]], b[order[first]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, seen = None, set()
+        for b in _with_end(batches):
+            if b is not None:
+                rest = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            key = rest[["grp", "i", "j"]].to_numpy()
+            starts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, len(rest)]
+            last = len(starts) - 1 if b is None else len(starts) - 2
+            doc, comp, own, size = (rest[c].to_numpy(dtype=np.int64) for c in ("doc", "comp", "own", "n"))
+            x = np.frombuffer(b"".join(rest["sketch"]), dtype=np.uint8).reshape(len(rest), CLASSES).astype(np.int16)
+            out = []
+            for lo, hi in zip(starts[:last], starts[1 : last + 1]):
+                if hi - lo > 1:
+                    p, q = pairs_in(doc[lo:hi], comp[lo:hi], own[lo:hi], size[lo:hi], x[lo:hi], key[lo][1] != key[lo][2])
+                    out += [pq for pq in zip(p.tolist(), q.tolist()) if pq not in seen]
+                    seen.update(out[-len(p) :] if len(p) else ())
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+            rest = rest.iloc[starts[last] :]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.select("grp", "i", "j", "own", "doc", "comp", "n", "sketch").mapInPandas(run, "a long, b long").distinct()
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    """The batches and then None."""
+    yield from batches
+    yield None
+
+
+def texts_of(named: DataFrame, wanted: Bits) -> DataFrame:
+    """(doc, blob): compressed texts of the documents that may be wanted."""
+
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b[wanted.has(b["doc_id"].to_numpy())]
+            yield pd.DataFrame({"doc": b["doc_id"].to_numpy(dtype=np.int64), "blob": [zstandard.compress(t.encode(), 3) for t in b["text"]]})
+
+    return named.mapInPandas(compress, "doc long, blob binary").dropDuplicates(["doc"])
+
+
+def verify(pairs: DataFrame, named: DataFrame, least: float, shingle: int) -> DataFrame | None:
+    """Those pairs (a, b) whose whole sets are as similar as asked; None without pairs. named: doc_id, text."""
+    near = cut(pairs, "near")
+    docs = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if not (n_docs := docs.count()):
+        return None
+    texts = cut(texts_of(named, Bits.of(docs, n_docs)), "texts")
+    right = near.join(texts.select(F.col("doc").alias("b"), F.col("blob").alias("right")), "b")
     both = right.join(texts.select(F.col("doc").alias("a"), F.col("blob").alias("left")), "a")
     percent = round(least * 100)
 
@@ -301,7 +410,7 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> Da
     return both.select("a", "b", "left", "right").mapInPandas(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, frequent: int = FREQUENT, pivots: int = 64, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, frequent: int = FREQUENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per row of ``docs``; clashing columns are no matter, others are left out.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing. A row without an id
@@ -323,40 +432,22 @@ def jaccard_components(docs: DataFrame, least: float = LEAST, shingle: int = SHI
     # documents with equal sets are one from here on: the smallest stands for all
     sets = found.where("kind = 'set'").select("doc", "n", F.hex("digest").alias("digest"))
     sets = cut(exact_dedup(sets.where("n > 0"), "digest", "doc", keep="min").select("doc", "n", F.col("keep_id").alias("rep")).distinct(), "sets")
+    sketches = found.where("kind = 'set' AND n > 0").select("doc", "n", "sketch").dropDuplicates(["doc"])
     members = members.join(sets.select("doc", "rep"), "doc").select("grp", F.col("rep").alias("doc")).distinct()
     # a group is named by its documents, so groups that became equal or single can be told
     sizes = members.groupBy("grp").agg(F.count("*").alias("size"), F.min("doc").alias("rep")).where("size > 1")
     members = cut(members.join(sizes, "grp").select("grp", "doc", "rep"), "members")
-    asked = members.select("doc").distinct()
-    wanted = Bits.of(asked, max(1, asked.count()))
-
-    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b[wanted.has(b["doc_id"].to_numpy())]
-            yield pd.DataFrame({"doc": b["doc_id"].to_numpy(dtype=np.int64), "blob": [zstandard.compress(t.encode(), 3) for t in b["text"]]})
-
-    texts = cut(named.mapInPandas(compress, "doc long, blob binary").dropDuplicates(["doc"]), "texts")
-    links = cut(verify(members.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b")), texts, least, shingle), "links")
+    stars = members.where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    links = verify(plausible(stars, sketches, least), named, least, shingle)
+    links = cut(links if links is not None else stars.limit(0), "links")
     comps = connected_components(links)
-    rest = members.select("grp", "doc")
-    while True:
-        labelled = rest.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("grp", "doc", F.coalesce("comp", "doc").alias("comp"))
+    for closest in (True, False):
+        labelled = members.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("grp", "doc", F.coalesce("comp", "doc").alias("comp"))
         several = labelled.groupBy("grp").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("grp")
-        rest = cut(labelled.join(several, "grp"), "open")
-        if rest.isEmpty():
-            break
-        of_comp = rest.groupBy("grp", "comp").agg(F.count("*").alias("size"))
-        largest = of_comp.groupBy("grp").agg(F.max_by("comp", F.struct("size", -F.col("comp"))).alias("largest"))
-        outside = rest.join(of_comp, ["grp", "comp"]).join(largest, "grp").where("comp <> largest")
-        chosen = outside.withColumn("turn", F.row_number().over(W.partitionBy("grp").orderBy("size", "comp", "doc"))).where(F.col("turn") <= pivots).select("grp", F.col("doc").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        chosen = cut(chosen, "pivots")
-        pairs = rest.join(chosen, "grp").where("comp <> pivot_comp").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        new = cut(verify(pairs, texts, least, shingle), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
+        new = verify(cross_pairs(labelled.join(several, "grp"), sketches, least, closest), named, least, shingle)
+        if new is not None:
+            links = cut(links.unionByName(new), "links")
             comps = connected_components(links)
-        # what has been compared with its whole group is done
-        rest = rest.join(chosen.select("grp", F.col("pivot").alias("doc")), ["grp", "doc"], "left_anti").select("grp", "doc")
     out = sets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")).dropDuplicates(["doc_id"])
     return rows.select("doc_id").join(out, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
