@@ -58,7 +58,12 @@ def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each fixed kind; matches that are too short are dropped after matching."""
-    return {k: F.filter(find_spans(text, p, g), lambda s, n=n: s.len >= n) for k, (p, g, n) in KINDS.items()}
+    return {k: F.filter(find_spans(text, p, g), _at_least(n)) for k, (p, g, n) in KINDS.items()}
+
+
+def _at_least(n: int):
+    # a second parameter, even one with a default, would be the element's index
+    return lambda span: span.len >= n
 
 
 def fit_markov(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -71,9 +76,11 @@ def fit_markov(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     every = max(1, docs.count() // max(1, sample_docs))
     text = F.coalesce(F.col(text_col), F.lit(""))
     sample = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(every)) == 0).select(text.alias("t"))
-    values = [F.filter(F.regexp_extract_all(F.col("t"), F.lit(p), F.lit(g)), lambda v, n=n: F.length(v) >= n) for p, g, n in KINDS.values()]
+    value = lambda p, g, n: F.filter(F.regexp_extract_all(F.col("t"), F.lit(p), F.lit(g)), lambda v: F.length(v) >= n)
+    values = [value(*kind) for kind in KINDS.values()]
     rest = reduce(lambda c, k: F.regexp_replace(c, k[0], " "), KINDS.values(), F.col("t"))
-    words = F.regexp_extract_all(rest, F.lit("[A-Za-z_][A-Za-z0-9_]{5,}"), F.lit(0))
+    # shorter than any candidate, so that what is to be judged never counts as ordinary
+    words = F.regexp_extract_all(rest, F.lit("(?<![A-Za-z0-9+/_=])[A-Za-z_][A-Za-z0-9_]{5,18}(?![A-Za-z0-9+/_=])"), F.lit(0))
     tokens = sample.select(F.explode(F.array(F.struct(F.lit(1).alias("random"), F.concat(*values).alias("v")), F.struct(F.lit(0).alias("random"), words.alias("v")))).alias("x")).select("x.random", F.explode("x.v").alias("v"))
     chars = tokens.select("random", F.split("v", "").alias("c"))
     n = F.size("c") - 1
@@ -84,7 +91,9 @@ def fit_markov(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         counts[r.random, place(r.p[0]), place(r.p[1])] += r["count"]
     rows = counts.sum(axis=2, keepdims=True)
     random = 0.5 * (counts[1] + 0.5) / (rows[1] + 0.5 * SIZE) + 0.5 / SIZE
-    plain = (counts[0] + 0.1) / (rows[0] + 0.1 * SIZE)
+    # ordinary transitions lean on how common the next character is, as most pairs are rare
+    common = (counts[0].sum(axis=0) + 0.1) / (counts[0].sum() + 0.1 * SIZE)
+    plain = (counts[0] + 5 * common) / (rows[0] + 5)
     return np.log(random / plain).reshape(-1)
 
 
@@ -99,7 +108,7 @@ def mean_llr(token: Column, model: np.ndarray) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
 
 
-def secret_scan(docs: DataFrame, model: np.ndarray | None = None, text_col: str = "text", id_col: str = "doc_id", least_llr: float = 1.0) -> DataFrame:
+def secret_scan(docs: DataFrame, model: np.ndarray | None = None, text_col: str = "text", id_col: str = "doc_id", least_llr: float = 3.0) -> DataFrame:
     """``docs`` with ``secrets`` added: array<struct<start, end, kind>> by start, then kind as listed.
 
     Starts are in code points, ends exclusive. The Markov models add tokens of 20 or more characters with a

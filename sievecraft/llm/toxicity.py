@@ -230,8 +230,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Grammar:
     """Learn insults and weights from at most ``sample_rows`` labelled rows (the documented bound of the training sample).
 
-    What reaches the driver is at most 20,000 forms and six sums per sampled row. Without labelled rows, or with
-    one label only, the closed classes remain and every score is that label's share.
+    What reaches the driver is at most 20,000 forms and six sums per sampled row. Without labelled rows every score
+    is 0.02; with one label only, all scores go to that label.
     """
     sample = labelled_sample(docs, labels, sample_rows, text_col, id_col, label_col)
     grammar = Grammar()
