@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ def typed(df: DataFrame, categorical: list[str]) -> DataFrame:
 
 def read_schema_json_csv(spark: SparkSession, path: str, schema_json: str) -> DataFrame:
     """A CSV without inference: the schema is Spark's JSON form; the target column is named target."""
-    return spark.read.option("header", True).schema(T.StructType.fromJson(__import__("json").loads(schema_json))).csv(path)
+    return spark.read.option("header", True).schema(T.StructType.fromJson(json.loads(schema_json))).csv(path)
 
 
 _ATTRIBUTE = re.compile(r"^@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.+?)\s*$", re.I)
