@@ -96,7 +96,7 @@ def hot_minimisers(docs: DataFrame, k: int, m: int, share: float = HOT_SHARE) ->
         yield pd.DataFrame(seen.items(), columns=["v", "n"])
 
     counts = docs.select("text").mapInPandas(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    total = (counts.where("v = -1").agg(F.sum("n")).first()[0] or 0) if counts is not None else 0
+    total = counts.where("v = -1").agg(F.sum("n")).first()[0] or 0
     rows = counts.where((F.col("v") >= 0) & (F.col("n") >= max(2, 0.75 * share * total))).collect()
     return np.sort(np.array([r.v for r in rows], dtype=np.int64).astype(np.uint64))
 
@@ -180,24 +180,30 @@ def count_windows(k: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, c
     distinct = list(ids)
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, of, doc)
-    # windows of distinct strings
-    w = split_words(distinct)
-    h = w.hashes()
-    count = np.diff(w.first)
-    content = np.repeat(np.arange(len(distinct)), count)
-    at = np.flatnonzero(np.arange(len(h)) + k <= w.first[content + 1])
+    # windows of distinct strings, a few MB of strings at a time: hash, string, place in the joined buffer
     weights = np.random.default_rng(k).integers(1, 2**62, k, dtype=np.uint64) | np.uint64(1)
-    value = h[at] * weights[0]
-    for j in range(1, k):
-        value += h[at + j] * weights[j]
+    found, buffers, base, seen = [], [], 0, 0
+    for part in chunks(iter(distinct), len, 1 << 21, 1 << 20):
+        w = split_words(part)
+        h = w.hashes()
+        content = np.repeat(np.arange(len(part)), np.diff(w.first))
+        at = np.flatnonzero(np.arange(len(h)) + k <= w.first[content + 1])
+        sums = h[at] * weights[0]
+        for j in range(1, k):
+            sums += h[at + j] * weights[j]
+        found.append((sums, content[at] + seen, w.start[at] + base, w.end[at + k - 1] + base))
+        buffers.append(w.buffer.tobytes())
+        base += len(buffers[-1])
+        seen += len(part)
+    value, content, a, b = map(np.concatenate, zip(*found))
+    windows = np.bincount(content, minlength=len(distinct))
     order = np.argsort(value, kind="stable")
     ranked = value[order]
     same = ranked[1:] == ranked[:-1]
-    low = least[content[at]]  # smallest document of each window
+    low = least[content]  # smallest document of each window
     inside = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
     if len(inside):
-        buffer = w.buffer.tobytes()
-        a, b = w.start[at], w.end[at + k - 1]
+        buffer = b"".join(buffers)
         groups = np.split(inside, np.flatnonzero(np.diff(ranked[inside])) + 1)
         for g in groups:
             mine = order[g].tolist()
@@ -208,14 +214,12 @@ def count_windows(k: int, doc: np.ndarray, key: np.ndarray, start: np.ndarray, c
                 best[t] = min(best.get(t, low[i]), low[i])
             for i, t in zip(mine, texts):
                 low[i] = best[t]
-    begin = np.searchsorted(content[at], np.arange(len(distinct)))  # first window of each string
-    windows = np.maximum(count - (k - 1), 0)
+    begin = np.cumsum(windows) - windows  # first window of each string
     whole = doc > least[of]
     out = [np.rec.fromarrays([doc[whole], key[whole], start[whole], windows[of[whole]]], dtype=_MARKS)]
     # strings of the smallest document itself: only windows that another string shows in a smaller one
-    part = np.flatnonzero(low < least[content[at]])
     hit = np.zeros(len(distinct), dtype=bool)
-    hit[content[at][part]] = True
+    hit[content[low < least[content]]] = True
     rows = []
     for i in np.flatnonzero(~whole & hit[of]).tolist():
         c = of[i]
@@ -274,13 +278,18 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, text_c
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     marks = removed_words(rows.where("doc_id IS NOT NULL").select("doc_id", "key", "text"), k, m, hot_share)
     per = marks.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
-    joined = rows.join(per, ["doc_id", "key"], "left")
+
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["doc_id", "key"]].astype({"doc_id": "Int64"}).assign(blob=[zstandard.compress(t.encode(), 3) for t in b["text"]])
+
+    joined = rows.select("doc_id", "key", "text").mapInPandas(compress, "doc_id long, key long, blob binary").join(per, ["doc_id", "key"], "left")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, text, starts, ns in zip(b["doc_id"].tolist(), b["text"], b["starts"], b["ns"]):
-                words = text.encode().split()
+            for doc, text, starts, ns in zip(b["doc_id"].tolist(), b["blob"], b["starts"], b["ns"]):
+                words = zstandard.decompress(text).split()
                 left = words
                 if starts is not None and len(starts):
                     depth = np.zeros(len(words) + 1, dtype=np.int64)
@@ -290,7 +299,7 @@ def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, text_c
                 out.append((doc, len(words), len(words) - len(left), b" ".join(left).decode()))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
-    return joined.select("doc_id", "text", "starts", "ns").mapInPandas(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.select("doc_id", "blob", "starts", "ns").mapInPandas(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
