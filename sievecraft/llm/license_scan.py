@@ -34,7 +34,7 @@ TEMPLATES = {
         "<<beginOptional>>this <<var;least=1;most=2>> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>licensed<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license",
     ],
     "mit-text": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this <<var;least=1;most=6>> to deal in the <<var;least=1;most=3>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var;least=1;most=3>>",
+        "permission is hereby granted free of charge to any person obtaining a copy of this <<var;least=1;most=10>> to deal in the <<var;least=1;most=3>> without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var;least=1;most=3>>",
     ],
     "apache-2.0": [
         "licensed under the apache license version 2 0 <<beginOptional>>the license you may not use this file except in compliance with the license<<endOptional>>",
@@ -62,6 +62,7 @@ class Automaton:
     final: int
     mandatory: int  # words that every match has
     first: frozenset[str]  # words that can start a match
+    words: frozenset[str] = frozenset()  # words that stand in every match
 
     def closure(self, states: set[int]) -> set[int]:
         todo = list(states)
@@ -72,6 +73,18 @@ class Automaton:
                     todo.append(t)
         return states
 
+    def accepts_without(self, word: str) -> bool:
+        """Whether a match exists that takes no arc of ``word``."""
+        seen = self.closure({0})
+        todo = list(seen)
+        while todo:
+            for k, t in self.arcs[todo.pop()].items():
+                if k != word:
+                    new = self.closure({t}) - seen
+                    seen |= new
+                    todo += new
+        return self.final in seen
+
     def match(self, words: list[str], start: int) -> int | None:
         """End (exclusive) of the longest match that starts at ``start``, or None."""
         states, best = self.closure({0}), None
@@ -137,7 +150,8 @@ def compile_template(markup: str) -> Automaton:
     first = auto.closure({0})
     if any(None in arcs[s] for s in first) or at in first:
         raise ValueError("a template must start with mandatory or optional wording")
-    return Automaton(auto.arcs, auto.free, at, mandatory, frozenset(w for s in first for w in arcs[s]))
+    words = frozenset(w for w in {w for a in arcs for w in a if w is not None} if not auto.accepts_without(w))
+    return Automaton(auto.arcs, auto.free, at, mandatory, frozenset(w for s in first for w in arcs[s]), words)
 
 
 class Scanner:
@@ -152,8 +166,8 @@ class Scanner:
         for label, a in self.automata:
             for w in a.first:
                 self.starts.setdefault(w, []).append((label, a))
-        # literal words that every match of some template has: without any, templates needn't run
-        self.keys = [{w for w in WORD.findall(re.sub(r"<<beginOptional>>.*?<<endOptional>>", " ", MARK_VAR.sub(" ", t)))} for ts in templates.values() for t in ts]
+        # words that every match of some template has: without any, templates needn't run
+        self.keys = [a.words for _, a in self.automata]
 
     def scan(self, text: str | None) -> tuple:
         """(n_words, places [(start, label)], spans [(start, end, label, mandatory share)])."""
@@ -174,8 +188,6 @@ class Scanner:
         return len(words), places, spans
 
 
-MARK_VAR = re.compile(r"<<var[^>]*>>")
-
 SCHEMA = "n_words long, places array<struct<start:long,label:string>>, spans array<struct<start:long,end:long,label:string,mandatory:int>>"
 
 

@@ -238,6 +238,32 @@ def test_template_automaton():
         license_scan.compile_template("<<var>> only")
 
 
+PUBLISHED = {
+    "mit-notice": "This project is licensed under the terms of the MIT license.",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
+    "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+    "gpl-notice": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "cc-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+}
+
+
+def test_templates_accept_published_texts():
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    assert set(PUBLISHED) == set(license_scan.TEMPLATES)
+    for label, text in PUBLISHED.items():
+        assert label in {s[2] for s in scanner.scan(text)[2]}, label
+
+
+def test_nested_upper_case_template():
+    markup = "Take <<beginOptional>>THE <<beginOptional>>OLD<<endOptional>> RED<<endOptional>> Box"
+    scanner = license_scan.Scanner({}, {"box": [markup]})
+    assert scanner.keys == [{"take", "box"}]
+    for text, end in (("take box", 2), ("Take the red BOX now", 4), ("take the OLD red box", 5)):
+        assert [s[:3] for s in scanner.scan(text)[2]] == [(0, end, "box")], text
+    assert scanner.scan("take old box")[2] == []
+
+
 URLS = [None, "", "nourl", "http://example.com", "http://example.com/en/x", "https://WWW.Example.com/en/?q", "http://a.b.example.com/en/", "http://x.net/es/", "http://x.net/de/", "http://net/fr/", "http://notexample.com/en/", "http://my.casino-win.org/a#b", "http://h/x://y", "http://com/", "ftp://q.com:80/p"]
 
 
