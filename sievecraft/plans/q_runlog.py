@@ -129,7 +129,7 @@ _MF = ["x1", "x2"]
 def _meta(s, d):
     """A row per scenario: two features and a success flag per strategy."""
     t = _runs(s, d)
-    names = sorted(r[0] for r in t.select("strategy").distinct().collect())[:3]
+    names = sorted(r[0] for r in t.select("strategy").distinct().collect())
     wide = t.groupBy("scenario").pivot("strategy", names).agg(F.max(C("success").cast("int"))).na.fill(0)
     x = _trials(s, d).groupBy("scenario").agg(F.avg("time").alias("x1"), F.stddev_pop("time").alias("x2"))
     return cut(wide.join(x, "scenario"), "meta"), names
