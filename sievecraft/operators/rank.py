@@ -129,12 +129,14 @@ def rank_fcbf(df: DataFrame, features: list[str], label: str, threshold: float |
     return ranked.where(F.col("feature").isin([k for k, _ in kept]))
 
 
-def rank_relieff(df: DataFrame, features: list[str], label: str, row_id: str, anchors: Column, k: int = 10) -> DataFrame:
+def rank_relieff(df: DataFrame, features: list[str], label: str, row_id: str, anchors: Column | None = None, k: int = 10) -> DataFrame:
     """ReliefF: for each anchor row the k nearest rows of its own class and of the others, on min-max scaled features.
 
-    Anchors are a sample that the caller bounds (a predicate); they are broadcast, rows are read once, and only
-    each task's nearest k candidates per anchor and class leave it.
+    Without ``anchors`` every row is one. With them, they are a sample that the caller bounds (a predicate); they are
+    broadcast, rows are read once, and only each task's nearest k candidates per anchor and class leave it.
     """
+    if anchors is None:
+        return _relieff_all(df, features, label, row_id, k)
     row = df.agg(*[g(f).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]).first()
     scaled = df.select(F.col(row_id).alias("id"), F.col(label).alias("y"), *[(F.try_divide(F.col(f) - row[f"lo_{f}"], F.lit(float(row[f"hi_{f}"] - row[f"lo_{f}"])))).alias(f) for f in features], anchors.alias("__anchor"))
     points = F.broadcast(scaled.where("__anchor").select(F.col("id").alias("aid"), F.col("y").alias("ay"), *[F.col(f).alias(f"a_{f}") for f in features]))
@@ -148,6 +150,48 @@ def rank_relieff(df: DataFrame, features: list[str], label: str, row_id: str, an
     return unpivot(with_p.agg(*[(F.sum(sign * F.col(f)) / F.lit(float(k * count))).alias(f) for f in features]), features)
 
 
+def _relieff_all(df: DataFrame, features: list[str], label: str, row_id: str, k: int) -> DataFrame:
+    """ReliefF with every row as an anchor. Ids may repeat: a row is told from others by its id, class and features.
+
+    Classes are searched in turn; tasks return sums only. A row counts itself out of its own class.
+    """
+    import pandas as pd
+
+    from .neighbours import each_box, placed
+
+    row = df.agg(*[g(f).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]).first()
+    wide = {f: float(row[f"hi_{f}"] - row[f"lo_{f}"]) for f in features}
+    scale = {f: ((F.col(f) - row[f"lo_{f}"]) / F.lit(wide[f]) if wide[f] else F.col(f) * 0).cast("double") for f in features}
+    rows = placed(df.select(F.col(row_id).alias("id"), F.col(label).alias("y"), *[scale[f].alias(f) for f in features]), features)
+    # of equal rows the first k may meet themselves among their nearest; the others are counted
+    first = rows.withColumn("__n", F.row_number().over(W.partitionBy("y", *features).orderBy("id"))).where(F.col("__n") <= k).select("y", *features, F.col("id").alias("aid"), F.lit(1).cast("long").alias("n"))
+    more = rows.groupBy("y", *features).agg(F.count("*").alias("n")).where(F.col("n") > k).select("y", *features, F.lit(None).cast(rows.schema["id"].dataType).alias("aid"), (F.col("n") - k).alias("n"))
+    queries = first.unionByName(more)
+    prior = {r.y: r["count"] for r in df.groupBy(F.col(label).alias("y")).count().collect()}
+    total, count = sum(prior.values()), rows.count()
+    score = dict.fromkeys(features, 0.0)
+    typed = rows.schema["y"].dataType.simpleString()
+    for c, n in prior.items():
+
+        def sums(q, r, nearest, c=c):
+            x, z, ids, aid, weight, same = q[features].to_numpy(), r[features].to_numpy(), r["id"].to_numpy(), q["aid"].to_numpy(), q["n"].to_numpy(), (q["y"] == c).to_numpy()
+            parts = []
+            for a, b, dist, place in nearest():
+                itself = pd.Series(same[a] & (place < k) & (dist == 0) & (ids[b] == aid[a])).groupby(a).transform("max").to_numpy()
+                a, b = a[keep := place < k + itself], b[keep]
+                parts.append(pd.DataFrame(abs(x[a] - z[b]) * weight[a][:, None], columns=features).groupby(q["y"].to_numpy()[a]).sum())
+            out = pd.concat(parts).rename_axis("y").reset_index() if parts else pd.DataFrame({f: [] for f in ["y", *features]})
+            return out.groupby("y", as_index=False).sum()
+
+        schema = f"y {typed}, " + ", ".join(f"`{f}` double" for f in features)
+        found = each_box(queries, rows.where(F.col("y") == F.lit(c)), features, "id", k + 1, 1, sums, schema)
+        for part in found.groupBy("y").agg(*[F.sum(f).alias(f) for f in features]).collect():
+            sign = -1.0 if part.y == c else (n / total) / (1 - prior[part.y] / total)
+            for f in features:
+                score[f] += sign * part[f] / (k * count)
+    return df.sparkSession.createDataFrame(list(score.items()), "feature string, score double")
+
+
 def assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,9 +79,8 @@ def pareto_front(df: DataFrame, id_col: str, maximise: list[str]) -> DataFrame:
     return df.join(o, no_worse & better, "left_anti")
 
 
-def nearest(points: DataFrame, anchors: DataFrame, features: list[str], id_col: str, k: int) -> DataFrame:
-    """(anchor, id, dist, rank): the k nearest other rows of each anchor. Anchors are few and broadcast."""
-    a = F.broadcast(anchors.select(F.col(id_col).alias("anchor"), *[F.col(f).alias(f"a_{f}") for f in features]))
-    dist: Column = F.sqrt(reduce(lambda x, y: x + y, [(F.col(f) - F.col(f"a_{f}")) * (F.col(f) - F.col(f"a_{f}")) for f in features]))
-    pairs = points.join(a, F.col(id_col) != F.col("anchor")).select("anchor", F.col(id_col).alias("id"), dist.alias("dist"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("anchor").orderBy("dist", "id"))).where(F.col("rank") <= k)
+def nearest(points: DataFrame, anchors: DataFrame | None, features: list[str], id_col: str, k: int) -> DataFrame:
+    """(anchor, id, dist, rank): the k nearest other rows of each anchor; without anchors, of every row."""
+    from .neighbours import nearest_rows
+
+    return nearest_rows(points, features, id_col, k, anchors)

@@ -106,6 +106,12 @@ def rank_relieff(s, d):
     return scored(rk.rank_relieff(lines(s, d), FEATURES, "label", "row_id", C("row_id") % 4000 == 1))
 
 
+@query("rank_relieff_all")
+def rank_relieff_all(s, d):
+    """ReliefF with every row as an anchor; rank_relieff keeps to the anchors that its SQL states."""
+    return scored(rk.rank_relieff(lines(s, d), FEATURES, "label", "row_id"))
+
+
 @query("rank_model_importance")
 def rank_model_importance(s, d):
     return scored(rk.rank_model_importance(lines(s, d), FEATURES, "label"))

@@ -126,6 +126,12 @@ def nearest_neighbours(s, d):
     return sel.nearest(df, df.where(C("row_id") % 5000 == 1), ["quantity", "discount"], "row_id", 5).select("anchor", "id", r6(C("dist"), "dist"), "rank")
 
 
+@query("nearest_neighbours_all")
+def nearest_neighbours_all(s, d):
+    """Neighbours of every row; nearest_neighbours keeps to the anchors that its SQL states."""
+    return sel.nearest(lines(s, d), None, ["quantity", "discount"], "row_id", 5).select("anchor", "id", r6(C("dist"), "dist"), "rank")
+
+
 @query("pareto_front", "WITH p AS (SELECT p_partkey, p_size, p_retailprice FROM part) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.p_size >= p.p_size AND o.p_retailprice >= p.p_retailprice AND (o.p_size > p.p_size OR o.p_retailprice > p.p_retailprice))")
 def pareto_front(s, d):
     return sel.pareto_front(read(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", ["p_size", "p_retailprice"]).select("p_partkey", "p_size", "p_retailprice")

@@ -2,8 +2,12 @@
 
 import os
 
+import numpy as np
 import pytest
 
+from sievecraft.operators import neighbours
+from sievecraft.operators.rank import rank_relieff
+from sievecraft.operators.select import nearest
 from sievecraft.plans import q_runlog
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +27,46 @@ def test_all_strategies_are_planned(spark):
         best[r.scenario] = max(best.get(r.scenario, (-1.0, "")), (r.probability, r.strategy))
     assert {r.scenario: (r.probability, r.strategy) for r in q_runlog.choose_strategy(spark, SF).collect()} == best
     assert {r.strategy for r in q_runlog.explain_choice(spark, SF).collect()} == names
+
+
+def points(spark, n, seed=5):
+    """Rows with many equal ones, and their arrays."""
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.integers(0, 8, n).astype(float), rng.integers(0, 30, n) / 10, rng.random(n).round(2)])
+    x[: n // 4] = x[0]
+    y = rng.integers(0, 3, n) // 2
+    rows = [(int(i) * 7 % (n * 7 + 1), int(c), *map(float, v)) for i, (c, v) in enumerate(zip(y, x))]
+    return spark.createDataFrame(rows, "row_id long, label int, a double, b double, c double"), rows
+
+
+def near(rows, of, k, power, group=None):
+    diffs = [[abs(of[2 + j] - r[2 + j]) for j in range(3)] for r in rows]
+    length = (lambda d: d[0] + d[1] + d[2]) if power == 1 else (lambda d: np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    return sorted((length(d), r[0], d) for d, r in zip(diffs, rows) if r[0] != of[0] and (group is None or r[1] == group))[:k]
+
+
+@pytest.mark.parametrize("box", [2000, 20])
+def test_every_row_has_its_nearest(spark, monkeypatch, box):
+    monkeypatch.setattr(neighbours, "BOX", box)
+    df, rows = points(spark, 300)
+    got = {}
+    for r in nearest(df, None, ["a", "b", "c"], "row_id", 4).collect():
+        got[r.anchor, r["rank"]] = (r.id, r.dist)
+    want = {(r[0], i + 1): (id, d) for r in rows for i, (d, id, _) in enumerate(near(rows, r, 4, 2))}
+    assert got == want
+
+
+@pytest.mark.parametrize("box", [2000, 20])
+def test_relieff_of_every_row(spark, monkeypatch, box):
+    monkeypatch.setattr(neighbours, "BOX", box)
+    df, rows = points(spark, 300)
+    x = np.array([r[2:] for r in rows])
+    scaled = [(*r[:2], *v) for r, v in zip(rows, (x - x.min(0)) / (x.max(0) - x.min(0)))]
+    share = {c: np.mean([r[1] == c for r in rows]) for c in (0, 1)}
+    want = np.zeros(3)
+    for r in scaled:
+        for c in (0, 1):
+            weight = -1.0 if r[1] == c else share[c] / (1 - share[r[1]])
+            want += weight * np.sum([d for _, _, d in near(scaled, r, 5, 1, c)], axis=0) / (5 * len(rows))
+    got = {r.feature: r.score for r in rank_relieff(df, ["a", "b", "c"], "label", "row_id", k=5).collect()}
+    assert np.allclose([got[f] for f in "abc"], want, rtol=1e-9, atol=1e-12)
