@@ -95,14 +95,28 @@ def cluster_rows(df: DataFrame, features: list[str], k: int, seed: int = 42) ->
     return model.transform(data).drop("features", "scaled", "__zero", "__y")
 
 
-def oversample_minority(df: DataFrame, features: list[str], label: str, id_col: str, minority: int, neighbours: int = 5, most: int = 2000) -> DataFrame:
-    """Synthetic minority rows between minority anchors (at most ``most``, a broadcast sample) and their near neighbours of the class."""
+def oversample_minority(df: DataFrame, features: list[str], label: str, id_col: str, minority: int, neighbours: int = 5, rows: int | None = None) -> DataFrame:
+    """Synthetic rows between minority rows and their near neighbours of the class, ``rows`` in all.
+
+    Every minority row is an anchor. Rows are dealt evenly: draw 1, 2, ... of an anchor takes its next neighbour, with a
+    share of its own. Without ``rows``, one for each anchor and neighbour. Rows without all features can't take part.
+    """
+    from ..plans.scratch import cut
+    from .neighbours import placed
     from .select import nearest
 
-    own = df.where(F.col(label) == minority)
-    anchors = own.orderBy(hash_order(id_col)).limit(most)
-    near = nearest(own, anchors, features, id_col, neighbours)
-    share = F.pmod(F.xxhash64("anchor", "id"), F.lit(1000)) / 1000.0
-    a = anchors.select(F.col(id_col).alias("anchor"), *[F.col(f).alias(f"a_{f}") for f in features])
+    own = placed(df.where(F.col(label) == minority), features)
+    near = cut(nearest(own, None, features, id_col, neighbours), "near")
+    if rows is None:
+        draws = near.withColumn("draw", F.col("rank").cast("long"))
+    else:
+        anchors = near.groupBy("anchor").agg(F.count("*").alias("have"))
+        # __rank and __n: place in hash order, number of anchors
+        each = class_ranks(anchors, "anchor", None)
+        quota = F.floor(F.lit(rows) / F.col("__n")) + (F.col("__rank") <= F.pmod(F.lit(rows), F.col("__n"))).cast("long")
+        each = each.withColumn("quota", quota).where("quota > 0").select("anchor", "have", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("draw"))
+        draws = each.withColumn("rank", (F.pmod(F.col("draw") - 1, F.col("have")) + 1).cast("int")).join(near, ["anchor", "rank"])
+    share = F.pmod(F.xxhash64("anchor", "id", "draw"), F.lit(1000)) / 1000.0
+    a = own.select(F.col(id_col).alias("anchor"), *[F.col(f).alias(f"a_{f}") for f in features])
     b = own.select(F.col(id_col).alias("id"), *features)
-    return near.join(F.broadcast(a), "anchor").join(b, "id").select("anchor", "id", *[(F.col(f"a_{f}") + share * (F.col(f) - F.col(f"a_{f}"))).alias(f) for f in features], F.lit(minority).alias(label))
+    return draws.join(a, "anchor").join(b, "id").select("anchor", "id", *[(F.col(f"a_{f}") + share * (F.col(f) - F.col(f"a_{f}"))).alias(f) for f in features], F.lit(minority).alias(label))

@@ -114,4 +114,7 @@ def kmeans_target(s, d):
 
 @query("oversample_minority")
 def oversample_minority(s, d):
-    return sm.oversample_minority(_cust(s, d).withColumn("y", (C("seg") == "BUILDING").cast("int")).withColumn("idn", C("id").cast("double")), ["bal", "idn"], "y", "id", 1, most=500)
+    """As many new rows as the minority lacks."""
+    x = _cust(s, d).withColumn("y", (C("seg") == "BUILDING").cast("int")).withColumn("idn", C("id").cast("double"))
+    lacks = x.agg(F.sum(1 - 2 * C("y"))).first()[0]
+    return sm.oversample_minority(x, ["bal", "idn"], "y", "id", 1, rows=max(0, lacks))

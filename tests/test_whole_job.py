@@ -8,6 +8,7 @@ import pytest
 from sievecraft.operators import neighbours
 from sievecraft.operators.rank import rank_relieff
 from sievecraft.operators.select import nearest
+from sievecraft.operators.sample import oversample_minority
 from sievecraft.plans import q_runlog
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +71,17 @@ def test_relieff_of_every_row(spark, monkeypatch, box):
             want += weight * np.sum([d for _, _, d in near(scaled, r, 5, 1, c)], axis=0) / (5 * len(rows))
     got = {r.feature: r.score for r in rank_relieff(df, ["a", "b", "c"], "label", "row_id", k=5).collect()}
     assert np.allclose([got[f] for f in "abc"], want, rtol=1e-9, atol=1e-12)
+
+
+def test_every_minority_row_gets_synthetic_rows(spark):
+    df = spark.range(4000).selectExpr("id", "cast(id % 97 as double) AS a", "cast(id as double) AS b", "cast(id % 3 = 0 as int) AS y")
+    minority = df.where("y = 1").count()
+    for rows in (minority + 10, 4000 - 2 * minority, 7 * minority + 1):
+        out = oversample_minority(df, ["a", "b"], "y", "id", 1, rows=rows).collect()
+        per = {}
+        for r in out:
+            per[r.anchor] = per.get(r.anchor, 0) + 1
+        assert len(out) == rows and len(per) == min(rows, minority) and max(per.values()) - min(per.values()) <= 1
+        assert all(r.anchor % 3 == 0 and r.id % 3 == 0 and r.anchor != r.id and min(r.anchor, r.id) <= r.b <= max(r.anchor, r.id) for r in out)
+    assert len(set(out)) > 0.9 * len(out)
+    assert len(oversample_minority(df, ["a", "b"], "y", "id", 1, 3).collect()) == 3 * minority
