@@ -48,14 +48,15 @@ def segment_of(v: Column, cuts: list[float]) -> Column:
     return F.when(v.isNotNull(), reduce(lambda a, e: a + (v >= F.lit(e)).cast("int"), cuts, F.lit(0)))
 
 
-def mdlp_cuts(df: DataFrame, col: str, label: str, most_levels: int = 16) -> list[float]:
+def mdlp_cuts(df: DataFrame, col: str, label: str) -> list[float]:
     """All accepted cuts; each level cuts every open segment at its best gain. Cuts come to the driver, counts don't."""
     counts = value_class_counts(df, col, label).persist()
     cuts: list[float] = []
     try:
-        for _ in range(most_levels):
+        while True:
             best = cut_gains(counts, segment_of(F.col("v"), cuts)).groupBy("segment").agg(F.max_by(F.struct("cut", "accepted"), F.struct("gain", -F.col("cut"))).alias("b"))
-            new = [r.cut for r in best.where("b.accepted").select("b.cut").collect()]
+            # the midpoint of neighbouring floats can be a cut that exists
+            new = {r.cut for r in best.where("b.accepted").select("b.cut").collect()} - set(cuts)
             if not new:
                 break
             cuts = sorted([*cuts, *new])

@@ -227,7 +227,7 @@ def permuted(df: DataFrame, col: str, row_id: str, seed: int) -> DataFrame:
     return by_id.join(by_hash, "r").drop("r")
 
 
-def rank_permutation_importance(df: DataFrame, features: list[str], label: str, row_id: str, repeats: int = 1, seed: int = 7) -> DataFrame:
+def rank_permutation_importance(df: DataFrame, features: list[str], label: str, row_id: str, repeats: int = 5, seed: int = 7) -> DataFrame:
     """Mean drop of a logistic model's accuracy when a feature's values are shuffled among rows."""
     from pyspark.ml.classification import LogisticRegression
 

@@ -243,9 +243,11 @@ def query(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[st
     s = Search(train, valid, features, label, group, constraints)
     (STRATEGIES[strategy] if isinstance(strategy, str) else strategy)(s)
     good = [t["mask"] for t in sorted(s.trials.values(), key=lambda t: (t["loss"], t["size"], t["mask"])) if t["satisfied"]]
-    if good:
-        held = evaluate_masks(train, test, features, label, group, good[:32], constraints).collect()
+    best = 0
+    for i in range(0, len(good), 32):
+        held = evaluate_masks(train, test, features, label, group, good[i : i + 32], constraints).collect()
         ok = {r["mask"] for r in held if r["satisfied"]}
-        good = [m for m in good if m in ok]
-    names = [f for i, f in enumerate(features) if good and (good[0] >> i) & 1]
+        if best := next((m for m in good[i : i + 32] if m in ok), 0):
+            break
+    names = [f for i, f in enumerate(features) if (best >> i) & 1]
     return names, s.table()

@@ -1,12 +1,13 @@
 """Queries without SQL cover all of their rows, classes and strategies."""
 
+import inspect
 import os
 
 import numpy as np
 import pytest
 
-from sievecraft.operators import neighbours
-from sievecraft.operators.rank import rank_relieff
+from sievecraft.operators import discretize, neighbours, search
+from sievecraft.operators.rank import rank_permutation_importance, rank_relieff
 from sievecraft.operators.select import nearest
 from sievecraft.operators.sample import oversample_minority
 from sievecraft.plans import q_runlog
@@ -85,3 +86,33 @@ def test_every_minority_row_gets_synthetic_rows(spark):
         assert all(r.anchor % 3 == 0 and r.id % 3 == 0 and r.anchor != r.id and min(r.anchor, r.id) <= r.b <= max(r.anchor, r.id) for r in out)
     assert len(set(out)) > 0.9 * len(out)
     assert len(oversample_minority(df, ["a", "b"], "y", "id", 1, 3).collect()) == 3 * minority
+
+
+class Tried:
+    def __init__(self, *args):
+        self.trials = {m: {"mask": m, "loss": m, "size": 1, "satisfied": True} for m in range(1, 101)}
+
+    def table(self):
+        return None
+
+
+@pytest.mark.parametrize("passing,names", [(33, ["f0", "f5"]), (100, ["f2", "f5", "f6"]), (1, ["f0"]), (0, [])])
+def test_query_verifies_until_a_mask_passes(monkeypatch, passing, names):
+    class Held(list):
+        collect = list.copy
+
+    monkeypatch.setattr(search, "Search", Tried)
+    monkeypatch.setattr(search, "evaluate_masks", lambda *a: Held({"mask": m, "satisfied": m == passing} for m in a[5]))
+    assert search.query(None, None, None, [f"f{i}" for i in range(7)], "y", "g", None, lambda s: None)[0] == names
+
+
+def test_cuts_have_no_level_limit(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), i % 2) for i in range(30)], "v double, y int")
+    level = iter(range(30))
+    step = lambda *_: spark.sql(f"SELECT 0 AS segment, {(i := next(level))}.5D AS cut, 1D AS gain, {i < 20} AS accepted")
+    monkeypatch.setattr(discretize, "cut_gains", step)
+    assert discretize.mdlp_cuts(df, "v", "y") == [i + 0.5 for i in range(20)]
+
+
+def test_permutation_importance_is_a_mean_of_five():
+    assert inspect.signature(rank_permutation_importance).parameters["repeats"].default == 5
