@@ -1,14 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers are composed over the symbols of a clause: a lexicon transducer turns words into insults
-(learned words and stems with weights), threats, targets, negations and reports; a threat transducer accepts a
-threat verb that meets a target; target, negation and report transducers re-weight the insults that stand in
-their scope. What a clause accepts is summed per kind, and a logistic model over these sums, fitted on
+The lexicon transducer turns the words of a clause into symbols: insults (learned words and stems with weights),
+threats, targets, negations, reports and frames (function words). Small transducers are composed over these
+symbols: negation, report and target transducers mark the insults and threats in their scope, one composition
+running forwards and one backwards over the clause. The pattern acceptor, a product of small automata, takes a
+clause that holds a threat to a target, an insult to a target, an insult in a phrase (with a function word), or
+several insults; its arcs say which weight an insult adds to. An insult that stands alone matches no pattern.
+
+What the accepted clauses of a text give is summed per kind, and a logistic model over these sums, fitted on
 labelled rows, gives the score. Words outside an accepted clause never count.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,15 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Symbols of the grammar.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, BREAK = range(7)
+#: Symbols of the grammar; the marks below are added to insults and threats.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, FRAME, BREAK = range(8)
+KIND, NEGATED, REPORTED, AIMED = 7, 8, 16, 32
 #: Closed word classes in the corpus's languages; insults are learned from labels.
 CLOSED = {
     TARGET: "you your yours yourself u he she they him her them his their tu toi vous ton votre du dich dein ihr euch ihre usted ustedes ellos".split(),
     NEGATION: "not no never neither nor isn't aren't don't doesn't wasn't without ne pas jamais nicht kein keine nie nunca jamás sin".split(),
     REPORT: "said says say told tells wrote writes called calls claimed quoted quote dit écrit sagte schrieb dijo escribió".split(),
+    FRAME: "the a an is are was were be of and to in that for with it on at by as le la les un une des de et est sont que qui en il dans pour ce der die das den dem ein eine einen und ist sind von zu mit auf el los las una unas y es son por con lo del al se su".split(),
     THREAT: "kill hurt destroy beat stab shoot burn murder crush tuer frapper töten schlagen matar golpear".split(),
 }
+#: Words that make a clause one in which an insult can match.
+PHRASE_WORDS = frozenset(CLOSED[FRAME]) | frozenset(CLOSED[TARGET])
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]")
 BREAKS = frozenset(".!?;\n")
 #: How many words a negation or report reaches forward, and a target in either direction.
@@ -75,22 +84,108 @@ class Lexicon(dict):
         return found
 
 
-def weigh(symbols: list[tuple[int, str | None]], grammar: Grammar) -> list[tuple[int, float]]:
-    """The repetition transducer: an insult weighs what its n-th occurrence in the text adds; some count only when repeated."""
-    seen: Counter[str] = Counter()
-    out = []
-    for kind, form in symbols:
-        weight = 0.0
-        if form is not None:
-            steps = (grammar.words if form[0] == "=" else grammar.stems)[form[1:]]
-            weight = steps[seen[form]] if seen[form] < len(steps) else 0.5
-            seen[form] += 1
-        out.append((kind, weight))
-    return out
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential transducer: arcs[state][symbol] = (symbol out, next state); it starts in state 0."""
+
+    arcs: tuple[dict[int, tuple[int, int]], ...]
+
+    def run(self, symbols: list[int]) -> list[int]:
+        at, out = 0, []
+        for s in symbols:
+            o, at = self.arcs[at][s]
+            out.append(o)
+        return out
+
+
+def build(start, symbols: list[int], step) -> tuple[tuple[dict[int, tuple[int, int]], ...], list]:
+    """Arcs over the states reachable from ``start`` by step(state, symbol) -> (symbol out, next state), and the states."""
+    states, arcs = [start], []
+    number = {start: 0}
+    for state in states:  # grows
+        arcs.append({})
+        for s in symbols:
+            out, then = step(state, s)
+            if then not in number:
+                number[then] = len(states)
+                states.append(then)
+            arcs[-1][s] = (out, number[then])
+    return tuple(arcs), states
+
+
+#: All symbols with all marks.
+SYMBOLS = [k | m for k in range(BREAK) for m in range(0, 64, 8) if not m or k in (INSULT, THREAT)]
+
+
+def scope(trigger: int, reach: int, mark: int, marked: tuple[int, ...]) -> Transducer:
+    """Marks the symbols ``marked`` that come at most ``reach`` words behind a trigger; a state is how far the scope still reaches."""
+
+    def step(left: int, s: int) -> tuple[int, int]:
+        out = s | mark if left and s & KIND in marked else s
+        return out, reach if s & KIND == trigger else max(0, left - 1)
+
+    return Transducer(build(0, SYMBOLS, step)[0])
+
+
+def compose(first: Transducer, then: Transducer) -> Transducer:
+    """What ``then`` makes of the output of ``first``, as one transducer over pairs of states."""
+
+    def step(pair: tuple[int, int], s: int) -> tuple[int, tuple[int, int]]:
+        middle, p = first.arcs[pair[0]][s]
+        out, q = then.arcs[pair[1]][middle]
+        return out, (p, q)
+
+    return Transducer(build((0, 0), SYMBOLS, step)[0])
+
+
+@dataclass(frozen=True)
+class Acceptor:
+    """A deterministic automaton: arcs[state][symbol] = next state."""
 
+    arcs: tuple[dict[int, int], ...]
+    final: frozenset[int]
 
-def clauses(symbols: list[tuple[int, float]]) -> Iterator[list[tuple[int, float]]]:
-    clause: list[tuple[int, float]] = []
+    def accepts(self, symbols: list[int]) -> bool:
+        at = 0
+        for s in symbols:
+            at = self.arcs[at][s]
+        return at in self.final
+
+
+def holds(is_one, times: int = 1) -> Acceptor:
+    """Clauses with ``times`` symbols of a kind."""
+    arcs, states = build(0, SYMBOLS, lambda n, s: (0, min(times, n + is_one(s))))
+    return Acceptor(tuple({s: t for s, (_, t) in a.items()} for a in arcs), frozenset(i for i, n in enumerate(states) if n == times))
+
+
+def product(one: Acceptor, two: Acceptor, both: bool) -> Acceptor:
+    """Clauses that both automata accept, or one of them."""
+    arcs, states = build((0, 0), SYMBOLS, lambda pair, s: (0, (one.arcs[pair[0]][s], two.arcs[pair[1]][s])))
+    ok = all if both else any
+    return Acceptor(tuple({s: t for s, (_, t) in a.items()} for a in arcs), frozenset(i for i, (p, q) in enumerate(states) if ok((p in one.final, q in two.final))))
+
+
+def _kind(kind: int, mark: int = 0):
+    return lambda s: s & KIND == kind and s & mark == mark
+
+
+#: Forwards, negation, report and a target before an insult; backwards, a target behind an insult or threat.
+FORWARD = compose(compose(scope(NEGATION, REACH[NEGATION], NEGATED, (INSULT, THREAT)), scope(REPORT, REACH[REPORT], REPORTED, (INSULT,))), scope(TARGET, REACH[TARGET], AIMED, (INSULT,)))
+BACKWARD = scope(TARGET, REACH[TARGET], AIMED, (INSULT, THREAT))
+#: The patterns: threat to a target, insult to a target, insult in a phrase, several insults.
+PATTERNS = functools.reduce(
+    lambda a, b: product(a, b, both=False),
+    [
+        holds(lambda s: s & KIND == THREAT and bool(s & AIMED) and not s & NEGATED),
+        holds(_kind(INSULT, AIMED)),
+        product(holds(_kind(INSULT)), holds(_kind(FRAME)), both=True),
+        holds(_kind(INSULT), 2),
+    ],
+)
+
+
+def clauses(symbols: list[tuple[int, str | None]]) -> Iterator[list[tuple[int, str | None]]]:
+    clause: list[tuple[int, str | None]] = []
     for s in symbols:
         if s[0] == BREAK:
             if clause:
@@ -102,25 +197,33 @@ def clauses(symbols: list[tuple[int, float]]) -> Iterator[list[tuple[int, float]
         yield clause
 
 
-def accept(clause: list[tuple[int, float]]) -> np.ndarray | None:
-    """Run the composed transducers over a clause: weights per feature, or None if nothing is accepted."""
+def accept(clause: list[tuple[int, str | None]]) -> list[int] | None:
+    """The marked symbols of a clause that a pattern matches, or None."""
     kinds = [k for k, _ in clause]
     if INSULT not in kinds and THREAT not in kinds:
         return None
+    marked = BACKWARD.run(FORWARD.run(kinds)[::-1])[::-1]
+    return marked if PATTERNS.accepts(marked) else None
+
+
+def weigh(marked: list[int], clause: list[tuple[int, str | None]], grammar: Grammar, seen: Counter[str]) -> np.ndarray:
+    """Weights per feature of an accepted clause.
+
+    An insult weighs what its n-th occurrence in accepted clauses of the text adds (``seen`` counts them); some forms
+    count only when repeated.
+    """
     out = np.zeros(len(FEATURES))
-    negated = reported = 0  # how many more words the open scopes reach
-    targets = [i for i, k in enumerate(kinds) if k == TARGET]
-    for i, (kind, weight) in enumerate(clause):
-        near = any(abs(i - t) <= REACH[TARGET] for t in targets)
+    for s, (kind, form) in zip(marked, clause):
         if kind == INSULT:
-            out[3 if reported > 0 else 2 if negated > 0 else 0] += weight
-            out[1] += weight * near
-        elif kind == THREAT and any(0 < t - i <= REACH[TARGET] for t in targets) and negated <= 0:
+            steps = (grammar.words if form[0] == "=" else grammar.stems)[form[1:]]
+            weight = steps[seen[form]] if seen[form] < len(steps) else 0.5
+            seen[form] += 1
+            out[3 if s & REPORTED else 2 if s & NEGATED else 0] += weight
+            out[1] += weight * bool(s & AIMED)
+        elif kind == THREAT and s & AIMED and not s & NEGATED:
             out[4] += 1
-        negated = REACH[NEGATION] if kind == NEGATION else negated - 1
-        reported = REACH[REPORT] if kind == REPORT else reported - 1
     out[5] = out[:5].any()
-    return out if out[5] else None
+    return out
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
@@ -129,9 +232,10 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     if text:
         symbols = [lexicon[w] for w in WORD.findall(text.lower())]
         if any(s in (INSULT, THREAT) for s, _ in set(symbols)):
-            for clause in clauses(weigh(symbols, lexicon.grammar)):
-                if (got := accept(clause)) is not None:
-                    total += got
+            seen: Counter[str] = Counter()
+            for clause in clauses(symbols):
+                if (marked := accept(clause)) is not None:
+                    total += weigh(marked, clause, lexicon.grammar, seen)
     return np.log1p(total)
 
 
@@ -147,9 +251,18 @@ def held_out(id_col: str):
 
 
 def forms(text: str) -> set[str]:
-    """Words (=word) and stems (^stem) of a text, each with 1:, 2: and 3: as often as it occurs."""
+    """Words (=word) and stems (^stem) of a text's clauses that hold a function word or target, each with 1:, 2: and 3: as often as it occurs."""
     counts: Counter[str] = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items():
+    inside: Counter[str] = Counter()
+    clause: list[str] = []
+    for w in [*WORD.findall(text.lower()), "."]:
+        if w not in BREAKS:
+            clause.append(w)
+        elif clause:
+            if not PHRASE_WORDS.isdisjoint(clause):
+                inside.update(clause)
+            clause = []
+    for w, n in inside.items():
         if len(w) > 2:
             counts[f"={w}"] += n
             for k in STEM_LENGTHS:
@@ -174,10 +287,11 @@ def count_forms(sample: DataFrame, only: frozenset[str] | None = None) -> DataFr
     return sample.select("text").mapInPandas(run, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
 
 
-def learn_insults(sample: DataFrame, least_share: float = 0.015, least_precision: float = 0.9, most: int = 20_000) -> tuple[dict, dict]:
+def learn_insults(sample: DataFrame, least_share: float = 0.015, least_precision: float = 0.9) -> tuple[dict, dict]:
     """Words and stems that mark toxic rows of the sample, with log-odds as weights.
 
-    Candidates are the ``most`` forms in most toxic texts. A form is taken at the least number of occurrences
+    Candidates are the forms in at least ``least_share`` of the toxic texts, so what reaches the driver is bounded by the
+    sample's rows and the words of a text, and is independent of the corpus. A form is taken at the least number of occurrences
     from which it is precise. A stem gives way to a longer form that covers the same texts, and a longer form
     to a stem that was kept and covers as many.
     """
@@ -187,7 +301,7 @@ def learn_insults(sample: DataFrame, least_share: float = 0.015, least_precision
     if not pos_n:
         return {}, {}
     least = max(4, int(least_share * pos_n))
-    top = count_forms(texts.where("y = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "form").limit(most).collect()
+    top = count_forms(texts.where("y = 1")).where(F.col("n") >= least).collect()
     pos = {r.form: r.n for r in top}
     neg = {r.form: r.n for r in count_forms(texts.where("y = 0"), frozenset(pos)).collect()}
     odds = {f: float(np.log((p + 0.5) / (pos_n + 1)) - np.log((neg.get(f, 0) + 0.5) / (neg_n + 1))) for f, p in pos.items()}
@@ -230,7 +344,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Grammar:
     """Learn insults and weights from at most ``sample_rows`` labelled rows (the documented bound of the training sample).
 
-    What reaches the driver is at most 20,000 forms and six sums per sampled row. Without labelled rows every score
+    What reaches the driver are the forms that many toxic texts of the sample share and six sums per sampled row. Without labelled rows every score
     is 0.02; with one label only, all scores go to that label.
     """
     sample = labelled_sample(docs, labels, sample_rows, text_col, id_col, label_col)
