@@ -3,13 +3,15 @@
 The text is normalised as the model asks: its compiled character map (a double-array trie over UTF-8 bytes with
 replacement strings) is searched for the longest prefix at every place, and each normalised byte keeps the
 original byte it came from. The pieces that the library finds are then projected through that alignment to
-byte spans of the original text.
+byte spans of the original text. Where a model's map is empty, as that of ``piece_bpe_32k.model`` is, every
+character stands for itself and only spaces change; the alignment and the projection are the same.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,6 +34,11 @@ class CharsMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = np.frombuffer(blob, "<u4", size // 4, 4).tolist() if blob else []
         self.replacements = blob[4 + size :] if blob else b""
+        #: Bytes that some key starts with.
+        self.starts = np.zeros(256, dtype=bool)
+        if self.units:
+            root = self._offset(self.units[0])
+            self.starts[[c for c in range(1, 256) if root ^ c < len(self.units) and self.units[root ^ c] & ((1 << 31) | 0xFF) == c]] = True
 
     @staticmethod
     def _offset(unit: int) -> int:
@@ -79,110 +86,113 @@ class OffsetCodec:
         self.is_byte = [p.type == pb.ModelProto.SentencePiece.BYTE for p in proto.pieces]
         joins = any(META in p.piece.lstrip(META) for p in proto.pieces if p.type in (1, 4))
         self.by_segment = self.dummy and self.escape and not (self.squeeze or self.suffix or joins or self.chars.units)
-        self.n_bytes = [1 if b else len(p.piece.encode()) for b, p in zip(self.is_byte, proto.pieces)]
+        self.n_bytes = np.array([1 if b else len(p.piece.encode()) for b, p in zip(self.is_byte, proto.pieces)])
+        self.unk_id = self.sp.unk_id()
         self.cache: dict[str, tuple] = {}
         self.most, self.longest = most, longest
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+    def mapped(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with the longest keys of the map replaced, original byte of each, whether a piece has only spaces up to it)."""
+        raw = np.frombuffer(data, dtype=np.uint8)
+        out, source, lead = [], [], []
+        done = 0
+
+        def plain(upto: int) -> None:
+            out.append(raw[done:upto])
+            # the bytes of a character all come from its first byte
+            at = np.arange(done, upto)
+            head = (raw[done:upto] & 0xC0) != 0x80
+            source.append(at[head][np.cumsum(head) - 1] if len(at) else at)
+            lead.append(raw[done:upto] == 32)
+
+        for i in np.flatnonzero(self.chars.starts[raw]).tolist() if self.chars.units else ():
+            if i >= done and (got := self.chars.longest(data, i)):
+                plain(i)
+                new = np.frombuffer(got[1], dtype=np.uint8)
+                out.append(new)
+                source.append(np.full(len(new), i))
+                lead.append(np.cumsum(new != 32) == 0)
+                done = i + got[0]
+        plain(len(data))
+        return np.concatenate(out), np.concatenate(source), np.concatenate(lead)
+
+    def align(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Normalised bytes, and for each of them and the end the original byte it comes from."""
-        data, out, source = text.encode(), bytearray(), []
-        space = META_BYTES if self.escape else b" "
-        at, end = 0, len(data)
-
-        def prefix(i: int) -> tuple[int, bytes]:
-            if got := self.chars.longest(data, i):
-                return got
-            n = 1 if data[i] < 0x80 else 2 if data[i] < 0xE0 else 3 if data[i] < 0xF0 else 4
-            return n, data[i : i + n]
-
-        if self.squeeze:
-            while at < end and (got := prefix(at))[1] == b" ":
-                at += got[0]
-        if at == end:
-            return b"", [end]
-
-        def put(piece: bytes, where: int) -> None:
-            out.extend(piece)
-            source.extend([where] * len(piece))
-
-        if self.dummy and not self.suffix:
-            put(space, at)
-        after_space = self.squeeze
-        while at < end:
-            n, piece = prefix(at)
-            if after_space and self.squeeze:
-                piece = piece.lstrip(b" ")
-            for c in piece.decode():
-                put(space if c == " " else c.encode(), at)
-            if piece:
-                after_space = piece.endswith(b" ") if self.squeeze else False
-            at += n
-        if self.squeeze:
-            while out.endswith(space):
-                del out[-len(space) :], source[-len(space) :]
-        if self.dummy and self.suffix:
-            put(space, end)
-        return bytes(out), [*source, end]
-
-    def project(self, text: str, ids: list[int], pieces: list[str]) -> list[tuple[int, int]]:
-        """Byte spans in the original text, one per piece; together they leave no gap."""
-        _, source = self.normalise(text)
-        spans, at = [], 0
-        for k, p in zip(ids, pieces):
-            n = 1 if self.is_byte[k] else len(p.encode())
-            spans.append((source[at], source[min(at + n, len(source) - 1)]))
-            at += n
-        return spans
-
-    def _whole(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
-        ids = self.sp.encode(text)
-        return ids, self.project(text, ids, self.sp.encode(text, out_type=str))
+        data = text.encode()
+        end = len(data)
+        out, source, lead = self.mapped(data)
+        if self.squeeze and len(out):
+            space = out == 32
+            after = np.r_[True, space[:-1]]
+            last = len(out) - int(np.argmin(space[::-1])) if not space.all() else 0
+            keep = ~(space & lead & after)
+            keep[last:] = False
+            out, source = out[keep], source[keep]
+        if not len(out):
+            return out, np.array([end])
+        if self.dummy:
+            out = np.r_[out, np.uint8(32)] if self.suffix else np.r_[np.uint8(32), out]
+            source = np.r_[source, end] if self.suffix else np.r_[source[0], source]
+        if self.escape:
+            times = np.where(out == 32, len(META_BYTES), 1)
+            wide = np.repeat(out, times)
+            first = np.cumsum(times) - times
+            for k, c in enumerate(META_BYTES):
+                wide[first[out == 32] + k] = c
+            out, source = wide, np.repeat(source, times)
+        return out, np.r_[source, end]
+
+    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+        """As ``align``, in plain types."""
+        out, source = self.align(text)
+        return out.tobytes(), source.tolist()
+
+    def project(self, text: str, ids: list[int]) -> np.ndarray:
+        """Byte spans in the original text, a row (start, end) per piece; together they leave no gap but what squeezing drops."""
+        if not ids:
+            return np.zeros((0, 2), dtype=np.int64)
+        _, source = self.align(text)
+        sizes = self.n_bytes[ids]
+        if self.unk_id in ids:
+            # an unknown piece may stand for any characters
+            sizes = np.array([1 if self.is_byte[i] else len(p.encode()) for i, p in zip(ids, self.sp.encode(text, out_type=str))])
+        ends = np.minimum(np.cumsum(sizes), len(source) - 1)
+        return np.stack([source[np.r_[0, ends[:-1]]], source[ends]], axis=1)
 
     def _learn(self, words: set[str]) -> dict[str, tuple]:
-        """word -> (ids, ids as text, bytes that they cover with the space before it); encoded in one call."""
+        """word -> (ids, ids as text); encoded in one call."""
         new = list(words)
-        got = {w: (ids, ",".join(map(str, ids)), sum([self.n_bytes[i] for i in ids]) - len(META_BYTES) + 1) for w, ids in zip(new, self.sp.encode(new, num_threads=1))}
+        got = {w: (ids, ",".join(map(str, ids))) for w, ids in zip(new, self.sp.encode(new, num_threads=1))}
         self.cache.update((w, x) for w, x in got.items() if len(w) <= self.longest)
         return got
 
-    def segments(self, texts: list[str]) -> list[list[tuple] | None]:
-        """The segments of each text, or None for one that must be encoded whole."""
+    def ids_of(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+        """(ids, ids as text) of each text: by segments where these can be told apart, else whole."""
         if len(self.cache) > self.most:
             self.cache.clear()
         cut_up = [None if not self.by_segment or not t or t[0] == " " or t[-1] == " " or "  " in t or META in t else t.split(" ") for t in texts]
         known = self.cache
         fresh = self._learn({w for words in cut_up if words for w in words if w not in known})
-        return [None if words is None else [known.get(w) or fresh[w] for w in words] for words in cut_up]
+        for text, words in zip(texts, cut_up):
+            if words is None:
+                ids = self.sp.encode(text)
+                yield ids, ",".join(map(str, ids))
+            else:
+                parts = [known.get(w) or fresh[w] for w in words]
+                yield list(chain.from_iterable([p[0] for p in parts])), ",".join([p[1] for p in parts])
 
     def encode(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
         """(ids, byte spans) of a whole text; null as empty."""
         text = text or ""
-        (parts,) = self.segments([text])
-        if parts is None:
-            return self._whole(text)
-        ids, spans, at = [], [], -1  # the first segment's space is the dummy prefix
-        for part, _, n in parts:
-            # with an empty map every byte stands for itself, but for the space that a segment starts with
-            place = 0
-            for i in part:
-                end = place + self.n_bytes[i]
-                spans.append(tuple(max(0, at + max(x - len(META_BYTES) + 1, x > 0)) for x in (place, end)))
-                place = end
-            ids += part
-            at += n
-        return ids, spans
-
-    def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str, int]]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text, bytes that the spans cover) of each text."""
-        for text, parts in zip(texts, self.segments(texts)):
-            if parts is None:
-                ids, spans = self._whole(text)
-                line, covered = ",".join(map(str, ids)), sum(e - s for s, e in spans)
-            else:
-                ids = list(chain.from_iterable([p[0] for p in parts]))
-                line = ",".join([p[1] for p in parts])
-                covered = sum([p[2] for p in parts]) - 1
-            yield len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(self.sp.decode(ids).encode()).hexdigest(), covered
+        ((ids, _),) = self.ids_of([text])
+        return ids, [tuple(x) for x in self.project(text, ids).tolist()]
+
+    def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str, int, int]]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text, bytes inside spans, CRC-32 of the spans) of each text."""
+        for text, (ids, line) in zip(texts, self.ids_of(texts)):
+            spans = self.project(text, ids)
+            covered = int((spans[:, 1] - spans[:, 0]).sum())
+            yield len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(self.sp.decode(ids).encode()).hexdigest(), covered, zlib.crc32(spans.astype("<u4").tobytes())
 
 
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", text_col: str = "text") -> DataFrame:
@@ -211,14 +221,14 @@ def decode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", ids_co
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and covered (bytes of the text inside piece spans) per document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and of the pieces' byte spans covered (their bytes) and spans_crc32 (little-endian unsigned 32-bit starts and ends) per document."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, covered long")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, covered long, spans_crc32 long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = OffsetCodec("piece_bpe_32k.model")
         for texts in batches:
             rows = [r for at in range(0, len(texts), 256) for r in codec.digest([t or "" for t in texts[at : at + 256]])]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "covered"])
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "covered", "spans_crc32"])
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", run("text").alias("x")).select("doc_id", "x.*")
