@@ -37,23 +37,33 @@ CANDIDATE = "[A-Za-z0-9+/_=]{20,}"
 #: Documents in the labelled sample, about; all of them where the table has fewer.
 SAMPLE_DOCS = 4000
 
-SPAN = "struct<start:int,end:int,len:int>"
+def before_each(values: Column, kind: str, merge, width: int = 64) -> Column:
+    """What ``merge`` (associative, from 0) makes of all values before each one; ``kind`` is its type.
+
+    Arrays can only be grown by copying them, so chunks of ``width`` values are summed, the sums carried on, and each
+    chunk filled from its own start: no text's cost grows with the square of its matches.
+    """
+    zero, empty = F.lit(0).cast(kind), F.array().cast(f"array<{kind}>")
+    grow = lambda vs, start: F.aggregate(vs, F.struct(start.alias("at"), empty.alias("out")), lambda a, v: F.struct(merge(a["at"], v).cast(kind).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda k: F.slice(values, k * width + 1, F.lit(width)))
+    sums = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, v: merge(a, v).cast(kind)))
+    filled = F.flatten(F.zip_with(chunks, grow(sums, zero), lambda c, start: grow(c, start)))
+    return F.when(F.size(values) > 0, filled).otherwise(empty)
+
+
+SPAN = "struct<start:int,end:int,len:int,token:string>"
 
 
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, len>> of leftmost non-overlapping matches in code points; len is the group's length."""
+    """array<struct<start, end, len, token>> of leftmost non-overlapping matches in code points; len is the group's length."""
     between = F.split(text, pattern, -1)
-    whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.zip_with(F.transform(between, F.length), F.zip_with(F.transform(whole, F.length), F.transform(part, F.length), lambda a, b: F.struct(a.alias("w"), b.alias("g"))), lambda a, b: F.struct(a.alias("gap"), b.w.alias("w"), b.g.alias("g")))
-    sizes = F.filter(sizes, lambda s: s.w.isNotNull())
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, s: F.struct((a.at + s.gap + s.w).alias("at"), F.concat(a.out, F.array(F.struct((a.at + s.gap).alias("start"), (a.at + s.gap + s.w).alias("end"), s.g.alias("len")))).alias("out")),
-        lambda a: a.out,
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    # the last piece between matches has no match behind it
+    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda gap, w: F.length(gap) + F.length(w))
+    ends = F.zip_with(before_each(sizes, "int", lambda a, v: a + v), sizes, lambda before, n: before + n)
+    spans = F.zip_with(ends, F.zip_with(whole, part, lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g"))), lambda end, m: F.struct((end - F.length(m.w)).alias("start"), end.alias("end"), m.g.alias("len"), m.w.alias("token")))
+    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -111,8 +121,8 @@ def mean_llr(token: Column, model: np.ndarray) -> Column:
 def secret_scan(docs: DataFrame, model: np.ndarray | None = None, text_col: str = "text", id_col: str = "doc_id", least_llr: float = 3.0) -> DataFrame:
     """``docs`` with ``secrets`` added: array<struct<start, end, kind>> by start, then kind as listed.
 
-    Starts are in code points, ends exclusive. The Markov models add tokens of 20 or more characters with a
-    digit whose mean ratio reaches ``least_llr`` and that overlap no span of a fixed pattern. Null texts count as
+    Starts are in code points, ends exclusive. The Markov models add tokens of 20 or more characters whose mean
+    ratio reaches ``least_llr`` and that overlap no span of a fixed pattern. Null texts count as
     empty and have no spans; texts of any length are scanned whole; repeated rows are scanned each.
     """
     model = fit_markov(docs, text_col, id_col) if model is None else model
@@ -123,23 +133,24 @@ def secret_scan(docs: DataFrame, model: np.ndarray | None = None, text_col: str
     out = docs.withColumn("__base", F.concat(*[tag(s, k) for k, s in kinds.items()]))
     spans = find_spans(text, CANDIDATE)
     free = F.filter(spans, lambda s: ~F.exists(F.col("__base"), lambda b: (b.start < s.end) & (s.start < b.end)))
-    token = lambda s: F.substring(text, s.start + 1, s.end - s.start)
-    found = F.filter(free, lambda s: F.rlike(token(s), F.lit("[0-9]")) & (mean_llr(token(s), model) >= least_llr))
+    found = F.filter(free, lambda s: mean_llr(s.token, model) >= least_llr)
     merged = F.array_sort(F.concat(F.col("__base"), tag(found, MARKOV)))
     return out.withColumn("secrets", F.transform(merged, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).drop("__base")
 
 
 def redact(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
-    """The text with every span of ``secrets`` (by start; they may overlap) replaced by a mark."""
-    done = F.aggregate(
-        secrets,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s.end <= a.at, a).otherwise(
-            F.struct(s.end.alias("at"), F.concat(a.out, F.when(s.start >= a.at, F.concat(F.substring(text, a.at + 1, s.start - a.at), F.lit(mark))).otherwise(F.lit(""))).alias("out"))
-        ),
-        lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))),
-    )
-    return F.when(F.size(secrets) > 0, done).otherwise(text)
+    """The text with every span of ``secrets`` (by start; they may overlap) replaced by a mark; texts without spans as they are.
+
+    Only texts with spans are taken apart, into code points, so each gap is copied once.
+    """
+    chars = F.split(text, "")
+    # a gap begins where the spans so far end
+    ends = F.transform(secrets, lambda s: s["end"])
+    begun = F.zip_with(secrets, before_each(ends, "int", lambda a, v: F.greatest(a, v)), lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
+    gap = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
+    pieces = F.transform(F.filter(begun, lambda s: s["start"] >= s["at"]), lambda s: F.concat(gap(s["at"], s["start"] - s["at"]), F.lit(mark)))
+    last = F.array_max(ends)
+    return F.when(F.size(secrets) > 0, F.concat(F.array_join(pieces, ""), gap(last, F.greatest(F.size(chars) - last, F.lit(0))))).otherwise(text)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
