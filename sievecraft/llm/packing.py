@@ -38,31 +38,36 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_ranks(path: str) -> tuple[dict[bytes, int], str] | None:
-    """(token bytes -> id, split pattern) of a byte-level BPE file whose merges come in the order of their ids; else None."""
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int], str] | None:
+    """(token bytes -> id, added tokens -> id, split pattern) of a byte-level BPE file whose merges come in the order of their ids.
+
+    None for other files, and for added tokens that take in what stands around them, hold spaces or start one another.
+    """
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
     model, pre = data["model"], data.get("pre_tokenizer") or {}
     plain = model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not data.get("normalizer") and not model.get("ignore_merges")
-    if not plain:
+    added = {t["content"]: t["id"] for t in data.get("added_tokens", [])}
+    alone = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(r"\s", t["content"]) for t in data.get("added_tokens", []))
+    if not plain or not alone or any(x != y and x.startswith(y) for x in added for y in added):
         return None
     # printable stand-ins of bytes: those that are printable themselves, the others from 256 on
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(c): c for c in own} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in own)}
-    special = {t["content"] for t in data.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if merged != sorted(merged) or len(merged) + 256 != len(ranks):
         return None
-    return ranks, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return ranks, added, r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteBpe:
     """ids of whole texts as the tokenizers library gives them, with a bounded memory of space-led pieces.
 
-    The byte-level pattern never joins a non-space character with a space behind it, so a text may be cut before
-    every space that follows a non-space and its pieces encoded on their own. Other texts are encoded whole.
-    Where the file's merges come in the order of their ids, tiktoken gives the same ids from the same file faster.
+    Strings of added tokens in a text become those tokens, as the library's default has it. The byte-level pattern
+    never joins a non-space character with a space behind it, so a text may be cut before every space that follows a
+    non-space and its pieces encoded on their own. Other texts are encoded whole. Where the file's merges come in the
+    order of their ids, tiktoken gives the same ids from the same file faster.
     """
 
     SPACES = re.compile(r"\s ")
@@ -72,13 +77,18 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
+        self.whole = False
         if got := byte_ranks(path):
             import tiktoken
 
-            self._ids = tiktoken.Encoding(name, pat_str=got[1], mergeable_ranks=got[0], special_tokens={}).encode_ordinary
+            ranks, added, pattern = got
+            encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+            names = tuple(added)
+            self._ids = lambda t: encoding.encode(t, allowed_special="all", disallowed_special=()) if any(s in t for s in names) else encoding.encode_ordinary(t)
         else:
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
+            added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+            self.whole = any(re.search(r"\s", t) for t in added) or any(t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values())
             self._ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
         self.cache: dict[str, bytes] = {}
         self.most, self.longest = most, longest
@@ -94,7 +104,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.SPACES.search(text):
+        if self.whole or self.SPACES.search(text):
             return self._encode(text)
         if len(self.cache) > self.most:
             self.cache.clear()
@@ -212,20 +222,26 @@ def plan_slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {x: np.array(rows, dtype=np.int64) for x, rows in slots.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece with its place.
 
-    Null texts count as empty; an empty text still has its separator, so it is one piece of length 1. Repeated
-    rows and null ids are packed like any other row. Ranks among pieces of one length are counted in ``buckets``
-    dealt by hash and then shifted by the buckets before (at most capacity x buckets sums, which are broadcast),
-    so one very common length isn't gathered in a task.
+    Null texts count as empty; an empty text still has its separator, so it is one piece of length 1. Texts of any
+    length are encoded whole and cut into pieces. Repeated rows and null ids are packed like any other row; an empty
+    table gives an empty result; other columns are left out.
+
+    Pieces of one length are ranked in buckets of about ``bucket_rows``, dealt by hash, and shifted by the buckets
+    before, so one very common length isn't gathered in a task. The sums that are broadcast for it are at most
+    100,000 and one per length, as buckets grow beyond that.
     """
-    pieces = cut(pieces_of(docs, tokenizer, capacity, text_col, id_col).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = sums.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
+    pieces = cut(pieces_of(docs, tokenizer, capacity, text_col, id_col), "pieces")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r.length] = r.n
+    each = max(bucket_rows, int(counts.sum()) // 100_000)
+    buckets = F.lit((-(-counts // each)).astype(np.int32).clip(1))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(buckets, F.col("length").cast("int") + 1)).cast("int"))
+    sums = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     slots = plan_slots(plan_packing(counts, capacity))
     local = F.row_number().over(W.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = pieces.withColumn("local", local).join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("local") + F.col("before"))
