@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .window import prefix_sums
+
 #: A lookup of at most so many categories is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -36,8 +38,9 @@ def frequency_encode(train: DataFrame, df: DataFrame, col: str, out: str, relati
 
 
 def ordinal_codes(train: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, code): codes from 0 in sorted order. The window runs over distinct values only."""
-    return train.where(F.col(col).isNotNull()).select(col).distinct().withColumn(out, F.row_number().over(W.orderBy(col)) - 1)
+    """(value, code): codes from 0 in sorted order, ranked range by range."""
+    values = train.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct().withColumn("n", F.lit(1))
+    return prefix_sums(values, "value", ["n"]).select(F.col("value").alias(col), F.col("before_n").cast("int").alias(out))
 
 
 def ordinal_encode(train: DataFrame, df: DataFrame, col: str, out: str) -> DataFrame:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .window import exact_quantiles
+
 INF = float("inf")
 
 
@@ -88,7 +90,7 @@ def fit_standard(train: DataFrame, cols: list[str]) -> dict[str, Column]:
 
 def fit_robust(train: DataFrame, cols: list[str], low: float = 0.25, high: float = 0.75) -> dict[str, Column]:
     """(x - median) / (upper - lower quantile)."""
-    row = train.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(0.5), F.lit(high))).alias(c) for c in cols]).first()
+    row = exact_quantiles(train, cols, [low, 0.5, high])
     return {c: F.try_divide(F.col(c) - F.lit(row[c][1]), F.lit(row[c][2] - row[c][0])) for c in cols}
 
 
@@ -96,9 +98,10 @@ def fit_impute(train: DataFrame, cols: list[str], how: str = "mean") -> dict[str
     """Missing becomes the training mean, median or most frequent value (the smallest of ties)."""
     if how == "most_frequent":
         values = {c: (train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first() or [None])[0] for c in cols}
+    elif how == "median":
+        values = {c: q[0] for c, q in exact_quantiles(train.select(*[clean(F.col(c)).alias(c) for c in cols]), cols, [0.5]).items()}
     else:
-        f = {"mean": lambda c: F.avg(c), "median": lambda c: F.percentile(c, F.lit(0.5))}[how]
-        row = train.agg(*[f(clean(F.col(c))).alias(c) for c in cols]).first()
+        row = train.agg(*[F.avg(clean(F.col(c))).alias(c) for c in cols]).first()
         values = {c: row[c] for c in cols}
     return {c: F.coalesce(clean(F.col(c)) if how != "most_frequent" else F.col(c), F.lit(values[c])) for c in cols}
 
@@ -131,7 +134,7 @@ def fit_equi_width(train: DataFrame, cols: list[str], n: int = 10) -> dict[str,
 
 def fit_quantile_bins(train: DataFrame, cols: list[str], n: int = 10) -> dict[str, Column]:
     """Bins between exact quantiles; equal edges are merged, the lowest value belongs to the first bin."""
-    row = train.agg(*[F.percentile(c, F.array(*[F.lit(i / n) for i in range(n + 1)])).alias(c) for c in cols]).first()
+    row = exact_quantiles(train, cols, [i / n for i in range(n + 1)])
     out = {}
     for c in cols:
         edges = sorted(set(row[c]))
@@ -143,7 +146,7 @@ def fit_winsorize(train: DataFrame, col: str, low: float = 0.0, high: float = 0.
     """Clamp to the order statistics that cut the given shares; without shares nothing changes."""
     if not low and not high:
         return F.col(col)
-    lo, hi = train.agg(F.percentile(col, F.array(F.lit(low), F.lit(1 - high))).alias("q")).first().q
+    lo, hi = exact_quantiles(train, [col], [low, 1 - high])[col]
     return F.when(F.col(col).isNotNull(), F.least(F.greatest(F.col(col), F.lit(lo)), F.lit(hi)))
 
 

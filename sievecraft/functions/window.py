@@ -1,29 +1,81 @@
 """Rank transformations.
 
-A window ordered over a whole column is one task. ``global_rank`` instead range-partitions by value, ranks inside
-each partition and shifts by the rows before it, whose counts are one row per partition.
+A window ordered over a whole column is one task. Here distinct values are dealt to ranges, summed inside each range
+and shifted by the ranges before it, whose sums are one row per range.
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def range_edges(values: DataFrame, col: str) -> list:
+    """Upper ends of up to as many ranges as there are shuffle partitions, from a sample by hash: they decide the cost, not the result."""
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts == 1:
+        return []
+    some = sorted(r[0] for r in values.where(F.col(col).isNotNull()).select(col).orderBy(F.xxhash64(col)).limit(50 * parts).collect())
+    return sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+
+
+def range_of(value: Column, edges: list) -> Column:
+    """How many edges lie below the value, by binary search."""
+    if not edges:
+        return F.lit(0)
+    steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
+    known = F.array(*[F.lit(e) for e in edges])
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) < value, at + step).otherwise(at))
+
+
+def prefix_sums(values: DataFrame, col: str, sums: list[str], by: list[str] | None = None) -> DataFrame:
+    """``values`` with before_<s> for each of ``sums``: its sum over the rows with a smaller ``col``, within ``by``.
+
+    ``values`` has one row per ``by`` and ``col``; ``by`` has few values, and the sums per range come in one row each.
+    """
+    by = by or []
+    ranged = values.withColumn("__part", range_of(F.col(col), range_edges(values, col)))
+    totals = ranged.groupBy(*by, "__part").agg(*[F.sum(s).alias(f"__{s}") for s in sums])
+    earlier = W.partitionBy(*by).orderBy("__part")
+    offset = totals.select(*by, "__part", *[(F.sum(f"__{s}").over(earlier) - F.col(f"__{s}")).alias(f"__{s}") for s in sums])
+    local = W.partitionBy(*by, "__part").orderBy(col)
+    out = ranged.withColumns({f"before_{s}": F.sum(s).over(local) - F.col(s) for s in sums})
+    out = out.join(offset if by else F.broadcast(offset), [*by, "__part"])
+    return out.withColumns({f"before_{s}": F.col(f"before_{s}") + F.col(f"__{s}") for s in sums}).drop("__part", *[f"__{s}" for s in sums])
+
+
 def value_ranks(df: DataFrame, col: str) -> DataFrame:
     """(value, n, before): distinct non-missing values with rows of that value and rows of smaller ones."""
     counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # the edges of ranges are fixed first, so a value's range is an expression and needs no second look at the data
-    edges = counts.select(F.percentile_approx("value", F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.lit(0.5), 1000).alias("q")).first().q
-    edges = sorted(set(edges if isinstance(edges, list) else [edges])) if edges is not None else []
-    part = sum([(F.col("value") > F.lit(e)).cast("int") for e in edges], F.lit(0))
-    ranged = counts.withColumn("part", part)
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("total"))
-    offset = sums.withColumn("offset", F.sum("total").over(W.orderBy("part")) - F.col("total")).select("part", "offset")  # one row per range
-    local = F.sum("n").over(W.partitionBy("part").orderBy("value")) - F.col("n")
-    return ranged.withColumn("local", local).join(F.broadcast(offset), "part").select("value", "n", (F.col("local") + F.col("offset")).alias("before"))
+    return prefix_sums(counts, "value", ["n"]).select("value", "n", F.col("before_n").alias("before"))
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of each column, interpolated between order statistics; None where a column has no values.
+
+    Counts per value are summed over ranges, so no task and no buffer holds a column; only the order statistics that
+    are asked for come to the driver.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])
+    counts = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    total = {r.feature: r.t for r in counts.groupBy("feature").agg(F.sum("n").alias("t")).collect()}
+    at = {c: [q * (total[c] - 1) for q in shares] for c in cols if c in total}
+    wanted = {c: sorted({k for x in ps for k in (math.floor(x), math.ceil(x))}) for c, ps in at.items()}
+    if not wanted:
+        return {c: [None] * len(shares) for c in cols}
+    ranks = prefix_sums(counts, "value", ["n"], ["feature"])
+    place = F.create_map(*[x for c, ks in wanted.items() for x in (F.lit(c), F.array(*[F.lit(k) for k in ks]))])
+    hit = F.exists(F.element_at(place, F.col("feature")), lambda k: (k >= F.col("before_n")) & (k < F.col("before_n") + F.col("n")))
+    found = ranks.where(hit).collect()
+    out: dict[str, list[float | None]] = {c: [None] * len(shares) for c in cols}
+    for c, ps in at.items():
+        value = {k: r.value for r in found if r.feature == c for k in wanted[c] if r.before_n <= k < r.before_n + r.n}
+        out[c] = [value[math.floor(x)] if x == math.floor(x) else (math.ceil(x) - x) * value[math.floor(x)] + (x - math.floor(x)) * value[math.ceil(x)] for x in ps]
+    return out
 
 
 def rankdata(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -56,15 +108,40 @@ def trim_tail(rank: Column, value: Column, n: int, share: float = 0.2) -> Column
     return F.when(rank > int(share * n), value)
 
 
+def inverse_normal(p: Column) -> Column:
+    """Inverse of the standard normal distribution, per row in Arrow batches, as built-in functions lack it."""
+
+    @F.pandas_udf("double")
+    def inverse(x: pd.Series) -> pd.Series:
+        from statistics import NormalDist
+
+        return x.map(NormalDist().inv_cdf, na_action="ignore")
+
+    return inverse(p)
+
+
+def normal_scores(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Normal quantile transformation: the share of the mean rank among equal values, kept 1e-7 from 0 and 1, through the inverse normal distribution."""
+    total = df.where(F.col(col).isNotNull()).count()
+    share = (F.col("before") + (F.col("n") - 1) / 2.0) / F.lit(float(max(1, total - 1)))
+    ranks = value_ranks(df, col).select("value", inverse_normal(F.least(F.greatest(share, F.lit(1e-7)), F.lit(1 - 1e-7))).alias(out))
+    return df.join(ranks, F.col(col) == ranks["value"], "left").drop("value")
+
+
 def histogram_density(df: DataFrame, col: str, out: str, factor: float = 1.2) -> DataFrame:
     """Shifted-histogram density: rows within h of a value over 2nh, h = factor * IQR / n^(1/5).
 
-    Counts per distinct value and their running sums answer every range; the range window runs inside one
-    partition of distinct values only.
+    Distinct values go to cells a little wider than h, each to its own cell and both neighbours, so what is within h
+    of a value is in its cell, and the range window runs per cell.
     """
-    n, q = df.where(F.col(col).isNotNull()).agg(F.count("*"), F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))).first()
-    h = factor * (q[1] - q[0]) / n**0.2
+    n = df.where(F.col(col).isNotNull()).count()
+    low, high = exact_quantiles(df, [col], [0.25, 0.75])[col]
+    h = factor * ((high or 0.0) - (low or 0.0)) / max(1, n) ** 0.2
     values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("value")).agg(F.count("*").alias("n"))
-    near = F.expr(f"sum(n) OVER (ORDER BY value RANGE BETWEEN {h!r}D PRECEDING AND {h!r}D FOLLOWING)")
-    dens = values.select("value", (near / F.lit(2.0 * n * h)).alias(out))
+    if h > 0:
+        cell = F.floor(F.col("value") / F.lit(1.001 * h))
+        dealt = values.withColumn("cell", cell).withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("cell", F.col("cell") + F.col("d"))
+        near = F.expr(f"sum(n) OVER (PARTITION BY cell ORDER BY value RANGE BETWEEN {h!r}D PRECEDING AND {h!r}D FOLLOWING)")
+        values = dealt.withColumn("near", near).where("d = 0").select("value", F.col("near").alias("n"))
+    dens = values.select("value", F.try_divide("n", F.lit(2.0 * n * h)).alias(out))
     return df.join(dens, F.col(col) == dens["value"], "left").drop("value")

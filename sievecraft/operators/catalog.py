@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.window import value_ranks
+
 SCHEMA = "key string, op string, parents array<string>, expr string, complexity int, raw array<string>"
 UNARY_OPS = {"minus": "(-{0})", "log": "ln({0})", "one_div": "try_divide(1D, {0})", "square": "({0} * {0})"}
 BINARY_OPS = {"sum": "({0} + {1})", "prod": "({0} * {1})", "divide": "try_divide({0}, {1})", "subtract": "({0} - {1})"}
@@ -94,7 +96,7 @@ def search_space_size(attributes: int, unary: int, binary: int) -> dict[str, int
     return {"unary": fui, "binary": foi, "unary_of_binary": foui, "total": attributes + fui + foi + foui}
 
 
-def materialize(df: DataFrame, candidates: DataFrame, keep: list[str], chunk: int = 150) -> tuple[DataFrame, list[str]]:
+def materialize(df: DataFrame, candidates: DataFrame, keep: list[str]) -> tuple[DataFrame, list[str]]:
     """(table with a column c0, c1, .. per candidate, their keys by key): one select; the catalog's expressions are the plan."""
     rows = candidates.select("key", "expr").orderBy("key").collect()
     exprs = [F.expr(r.expr).cast("double").alias(f"c{i}") for i, r in enumerate(rows)]
@@ -112,10 +114,28 @@ def drop_constant(prints: DataFrame) -> DataFrame:
     return prints.where("lo < hi")
 
 
-def drop_equivalent(prints: DataFrame, complexity: DataFrame) -> DataFrame:
-    """Of candidates with identical values, the least complex (then the first key) stays."""
+def drop_equivalent(prints: DataFrame, complexity: DataFrame, table: DataFrame | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+    """Of candidates with identical values, the least complex (then the first key) stays.
+
+    Equal prints are the candidates for that. With ``table`` and ``columns`` (key -> its column), each is compared with
+    those that stay of its print, value by value, in one aggregate per round; what differs in any row stays.
+    """
     w = W.partitionBy("print").orderBy("complexity", "key")
-    return prints.join(complexity, "key").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    ranked = prints.join(complexity, "key").withColumn("rn", F.row_number().over(w))
+    if table is None:
+        return ranked.where("rn = 1").drop("rn")
+    groups: dict = {}
+    for r in ranked.withColumn("m", F.count("*").over(W.partitionBy("print"))).where("m > 1").orderBy("print", "rn").select("print", "key").collect():
+        groups.setdefault(r.print, []).append(r.key)
+    gone: list[str] = []
+    value = lambda k: F.round(F.col(columns[k]), 9) + F.lit(0.0)
+    while pairs := [(keys[0], k) for keys in groups.values() for k in keys[1:]]:
+        same = table.agg(*[F.bool_and(value(a).eqNullSafe(value(b))).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
+        equal = {b for i, (_, b) in enumerate(pairs) if same[i] is not False}
+        gone += sorted(equal)
+        # the first of those that differ stands for the next round
+        groups = {p: [k for k in keys[1:] if k not in equal] for p, keys in groups.items()}
+    return ranked.where(~F.col("key").isin(gone)).drop("rn") if gone else ranked.drop("rn")
 
 
 def drop_equal_score(scored: DataFrame, places: int = 9) -> DataFrame:
@@ -153,13 +173,15 @@ def complexity_prune(scored: DataFrame) -> DataFrame:
 
 def harmonic_scores(scored: DataFrame) -> DataFrame:
     """Harmonic mean of the shares of candidates that are at least as complex and that score no better."""
-    simple = F.cume_dist().over(W.orderBy(F.desc("complexity")))
-    good = F.cume_dist().over(W.orderBy("score"))
-    return scored.withColumn("simplicity", simple).withColumn("quality", good).withColumn("harmonic", 2 * F.col("simplicity") * F.col("quality") / (F.col("simplicity") + F.col("quality")))
+    total = F.lit(scored.count())
+    simple = value_ranks(scored, "complexity").select(F.col("value").alias("complexity"), ((total - F.col("before")) / total).alias("simplicity"))
+    good = value_ranks(scored, "score").select(F.col("value").alias("score"), ((F.col("before") + F.col("n")) / total).alias("quality"))
+    return scored.join(simple, "complexity").join(good, "score").withColumn("harmonic", 2 * F.col("simplicity") * F.col("quality") / (F.col("simplicity") + F.col("quality")))
 
 
 def aicc(k: Column, n: Column, rss: Column) -> Column:
-    return 2 * k + n * F.ln(rss / n) + F.try_divide(2 * k * (k + 1), n - k - 1)
+    """Corrected information criterion; infinite where there are too few rows for the correction (n <= k + 1)."""
+    return F.when(n > k + 1, 2 * k + n * F.ln(rss / n) + F.try_divide(2 * k * (k + 1), n - k - 1)).otherwise(F.lit(float("inf")))
 
 
 def aic_weights(models: DataFrame, score: str) -> DataFrame:

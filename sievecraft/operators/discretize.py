@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.window import range_edges, range_of
+
 
 def value_class_counts(df: DataFrame, col: str, label: str) -> DataFrame:
     """(v, n0, n1): rows of each value by binary class."""
@@ -26,11 +28,15 @@ def cut_gains(counts: DataFrame, segment: Column) -> DataFrame:
 
     Accepted if gain > (log2(N - 1) + delta) / N with delta = log2(3^k) - k H + k1 H1 + k2 H2.
     """
-    c = counts.withColumn("segment", segment)
-    w = W.partitionBy("segment").orderBy("v")
-    whole = W.partitionBy("segment")
-    run = c.withColumn("l0", F.sum("n0").over(w)).withColumn("l1", F.sum("n1").over(w)).withColumn("t0", F.sum("n0").over(whole)).withColumn("t1", F.sum("n1").over(whole))
-    run = run.withColumn("next_v", F.lead("v").over(w)).withColumn("next0", F.lead("n0").over(w)).withColumn("next1", F.lead("n1").over(w))
+    c = counts.withColumn("segment", segment).withColumn("part", range_of(F.col("v"), range_edges(counts, "v")))
+    # sums and first value of each range of a segment; a window over these few rows carries them across ranges
+    ranges = c.groupBy("segment", "part").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), F.min(F.struct("v", "n0", "n1")).alias("first"))
+    along, whole = W.partitionBy("segment").orderBy("part"), W.partitionBy("segment")
+    ranges = ranges.select("segment", "part", (F.sum("s0").over(along) - F.col("s0")).alias("o0"), (F.sum("s1").over(along) - F.col("s1")).alias("o1"), F.sum("s0").over(whole).alias("t0"), F.sum("s1").over(whole).alias("t1"), F.lead("first").over(along).alias("then"))
+    w = W.partitionBy("segment", "part").orderBy("v")
+    run = c.withColumn("l0", F.sum("n0").over(w)).withColumn("l1", F.sum("n1").over(w)).withColumn("next", F.lead(F.struct("v", "n0", "n1")).over(w)).join(ranges, ["segment", "part"])
+    run = run.withColumns({"l0": F.col("l0") + F.col("o0"), "l1": F.col("l1") + F.col("o1"), "next": F.coalesce("next", "then")})
+    run = run.withColumns({"next_v": F.col("next.v"), "next0": F.col("next.n0"), "next1": F.col("next.n1")})
     mixes = ((F.col("n0") > 0) & (F.col("next1") > 0)) | ((F.col("n1") > 0) & (F.col("next0") > 0))
     x = run.where(F.col("next_v").isNotNull() & mixes)
     r0, r1 = F.col("t0") - F.col("l0"), F.col("t1") - F.col("l1")

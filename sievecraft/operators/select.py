@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.window import range_edges, range_of
+
 
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
     """The k features of highest score; ties by name."""
@@ -29,13 +31,19 @@ def weighted_ranking(rankings: list[DataFrame], weights: list[float]) -> DataFra
     return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.sum("score").alias("score"))
 
 
+def top_per_group(scores: DataFrame, group: str, k: int = 1) -> DataFrame:
+    """The k features of highest score in each group (for instance of one transformation); ties by name."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "feature"))
+    return scores.withColumn("place", place).where(F.col("place") <= k)
+
+
 def agreement(masks: list[DataFrame]) -> DataFrame:
     """Features that every mask selects."""
     return reduce(DataFrame.intersect, [m.select("feature") for m in masks])
 
 
 def all_masks(df: DataFrame, n: int, most: int) -> DataFrame:
-    """(mask, size): every non-empty subset of n features with at most ``most``; bit i stands for feature i."""
+    """(mask, size): every non-empty subset of n features (62 at most, as there are 2^n) with at most ``most``; bit i stands for feature i."""
     masks = df.sparkSession.range(1, 1 << n).select(F.col("id").alias("mask"), F.bit_count("id").cast("int").alias("size"))
     return masks.where(F.col("size") <= most)
 
@@ -64,19 +72,49 @@ def set_cover(covers: DataFrame, steps: int, weight: DataFrame | None = None) ->
 def pareto_front(df: DataFrame, id_col: str, maximise: list[str]) -> DataFrame:
     """Rows that no other row dominates: better in one column and no worse in any.
 
-    A sort by the first column and a running maximum of the second decide two columns; more need the anti-join,
-    which is for tables of candidates, not of rows.
+    Two columns: the best second value of each first value, against the running maximum over larger first values,
+    range by range. More: every task drops what its own rows dominate, and what is left of all tasks decides.
     """
     if len(maximise) == 2:
         a, b = maximise
         best = df.groupBy(a).agg(F.max(b).alias("__b"))
-        above = F.max("__b").over(W.orderBy(F.desc(a)).rowsBetween(W.unboundedPreceding, -1))
-        keep = best.withColumn("__above", above).where(F.col("__above").isNull() | (F.col("__b") > F.col("__above")))
+        best = best.withColumn("__part", range_of(F.col(a), range_edges(best, a)))
+        later = W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)  # one row per range
+        ranges = best.groupBy("__part").agg(F.max("__b").alias("__m")).select("__part", F.max("__m").over(later).alias("__beyond"))
+        above = F.max("__b").over(W.partitionBy("__part").orderBy(F.desc(a)).rowsBetween(W.unboundedPreceding, -1))
+        keep = best.withColumn("__above", above).join(F.broadcast(ranges), "__part").withColumn("__above", F.greatest("__above", "__beyond"))
+        keep = keep.where(F.col("__above").isNull() | (F.col("__b") > F.col("__above")))
         return df.join(keep.select(a, F.col("__b").alias(b)), [a, b])
-    o = df.select(*[F.col(c).alias(f"o_{c}") for c in maximise]).distinct()
+    points = df.select(*maximise).distinct()
+    left = points.mapInPandas(local_skyline(maximise), points.schema)
+    o = left.select(*[F.col(c).alias(f"o_{c}") for c in maximise])
     no_worse = reduce(lambda x, y: x & y, [F.col(f"o_{c}") >= F.col(c) for c in maximise])
     better = reduce(lambda x, y: x | y, [F.col(f"o_{c}") > F.col(c) for c in maximise])
-    return df.join(o, no_worse & better, "left_anti")
+    front = left.join(o, no_worse & better, "left_anti").select(*[F.col(c).alias(f"f_{c}") for c in maximise])
+    return df.join(front, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in maximise]), "left_semi")
+
+
+def local_skyline(maximise: list[str], block: int = 1000):
+    """mapInPandas function: the points of a task that none of its own points dominates; blocks meet the skyline so far."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        best = None
+        for b in batches:
+            for at in range(0, len(b), block):
+                x = b.iloc[at : at + block]
+                x = x if best is None else pd.concat([best, x], ignore_index=True)
+                v = x[maximise].to_numpy(dtype=float)
+                lost = np.zeros(len(v), dtype=bool)
+                for lo in range(0, len(v), 256):
+                    part = v[lo : lo + 256, None, :]
+                    lost[lo : lo + 256] = ((v[None] >= part).all(axis=2) & (v[None] > part).any(axis=2)).any(axis=1)
+                best = x[~lost]
+        if best is not None:
+            yield best
+
+    return run
 
 
 def nearest(points: DataFrame, anchors: DataFrame | None, features: list[str], id_col: str, k: int) -> DataFrame:

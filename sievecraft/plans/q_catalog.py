@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.window import prefix_sums
 from ..operators import catalog as cg
 from ..operators import profile as pf
 from ..registry import FEATURES, lines, query, r6, read
@@ -104,7 +104,8 @@ def _prints(s, d):
     flat = s.createDataFrame([("tax0", "zero", ["tax"], "(tax * 0D)", 2, ["tax"]), ("quantity2", "double", ["quantity"], "(quantity + quantity)", 2, ["quantity"]), ("quantity3", "twice", ["quantity"], "(2D * quantity)", 2, ["quantity"])], cg.SCHEMA)
     every = raw.unionByName(flat)
     out, names = cg.materialize(lines(s, d), every, ["row_id"])
-    return cg.fingerprints(out, [f"c{i}" for i in range(len(names))], names, "row_id"), every
+    columns = {n: f"c{i}" for i, n in enumerate(names)}
+    return cg.fingerprints(out, list(columns.values()), names, "row_id"), every, out, columns
 
 
 @query("drop_constant", "SELECT unnest(['discount', 'price', 'quantity', 'quantity2', 'quantity3', 'tax']) AS key")
@@ -114,8 +115,8 @@ def drop_constant(s, d):
 
 @query("drop_equivalent", "SELECT unnest(['discount', 'price', 'quantity', 'quantity2', 'tax', 'tax0']) AS key")
 def drop_equivalent(s, d):
-    prints, every = _prints(s, d)
-    return cg.drop_equivalent(prints, every.select("key", "complexity")).select("key")
+    prints, every, table, columns = _prints(s, d)
+    return cg.drop_equivalent(prints, every.select("key", "complexity"), table, columns).select("key")
 
 
 # scored candidates: parts stand for raw features of price, their products with a score from the table
@@ -160,7 +161,9 @@ def complexity_prune(s, d):
 
 @query("order_by_complexity", _SC + " SELECT key, complexity::INT AS complexity, row_number() OVER (ORDER BY complexity, len(raw), key)::INT AS place FROM sc")
 def order_by_complexity(s, d):
-    return _scored(s, d).select("key", "complexity", F.row_number().over(W.orderBy("complexity", F.size("raw"), "key")).alias("place"))
+    # one sortable text per candidate, ranked range by range
+    scored = _scored(s, d).withColumn("value", F.concat(F.format_string("%010d%010d", "complexity", F.size("raw")), "key")).withColumn("n", F.lit(1))
+    return prefix_sums(scored, "value", ["n"]).select("key", "complexity", (C("before_n") + 1).cast("int").alias("place"))
 
 
 @query("harmonic_stop", _SC + ", h AS (SELECT key, complexity, cume_dist() OVER (ORDER BY complexity DESC) AS a, cume_dist() OVER (ORDER BY score) AS b FROM sc) SELECT complexity::INT AS complexity, round(max(2 * a * b / (a + b)), 6) AS best FROM h GROUP BY 1")
@@ -175,9 +178,11 @@ def _models(s, d):
     return read(s, d, "part").where("p_size <= 8").groupBy(C("p_size").alias("k")).agg(F.count("*").alias("n"), F.sum((C("p_retailprice") - 1000) * (C("p_retailprice") - 1000)).alias("rss"))
 
 
-@query("aicc_select", f"SELECT k, round(2 * k + n * ln(rss / n) + 2 * k * (k + 1) / (n - k - 1), 5) AS aicc FROM ({_RSS}) ORDER BY 2, k LIMIT 3")
+@query("aicc_select", f"SELECT k, round(2 * k + n * ln(rss / n) + 2 * k * (k + 1) / (n - k - 1), 5) AS aicc FROM ({_RSS}) WHERE n > k + 1 ORDER BY 2, k LIMIT 3")
 def aicc_select(s, d):
-    return _models(s, d).select("k", F.round(cg.aicc(C("k"), C("n"), C("rss")), 5).alias("aicc")).orderBy("aicc", "k").limit(3)
+    """The three best models; those with too few rows for the correction have an infinite criterion and are never best."""
+    scored = _models(s, d).select("k", F.round(cg.aicc(C("k"), C("n"), C("rss")), 5).alias("aicc"))
+    return scored.where(C("aicc") < float("inf")).orderBy("aicc", "k").limit(3)
 
 
 @query("aic_ensemble", f"WITH m AS (SELECT k, 2 * k + ln(rss / n) AS a FROM ({_RSS})), w AS (SELECT k, exp(-(a - (SELECT min(a) FROM m)) / 2) AS w FROM m) SELECT k, round(w / (SELECT sum(w) FROM w), 6) AS weight FROM w")

@@ -202,6 +202,12 @@ def quantile_transform(s, d):
     return win.percent_ranks(lines(s, d), "price", "u").select("row_id", r6(C("u"), "price"))
 
 
+@query("quantile_transform_normal")
+def quantile_transform_normal(s, d):
+    """Normal output; the inverse normal distribution has no SQL form."""
+    return win.normal_scores(lines(s, d), "price", "z").select("row_id", r6(C("z"), "price"))
+
+
 @query("str_length", "SELECT doc_id, length(text)::INT AS n, length(doc_id::VARCHAR)::INT AS id_n FROM documents")
 def str_length(s, d):
     return read(s, d, "documents").select("doc_id", F.length("text").alias("n"), F.length(C("doc_id").cast("string")).alias("id_n"))
