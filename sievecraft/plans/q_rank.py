@@ -101,14 +101,9 @@ def rank_fcbf_redundancy(s, d):
     return scored(rk.rank_fcbf(rk.binned(df, [*FEATURES, "quantity2"]), [*FEATURES, "quantity2"], "label", redundancy=True))
 
 
-@query("rank_relieff", """WITH t AS (SELECT * FROM {lines}), m AS (SELECT """ + ", ".join(f"min({f}) AS lo_{f}, max({f}) - min({f}) AS w_{f}" for f in FEATURES) + " FROM t), x AS (SELECT row_id, label, " + ", ".join(f"({f} - lo_{f}) / w_{f} AS {f}" for f in FEATURES) + " FROM t, m), a AS (SELECT * FROM x WHERE row_id % 4000 = 1), p AS (SELECT a.row_id AS aid, a.label AS ay, x.label AS y, x.row_id AS id, " + ", ".join(f"abs(a.{f} - x.{f}) AS {f}" for f in FEATURES) + " FROM a JOIN x ON a.row_id <> x.row_id), nr AS (SELECT *, row_number() OVER (PARTITION BY aid, y ORDER BY " + " + ".join(FEATURES) + ", id) AS rn FROM p), pr AS (SELECT label, count(*) / (SELECT count(*) FROM t) AS p FROM t GROUP BY 1), k AS (SELECT nr.*, CASE WHEN nr.y = nr.ay THEN -1 ELSE u.p / (1 - v.p) END AS w FROM nr JOIN pr u ON u.label = nr.y JOIN pr v ON v.label = nr.ay WHERE rn <= 10), sm AS (SELECT unnest([" + ", ".join(f"{{'feature': '{f}', 'score': sum(w * {f}) / (10.0 * (SELECT count(*) FROM a))}}" for f in FEATURES) + "]) AS f FROM k) SELECT f.feature, round(f.score, 6) AS score FROM sm")
+@query("rank_relieff")
 def rank_relieff(s, d):
-    return scored(rk.rank_relieff(lines(s, d), FEATURES, "label", "row_id", C("row_id") % 4000 == 1))
-
-
-@query("rank_relieff_all")
-def rank_relieff_all(s, d):
-    """ReliefF with every row as an anchor; rank_relieff keeps to the anchors that its SQL states."""
+    """Every row is an anchor; no SQL, which would compare all rows with all rows. Tests hold it to brute force."""
     return scored(rk.rank_relieff(lines(s, d), FEATURES, "label", "row_id"))
 
 
@@ -157,7 +152,25 @@ def feature_correlations(s, d):
     return rk.feature_correlations(lines(s, d), FEATURES).select("a", "b", r6(C("corr"), "corr"), r6(C("r2"), "r2"))
 
 
-@query("redundancy_r2")
+_F5 = [*FEATURES, "total"]
+
+
+def _r2_sql():
+    """R2 of each feature from all others as 1 - 1 / (inverse of the correlation matrix), the inverse by cofactors."""
+    c = {(a, b): "1.0::DOUBLE" if a == b else f"c_{min(a, b)}_{max(a, b)}" for a in range(5) for b in range(5)}
+
+    def det(rows, cols):
+        if len(rows) == 1:
+            return c[rows[0], cols[0]]
+        return "(" + " ".join(f"{'+' if j % 2 == 0 else '-'} {c[rows[0], x]} * {det(rows[1:], [*cols[:j], *cols[j + 1 :]])}" for j, x in enumerate(cols)) + ")"
+
+    every = list(range(5))
+    corr = ", ".join(f"corr({_F5[a]}, {_F5[b]}) AS c_{a}_{b}" for a in every for b in every if a < b)
+    each = " UNION ALL ".join(f"SELECT '{f}' AS feature, 1 - {det(every, every)} / {det([x for x in every if x != i], [x for x in every if x != i])} AS r2 FROM k" for i, f in enumerate(_F5))
+    return f"WITH t AS (SELECT *, price * (1 - discount) AS total FROM {{lines}}), k AS (SELECT {corr} FROM t) SELECT feature, round(r2, 6) AS r2, r2 > 0.5 AS keep FROM ({each})"
+
+
+@query("redundancy_r2", _r2_sql())
 def redundancy_r2(s, d):
     df = lines(s, d).withColumn("total", C("price") * (1 - C("discount")))
     return rk.redundancy_r2(df, [*FEATURES, "total"], 0.5).select("feature", r6(C("r2"), "r2"), "keep")
