@@ -58,6 +58,19 @@ def fit_nb(train: DataFrame, features: list[str], label: str, smoothing: float =
     return NaiveBayes(labels, n[:, 0] / n[:, 0].sum(), mean, var)
 
 
+def mask_type(n: int) -> str:
+    """How a mask over n features is stored: a long, or from 64 features on a text of 0 and 1, first feature first."""
+    return "long" if n < 64 else "string"
+
+
+def stored(mask: int, n: int) -> int | str:
+    return mask if n < 64 else "".join("01"[(mask >> i) & 1] for i in range(n))
+
+
+def loaded(mask: int | str) -> int:
+    return mask if isinstance(mask, int) else sum(1 << i for i, b in enumerate(mask) if b == "1")
+
+
 def mask_matrix(masks: list[int], n: int) -> np.ndarray:
     """features x masks of 0 and 1; bit i of a mask stands for feature i."""
     return np.array([[(m >> i) & 1 for m in masks] for i in range(n)], dtype=float)
@@ -66,6 +79,7 @@ def mask_matrix(masks: list[int], n: int) -> np.ndarray:
 def confusion(df: DataFrame, model: NaiveBayes, features: list[str], label: str, group: str, masks: list[int], block: int = 4096) -> DataFrame:
     """(mask, label, pred, grp, n) of all masks over all rows."""
     m = mask_matrix(masks, len(features))
+    names = np.array([stored(x, len(features)) for x in masks], dtype=object)
     labels = np.array(model.labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,9 +95,9 @@ def confusion(df: DataFrame, model: NaiveBayes, features: list[str], label: str,
                 code = ((np.arange(len(masks))[None] * len(labels) + y[:, None]) * len(labels) + pred) * 2 + g[:, None]
                 total += np.bincount(code.ravel(), minlength=total.size).reshape(total.shape)
         at = np.argwhere(total)
-        yield pd.DataFrame({"mask": np.array(masks)[at[:, 0]], "label": labels[at[:, 1]], "pred": labels[at[:, 2]], "grp": at[:, 3], "n": total[tuple(at.T)]})
+        yield pd.DataFrame({"mask": names[at[:, 0]], "label": labels[at[:, 1]], "pred": labels[at[:, 2]], "grp": at[:, 3], "n": total[tuple(at.T)]})
 
-    counts = df.select(*features, label, group).mapInPandas(run, "mask long, label int, pred int, grp int, n long")
+    counts = df.select(*features, label, group).mapInPandas(run, f"mask {mask_type(len(features))}, label int, pred int, grp int, n long")
     return counts.groupBy("mask", "label", "pred", "grp").agg(F.sum("n").alias("n"))
 
 
@@ -137,6 +151,28 @@ def satisfied(c: Constraints, accuracy: Column, fairness: Column, share: Column)
     return ok
 
 
+def evaluate_model(train: DataFrame, valid: DataFrame, features: list[str], label: str, group: str, masks: list[int], constraints: Constraints, estimators: list, scorer: str = "accuracy") -> DataFrame:
+    """As ``evaluate_masks`` for any Spark ML classifier: per mask the setting of ``estimators`` that scores highest.
+
+    A mask is a fit of its own per setting, one Spark job each; ``scorer`` is accuracy, f1 or fairness. The result has
+    ``setting``, the place of the chosen one.
+    """
+    from .rank import assembled
+
+    out = None
+    for mask in masks:
+        names = [f for i, f in enumerate(features) if (mask >> i) & 1]
+        for k, estimator in enumerate(estimators):
+            model = estimator.fit(assembled(train, names, label))
+            pred = model.transform(assembled(valid, names, label)).select(label, F.col("prediction").cast("int").alias("pred"), F.col(group).alias("grp"))
+            m = metrics(pred.groupBy(F.col(label).alias("label"), "pred", "grp").agg(F.count("*").alias("n")), [])
+            m = m.select(F.lit(stored(mask, len(features))).cast(mask_type(len(features))).alias("mask"), F.lit(k).alias("setting"), "accuracy", "f1", "fairness")
+            out = m if out is None else out.unionByName(m)
+    best = F.max_by(F.struct("setting", "accuracy", "f1", "fairness"), F.struct(scorer, -F.col("setting")))
+    out = out.groupBy("mask").agg(best.alias("b")).select("mask", "b.*")
+    return _with_loss(out, features, constraints, "setting")
+
+
 def evaluate_masks(train: DataFrame, valid: DataFrame, features: list[str], label: str, group: str, masks: list[int], constraints: Constraints, smoothings=(1e-9,)) -> DataFrame:
     """(mask, size, share, accuracy, f1, fairness, loss, satisfied): per mask the smoothing of highest accuracy (not of lowest loss)."""
     out = None
@@ -146,10 +182,31 @@ def evaluate_masks(train: DataFrame, valid: DataFrame, features: list[str], labe
     if len(smoothings) > 1:
         best = F.max_by(F.struct("accuracy", "f1", "fairness"), F.struct("accuracy", -F.col("__h")))
         out = out.groupBy("mask").agg(best.alias("b")).select("mask", "b.*")
-    size = F.bit_count("mask").cast("int")
+    return _with_loss(out, features, constraints)
+
+
+def _with_loss(scored: DataFrame, features: list[str], constraints: Constraints, *keep: str) -> DataFrame:
+    size = F.bit_count("mask").cast("int") if len(features) < 64 else F.length(F.replace("mask", F.lit("0"), F.lit("")))
     share = size / F.lit(float(len(features)))
     c = [F.col("accuracy"), F.col("fairness"), share]
-    return out.select("mask", size.alias("size"), share.alias("share"), "accuracy", "f1", "fairness", constraint_loss(constraints, *c).alias("loss"), satisfied(constraints, *c).alias("satisfied"))
+    return scored.select("mask", size.alias("size"), share.alias("share"), "accuracy", "f1", "fairness", constraint_loss(constraints, *c).alias("loss"), satisfied(constraints, *c).alias("satisfied"), *keep)
+
+
+def micro_f1(counts: DataFrame) -> DataFrame:
+    """One row: F1 over the summed true and false positives and false negatives of all classes (counts: label, pred, n)."""
+    n = F.col("n")
+    s = counts.agg(F.sum(F.when(F.col("label") == F.col("pred"), n).otherwise(0)).alias("tp"), F.sum(F.when(F.col("label") != F.col("pred"), n).otherwise(0)).alias("wrong"))
+    # every wrong row is a false positive of one class and a false negative of another
+    return s.select((2 * F.col("tp") / (2 * F.col("tp") + 2 * F.col("wrong"))).alias("micro_f1"))
+
+
+def micro_auc(df: DataFrame, scores: dict, label: str) -> DataFrame:
+    """One row: area under the curve over all (row, class) pairs, a pair's score being the class's and its truth whether it is the row's class.
+
+    scores: class -> column of its score.
+    """
+    pairs = F.array(*[F.struct(F.col(c).cast("double").alias("score"), (F.col(label) == F.lit(k)).cast("int").alias("hit")) for k, c in scores.items()])
+    return roc_auc(df.select(F.explode(pairs).alias("p")).select("p.*"), "score", "hit")
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:

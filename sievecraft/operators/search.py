@@ -6,13 +6,13 @@ import math
 import random
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import combinations, islice
 
 from pyspark.sql import DataFrame
 
-from .evaluate import Constraints, evaluate_masks
+from .evaluate import Constraints, evaluate_masks, loaded, mask_type, stored
 
-TRIAL_SCHEMA = "seq int, batch int, mask long, size int, share double, accuracy double, f1 double, fairness double, loss double, satisfied boolean"
+TRIAL_SCHEMA = "seq int, batch int, mask {}, size int, share double, accuracy double, f1 double, fairness double, loss double, satisfied boolean"
 
 
 @dataclass
@@ -42,7 +42,7 @@ class Search:
         new = [m for m in masks if m and m not in self.trials]
         if new:
             rows = evaluate_masks(self.train, self.valid, self.features, self.label, self.group, new, self.constraints).collect()
-            got = {r["mask"]: r.asDict() for r in rows}
+            got = {loaded(r["mask"]): r.asDict() | {"mask": loaded(r["mask"])} for r in rows}
             for m in new:
                 self.trials[m] = got[m] | {"seq": len(self.trials), "batch": self.batches}
             self.batches += 1
@@ -65,7 +65,8 @@ class Search:
 
     def table(self) -> DataFrame:
         names = [c.split()[0] for c in TRIAL_SCHEMA.split(", ")]
-        return self.train.sparkSession.createDataFrame([tuple(t[c] for c in names) for t in self.trials.values()], TRIAL_SCHEMA)
+        rows = [tuple(stored(t[c], self.n) if c == "mask" else t[c] for c in names) for t in self.trials.values()]
+        return self.train.sparkSession.createDataFrame(rows, TRIAL_SCHEMA.format(mask_type(self.n)))
 
     def answer(self) -> list[str]:
         """Names of the best satisfying mask; none if nothing satisfies."""
@@ -114,10 +115,10 @@ def backward(s: Search, floating: bool = False) -> None:
 
 
 def exhaustive(s: Search, batch: int = 256) -> None:
-    """All masks by size, lexicographic; stops between batches."""
-    masks = [sum(1 << i for i in c) for k in range(1, s.most + 1) for c in combinations(range(s.n), k)]
-    for at in range(0, len(masks), batch):
-        s.score(masks[at : at + batch])
+    """All masks by size, lexicographic, listed a batch at a time; stops between batches."""
+    masks = (sum(1 << i for i in c) for k in range(1, s.most + 1) for c in combinations(range(s.n), k))
+    while some := list(islice(masks, batch)):
+        s.score(some)
         if s.done:
             break
 
@@ -128,6 +129,70 @@ def ranking_k(s: Search, ranking: list[str]) -> None:
     s.score(sum(1 << i for i in at[:k]) for k in range(1, s.most + 1))
 
 
+def ranking_weights(s: Search, rankings: list[dict[str, float]], rounds: int = 4, batch: int = 10, seed: int = 7) -> None:
+    """Search over weights of several rankings and the number of features: the k best by the weighted sum of scaled scores.
+
+    Later rounds draw weights and k around those of the best trials so far.
+    """
+    rng = random.Random(seed)
+    scaled = []
+    for r in rankings:
+        lo, hi = min(r.values()), max(r.values())
+        scaled.append({f: (v - lo) / (hi - lo) if hi > lo else 0.0 for f, v in r.items()})
+    tried: list[tuple[list[float], int, int]] = []
+    for _ in range(rounds):
+        best = sorted(tried, key=lambda t: (s.trials[t[2]]["loss"], t[2]))[: max(1, len(tried) // 4)]
+        new = []
+        for _ in range(batch):
+            if best:
+                base, k, _ = best[rng.randrange(len(best))]
+                weights = [max(0.0, w + rng.gauss(0, 0.2)) for w in base]
+                k = min(s.most, max(1, k + rng.choice((-1, 0, 1))))
+            else:
+                weights, k = [rng.random() for _ in scaled], rng.randint(1, s.most)
+            total = {f: sum(w * r[f] for w, r in zip(weights, scaled)) for f in s.features}
+            top = sorted(s.features, key=lambda f: (-total[f], f))[:k]
+            new.append((weights, k, sum(1 << s.features.index(f) for f in top)))
+        s.score([m for _, _, m in new])
+        tried += new
+        if s.done:
+            break
+
+
+def kbest_tpe(s: Search, ranking: list[str], rounds: int = 4, batch: int = 4, seed: int = 7) -> None:
+    """Search over the number k of best features only: k is drawn by how often it lies near the better quarter of trials against the others."""
+    rng = random.Random(seed)
+    at = [s.features.index(f) for f in ranking]
+    mask = lambda k: sum(1 << i for i in at[:k])
+    tried: list[int] = []
+    for _ in range(rounds):
+        left = [k for k in range(1, s.most + 1) if k not in tried]
+        if not left or s.done:
+            break
+        order = sorted(tried, key=lambda k: (s.trials[mask(k)]["loss"], k))
+        good, bad = order[: max(1, len(order) // 4)], order[max(1, len(order) // 4) :]
+        near = lambda k, ks: (sum(math.exp(-0.5 * ((k - x) / max(1.0, s.most / 6)) ** 2) for x in ks) + 0.1) / (len(ks) + 0.1)
+        picked = sorted(left, key=lambda k: (-near(k, good) / near(k, bad), k))[:batch] if tried else rng.sample(left, min(batch, len(left)))
+        s.score([mask(k) for k in picked])
+        tried += picked
+
+
+def cross_validated(folds: list[Search], steps: int, backward: bool = False) -> list[tuple[int, int, float]]:
+    """(size, mask, mean accuracy) of each step of a forward or backward selection by the mean over folds."""
+    n = folds[0].n
+    now, rows = (1 << n) - 1 if backward else 0, []
+    for _ in range(steps):
+        masks = [now ^ 1 << i for i in range(n) if (now >> i) & 1 == backward]
+        masks = [m for m in masks if m]
+        if not masks:
+            break
+        scored = [x.score(masks) for x in folds]
+        mean = {m: sum(fold[i]["accuracy"] for fold in scored) / len(folds) for i, m in enumerate(masks)}
+        now = min(mean, key=lambda m: (-round(mean[m], 9), m))
+        rows.append((bin(now).count("1"), now, mean[now]))
+    return rows
+
+
 def rfe(s: Search, importance) -> None:
     """Drop the least important feature each step; ``importance`` gives {feature: score} for a list of features."""
     names = list(s.features)
@@ -170,35 +235,67 @@ def annealing_masks(s: Search, chains: int = 6, steps: int = 6, seed: int = 7) -
         now = [u if u["loss"] <= t["loss"] or rng.random() < math.exp((t["loss"] - u["loss"]) / heat) else t for t, u in zip(now, (s.trials[m] for m in moved))]
 
 
-def dominates(a: dict, b: dict) -> bool:
-    x = (a["accuracy"], a["fairness"], -a["share"])
-    y = (b["accuracy"], b["fairness"], -b["share"])
-    return all(p >= q for p, q in zip(x, y)) and x != y
+def objectives(s: Search, t: dict) -> tuple[float, ...]:
+    """What a trial is to have much of: the constrained measures, and few features; accuracy where nothing is constrained."""
+    c = s.constraints
+    active = [t[n] for n, limit in (("accuracy", c.accuracy), ("fairness", c.fairness)) if limit is not None] or [t["accuracy"]]
+    return (*active, -t["share"])
+
+
+def fronts(points: list[tuple[float, ...]]) -> list[list[int]]:
+    """Places of points by non-dominated front."""
+    dominates = lambda a, b: all(p >= q for p, q in zip(a, b)) and a != b
+    left, out = list(range(len(points))), []
+    while left:
+        front = [i for i in left if not any(dominates(points[j], points[i]) for j in left)]
+        out.append(front)
+        left = [i for i in left if i not in front]
+    return out
+
+
+def crowding(points: list[tuple[float, ...]]) -> list[float]:
+    """Crowding distance of each point of a front: how far its neighbours are, over all objectives; ends are infinitely far."""
+    out = [0.0] * len(points)
+    for axis in range(len(points[0]) if points else 0):
+        order = sorted(range(len(points)), key=lambda i: points[i][axis])
+        width = points[order[-1]][axis] - points[order[0]][axis]
+        out[order[0]] = out[order[-1]] = math.inf
+        for a, i, b in zip(order, order[1:], order[2:]):
+            out[i] += (points[b][axis] - points[a][axis]) / width if width else 0.0
+    return out
 
 
 def nsga2_masks(s: Search, population: int = 10, generations: int = 4, seed: int = 7) -> None:
-    """Non-dominated sorting with one-point crossover and bit flips; one batch per generation."""
+    """Non-dominated fronts over the active constraints, ties by crowding distance; one-point crossover and bit flips; one batch per generation."""
     rng = random.Random(seed)
-    now = [s.repair(rng.randrange(1, 1 << s.n), rng) for _ in range(population)]
+    now = list(dict.fromkeys(s.repair(rng.randrange(1, 1 << s.n), rng) for _ in range(population)))
     s.score(now)
     for _ in range(generations):
         if s.done:
             break
         children = []
         for _ in range(population):
-            a, b = rng.sample(now, 2) if len(now) > 1 else (now[0], now[0])
+            # binary tournaments: ``now`` is ordered by front and crowding
+            a, b = (now[min(rng.randrange(len(now)), rng.randrange(len(now)))] for _ in range(2))
             low = (1 << rng.randrange(1, s.n)) - 1 if s.n > 1 else 1
             child = (a & low) | (b & ~low)
             child ^= sum((rng.random() < 1 / s.n) << i for i in range(s.n))
             children.append(s.repair(child, rng))
         s.score(children)
-        pool = [s.trials[m] for m in dict.fromkeys([*now, *children])]
-        rank = {t["mask"]: sum(dominates(o, t) for o in pool) for t in pool}
-        now = [t["mask"] for t in sorted(pool, key=lambda t: (rank[t["mask"]], t["loss"], t["mask"]))[:population]]
+        pool = list(dict.fromkeys([*now, *children]))
+        points = [objectives(s, s.trials[m]) for m in pool]
+        now = []
+        for front in fronts(points):
+            far = crowding([points[i] for i in front])
+            now += [pool[i] for _, i in sorted(zip(far, front), key=lambda x: (-x[0], s.trials[pool[x[1]]]["loss"], pool[x[1]]))]
+        now = now[:population]
 
 
 def surrogate_masks(s: Search, rounds: int = 3, batch: int = 8, seed: int = 7) -> None:
-    """A forest regressor over trials proposes masks: half by predicted loss, half by the spread of its trees."""
+    """A forest regressor over trials chooses masks: half by predicted loss, half by the spread of its trees.
+
+    They are drawn feature by feature: those whose trials have less loss on average are on more often.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
@@ -211,15 +308,19 @@ def surrogate_masks(s: Search, rounds: int = 3, batch: int = 8, seed: int = 7) -
         bits = [f"b{i}" for i in range(s.n)]
         row = lambda m: [float((m >> i) & 1) for i in range(s.n)]
         to_vec = VectorAssembler(inputCols=bits, outputCol="features")
-        data = to_vec.transform(spark.createDataFrame([(m, t["loss"], *row(m)) for m, t in s.trials.items()], ["mask", "label", *bits]))
+        data = to_vec.transform(spark.createDataFrame([(t["loss"], *row(m)) for m, t in s.trials.items()], ["label", *bits]))
         model = RandomForestRegressor(numTrees=10, maxDepth=4, seed=seed).fit(data)
-        pool = list({s.repair(rng.randrange(1, 1 << s.n), rng) for _ in range(200)} - s.trials.keys())
+        mean = lambda ts: sum(t["loss"] for t in ts) / len(ts) if ts else None
+        on, off = ([mean([t for m, t in s.trials.items() if (m >> i) & 1 == bit]) for i in range(s.n)] for bit in (1, 0))
+        rate = [0.5 if a is None or b is None or a == b else 0.75 if a < b else 0.25 for a, b in zip(on, off)]
+        drawn = [s.repair(sum((rng.random() < rate[i]) << i for i in range(s.n)), rng) for _ in range(200)]
+        pool = sorted(set(drawn) - s.trials.keys())
         if not pool:
             break
-        asked = to_vec.transform(spark.createDataFrame([(m, *row(m)) for m in pool], ["mask", *bits]))
-        rows = model.transform(asked).select("mask", "features", "prediction").collect()
-        spread = {r.mask: max(v := [t.predict(r.features) for t in model.trees]) - min(v) for r in rows}
-        by_loss = [r.mask for r in sorted(rows, key=lambda r: (r.prediction, r.mask))[: batch // 2]]
+        asked = to_vec.transform(spark.createDataFrame([(k, *row(m)) for k, m in enumerate(pool)], ["k", *bits]))
+        rows = model.transform(asked).select("k", "features", "prediction").collect()
+        spread = {pool[r.k]: max(v := [t.predict(r.features) for t in model.trees]) - min(v) for r in rows}
+        by_loss = [pool[r.k] for r in sorted(rows, key=lambda r: (r.prediction, pool[r.k]))[: batch // 2]]
         by_spread = sorted(spread, key=lambda m: (-spread[m], m))[: batch // 2]
         s.score([*by_loss, *by_spread])
 
@@ -246,7 +347,7 @@ def query(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[st
     best = 0
     for i in range(0, len(good), 32):
         held = evaluate_masks(train, test, features, label, group, good[i : i + 32], constraints).collect()
-        ok = {r["mask"] for r in held if r["satisfied"]}
+        ok = {loaded(r["mask"]) for r in held if r["satisfied"]}
         if best := next((m for m in good[i : i + 32] if m in ok), 0):
             break
     names = [f for i, f in enumerate(features) if (best >> i) & 1]

@@ -80,6 +80,26 @@ def f1_accuracy(s, d):
     return ev.metrics(_cm(s, d), []).select(r6(C("accuracy"), "accuracy"), r6(C("f1"), "f1"), "rows")
 
 
+#: Three classes told by the number of the line, with a score for each.
+_MC = "SELECT l_linenumber % 3 AS y, CASE WHEN l_quantity > 30 THEN 0 WHEN l_quantity > 15 THEN 1 ELSE 2 END AS pred, l_quantity / 50 AS s0, l_discount * 10 AS s1, l_tax * 12 AS s2 FROM lineitem"
+
+
+def _mc(s, d):
+    q = C("l_quantity")
+    return read(s, d, "lineitem").select((C("l_linenumber") % 3).alias("y"), F.when(q > 30, 0).when(q > 15, 1).otherwise(2).alias("pred"), (q / 50).alias("s0"), (C("l_discount") * 10).alias("s1"), (C("l_tax") * 12).alias("s2"))
+
+
+@query("micro_f1", f"WITH t AS ({_MC}), c AS (SELECT k, sum((y = k AND pred = k)::INT) AS tp, sum((y <> k AND pred = k)::INT) AS fp, sum((y = k AND pred <> k)::INT) AS fn FROM t, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1) SELECT round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1 FROM c")
+def micro_f1(s, d):
+    counts = _mc(s, d).groupBy(C("y").alias("label"), "pred").agg(F.count("*").alias("n"))
+    return ev.micro_f1(counts).select(r6(C("micro_f1"), "micro_f1"))
+
+
+@query("micro_auc", f"WITH t AS ({_MC}), p AS (SELECT s0 AS score, (y = 0)::INT AS hit FROM t UNION ALL SELECT s1, (y = 1)::INT FROM t UNION ALL SELECT s2, (y = 2)::INT FROM t), r AS (SELECT hit, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM p) SELECT round((sum(r * hit) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * (count(*) - sum(hit))), 6) AS auc FROM r")
+def micro_auc(s, d):
+    return ev.micro_auc(_mc(s, d), {0: "s0", 1: "s1", 2: "s2"}, "y").select(r6(C("auc"), "auc"))
+
+
 @query("roc_auc", "WITH r AS (SELECT label, rank() OVER (ORDER BY discount) + (count(*) OVER (PARTITION BY discount) - 1) / 2.0 AS r FROM {lines}) SELECT round((sum(r * label) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))), 6) AS auc FROM r")
 def roc_auc(s, d):
     return ev.roc_auc(lines(s, d), "discount", "label").select(r6(C("auc"), "auc"))
@@ -107,7 +127,10 @@ def robustness(s, d):
     return ev.robustness(valid, ev.fit_nb(train, FEATURES, "label"), FEATURES, "label", 15, scale)
 
 
-@query("unit_test_score")
+_SUM_LL = " + ".join(f"-0.5 * (ln(2 * pi() * v_{f}) + pow({f} - m_{f}, 2) / v_{f})" for f in FEATURES)
+
+
+@query("unit_test_score", f"WITH {_NB}, one AS (SELECT * FROM t WHERE row_id % 5 = 3 ORDER BY row_id, price LIMIT 1), z AS (SELECT row_id, label, c, ln(n / (SELECT sum(n) FROM st)) + {_SUM_LL} AS z FROM one, st) SELECT row_id, round(sum(CASE WHEN c = label THEN exp(z - (SELECT max(z) FROM z)) ELSE 0 END) / sum(exp(z - (SELECT max(z) FROM z))), 6) AS p FROM z GROUP BY 1")
 def unit_test_score(s, d):
     """The predicted probability of one record's own class."""
     import numpy as np
@@ -117,7 +140,7 @@ def unit_test_score(s, d):
     row = valid.orderBy("row_id", "price").first()
     z = model.log_likelihoods(np.array([[row[f] for f in FEATURES]], dtype=float)).sum(2)[0] + np.log(model.prior)
     p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    return s.createDataFrame([(row.row_id, float(p[model.labels.index(row.label)]))], "row_id long, p double")
+    return s.createDataFrame([(row.row_id, round(float(p[model.labels.index(row.label)]), 6))], "row_id long, p double")
 
 
 def _fit_score(s, d, estimator, **cols):
@@ -155,6 +178,16 @@ def model_classes(s, d):
     return out
 
 
+@query("evaluate_masks_models")
+def evaluate_masks_models(s, d):
+    """Three masks with the best of a small parameter grid of trees, chosen by F1."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    train, valid, _ = parts(s, d)
+    grid = [DecisionTreeClassifier(labelCol="__y", maxDepth=n, seed=7) for n in (2, 4)]
+    return ev.evaluate_model(train, valid, FEATURES, "label", "grp", [1, 6, 15], LIMITS, grid, "f1")
+
+
 @query("balanced_logistic")
 def balanced_logistic(s, d):
     from pyspark.ml.classification import LogisticRegression
@@ -204,14 +237,20 @@ def resource_constraints(s, d):
     return read(s, d, "events").select("event_id", first.alias("violation"))
 
 
-@query("holdout_vs_cv")
+def _full_accuracy_sql(train, valid):
+    """Accuracy of naive Bayes over all features, fitted and scored on rows that the conditions choose."""
+    one = _MET.replace(str(MASKS), "[15]").replace("row_id % 5 < 3", train).replace("row_id % 5 = 3", valid)
+    return f"SELECT * FROM ({one} SELECT accuracy FROM m)"
+
+
+@query("holdout_vs_cv", f"SELECT round(({_full_accuracy_sql('row_id % 5 < 3', 'row_id % 5 = 3')}), 6) AS holdout, round((SELECT avg(accuracy) FROM (" + " UNION ALL ".join(_full_accuracy_sql(f"row_id % 5 <> {k}", f"row_id % 5 = {k}") for k in range(5)) + ")), 6) AS cv")
 def holdout_vs_cv(s, d):
     """Accuracy of naive Bayes on a hold-out part and as the mean over five folds."""
     train, valid, _ = parts(s, d)
     acc = lambda a, b: ev.metrics(ev.confusion(b, ev.fit_nb(a, FEATURES, "label"), FEATURES, "label", "grp", [15]), []).first().accuracy
     df = lines(s, d).withColumn("fold", C("row_id") % 5)
     folds = [acc(df.where(C("fold") != k), df.where(C("fold") == k)) for k in range(5)]
-    return s.createDataFrame([(acc(train, valid), sum(folds) / 5)], "holdout double, cv double")
+    return s.createDataFrame([(round(acc(train, valid), 6), round(sum(folds) / 5, 6))], "holdout double, cv double")
 
 
 @query("pca")
@@ -223,39 +262,60 @@ def pca(s, d):
     return s.createDataFrame([(i, float(v)) for i, v in enumerate(model.explainedVariance.toArray())], "component int, share double")
 
 
-def _random_map(s, d, kind):
-    """Rows mapped by a seeded matrix: Gaussian or sparse projection, or random Fourier features."""
+DIM = 64  # of the embeddings that are projected; longer ones would need a larger matrix
+
+
+@query("pca_rows")
+def pca_rows(s, d):
+    """Every row on the first two principal axes of its standardised features."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+
+    df = lines(s, d)
+    data = rk.assembled(df.withColumns(num.fit_standard(df, FEATURES)), FEATURES, "label")
+    z = vector_to_array("pca")
+    return PCA(k=2, inputCol="features", outputCol="pca").fit(data).transform(data).select("row_id", *[r6(z[i], f"z{i}") for i in range(2)])
+
+
+@query("truncated_svd")
+def truncated_svd(s, d):
+    """Singular values of the feature matrix, from one pass of products; and each feature's weight in the right vectors."""
     import numpy as np
-    import pandas as pd
 
-    rng = np.random.default_rng(7)
-    df = read(s, d, "embeddings").select("vec_id", "embedding")
-    dim = len(df.first().embedding)
-    w = {"gaussian": lambda: rng.standard_normal((dim, 4)) / 2, "sparse": lambda: rng.choice([-1.0, 0, 1], (dim, 4), p=[1 / 6, 2 / 3, 1 / 6]) * np.sqrt(3) / 2, "rbf": lambda: rng.standard_normal((dim, 4))}[kind]()
-    b = rng.uniform(0, 2 * np.pi, 4)
+    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+    row = lines(s, d).agg(*[F.sum(C(FEATURES[i]) * C(FEATURES[j])).alias(f"p{i}_{j}") for i, j in pairs]).first()
+    gram = np.array([[float(row[f"p{min(i, j)}_{max(i, j)}"]) for j in range(len(FEATURES))] for i in range(len(FEATURES))])
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][:2]
+    return s.createDataFrame([(k, float(max(0.0, values[i]) ** 0.5), FEATURES[j], float(abs(vectors[j, i]))) for k, i in enumerate(order) for j in range(len(FEATURES))], "component int, singular double, feature string, weight double")
 
-    def run(batches):
-        for x in batches:
-            z = np.stack(x["embedding"]).astype(float) @ w
-            z = np.sqrt(2 / 4) * np.cos(z + b) if kind == "rbf" else z
-            yield pd.DataFrame({"vec_id": x["vec_id"], **{f"z{i}": z[:, i] for i in range(4)}})
 
-    return df.mapInPandas(run, "vec_id long, z0 double, z1 double, z2 double, z3 double")
+def _random_matrix(kind):
+    """(weights, shifts) of a seeded map from DIM to 4: Gaussian or sparse projection, or random Fourier features."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    w = {"gaussian": lambda: rng.standard_normal((DIM, 4)) / 2, "sparse": lambda: rng.choice([-1.0, 0, 1], (DIM, 4), p=[1 / 6, 2 / 3, 1 / 6]) * np.sqrt(3) / 2, "rbf": lambda: rng.standard_normal((DIM, 4))}[kind]()
+    return w, rng.uniform(0, 2 * np.pi, 4)
 
 
-@query("gaussian_random_projection")
-def gaussian_random_projection(s, d):
-    return _random_map(s, d, "gaussian")
+def _random_map(s, d, kind):
+    """Rows mapped by the matrix, as sums of products with literals."""
+    w, b = _random_matrix(kind)
+    dot = lambda i: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in w[:, i]]), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    z = [F.lit(0.5**0.5) * F.cos(dot(i) + F.lit(float(b[i]))) if kind == "rbf" else dot(i) for i in range(4)]
+    return read(s, d, "embeddings").select("vec_id", *[r6(x, f"z{i}") for i, x in enumerate(z)])
 
 
-@query("sparse_random_projection")
-def sparse_random_projection(s, d):
-    return _random_map(s, d, "sparse")
+def _random_map_sql(kind):
+    w, b = _random_matrix(kind)
+    dot = lambda i: f"list_dot_product(embedding::DOUBLE[], {[float(x) for x in w[:, i]]}::DOUBLE[])"
+    z = [f"round(sqrt(0.5) * cos({dot(i)} + {float(b[i])!r}), 6)" if kind == "rbf" else f"round({dot(i)}, 6)" for i in range(4)]
+    return "SELECT vec_id, " + ", ".join(f"{x} AS z{i}" for i, x in enumerate(z)) + " FROM embeddings"
 
 
-@query("rbf_sampler")
-def rbf_sampler(s, d):
-    return _random_map(s, d, "rbf")
+for _query, _kind in (("gaussian_random_projection", "gaussian"), ("sparse_random_projection", "sparse"), ("rbf_sampler", "rbf")):
+    query(_query, _random_map_sql(_kind))(lambda s, d, kind=_kind: _random_map(s, d, kind))
 
 
 @query("constraint_metafeatures", f"WITH l AS ({_LOG}) SELECT event_id, round(acc * fair, 6) AS acc_fair, round(ln(1 + share), 6) AS log_share, (acc > 0.5)::INT AS has_acc, round(acc * fair * share, 6) AS all_three FROM l")
