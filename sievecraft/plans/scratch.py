@@ -1,24 +1,5 @@
-"""A folder that driver and executors share, for tables and files that queries write."""
+"""Tables and files that queries write into the shared folder."""
 
-from __future__ import annotations
+from ..scratch import cut, shared_path
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary folder only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sievecraft.scratch", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.sievecraft.scratch", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table and read it back, which cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "shared_path"]
