@@ -85,11 +85,60 @@ def scenario_grid(spark, axes: dict[str, list[float]]) -> DataFrame:
     return out.withColumn("scenario", F.monotonically_increasing_id())
 
 
-def scenario_features(accuracy: Column, fairness: Column, safety: Column, complexity: Column, time: Column, land_accuracy: Column, land_fairness: Column) -> dict[str, Column]:
-    """Thresholds clamped to 0..1 (infinity: 1), their distances to a landmark, and logs of sizes."""
+#: Values of a scenario that the strategy models are trained on, in their order.
+SCENARIO = ["accuracy", "fairness", "safety", "complexity", "privacy", "log_time", "d_accuracy", "d_fairness", "d_safety", "d_complexity", "d_time", "log_rows", "log_columns", "label_share", "group_share", "is_nb", "is_tree", "is_logistic"]
+
+
+def scenario_features(accuracy: Column, fairness: Column, safety: Column, complexity: Column, time: Column, land_accuracy: Column, land_fairness: Column, privacy: Column | None = None, land_safety: Column | None = None, land_time: Column | None = None, rows: Column | None = None, columns: Column | None = None, label_share: Column | None = None, group_share: Column | None = None, model: Column | None = None) -> dict[str, Column]:
+    """The values of ``SCENARIO``: thresholds clamped to 0..1 (infinity: 1), their distances to a landmark, logs of sizes, model flags.
+
+    An unbounded privacy budget counts as 1, as any budget above it; what isn't given is 0.
+    """
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
-    a, f, s = clamp(accuracy), clamp(fairness), clamp(safety)
-    return {"accuracy": a, "fairness": f, "safety": s, "complexity": clamp(complexity), "log_time": F.ln(1 + time), "d_accuracy": a - land_accuracy, "d_fairness": f - land_fairness}
+    zero = F.lit(0.0)
+    a, f, s, k = clamp(accuracy), clamp(fairness), clamp(safety), clamp(complexity)
+    size = lambda c: zero if c is None else F.ln(1 + c)
+    is_model = lambda name: F.lit(0) if model is None else F.coalesce((model == name).cast("int"), F.lit(0))
+    return {
+        "accuracy": a,
+        "fairness": f,
+        "safety": s,
+        "complexity": k,
+        "privacy": zero if privacy is None else clamp(privacy),
+        "log_time": F.ln(1 + time),
+        "d_accuracy": a - land_accuracy,
+        "d_fairness": f - land_fairness,
+        "d_safety": zero if land_safety is None else s - land_safety,
+        # the landmark uses all features
+        "d_complexity": k - 1,
+        "d_time": zero if land_time is None else F.ln(1 + time) - F.ln(1 + land_time),
+        "log_rows": size(rows),
+        "log_columns": size(columns),
+        "label_share": zero if label_share is None else label_share,
+        "group_share": zero if group_share is None else group_share,
+        "is_nb": is_model("nb"),
+        "is_tree": is_model("tree"),
+        "is_logistic": is_model("logistic"),
+    }
+
+
+def random_scenarios(ids: DataFrame, id_col: str, seed: int = 7) -> DataFrame:
+    """``ids`` with a random constraint set each, drawn by hash: accuracy 0.5 to 1, fairness and safety 0.8 to 1, share of features, privacy log-normal, time limit."""
+    u = lambda k: F.pmod(F.xxhash64(id_col, F.lit(seed), F.lit(k)), F.lit(1_000_000)) / F.lit(1e6)
+    normal = F.sqrt(-2 * F.ln(F.greatest(u(4), F.lit(1e-6)))) * F.cos(F.lit(6.283185307179586) * u(5))
+    return ids.select(id_col, (0.5 + u(0) / 2).alias("accuracy"), (0.8 + u(1) / 5).alias("fairness"), (0.8 + u(2) / 5).alias("safety"), F.greatest(u(3), F.lit(0.01)).alias("complexity"), F.exp(normal).alias("privacy"), (10 + 10790 * u(6)).alias("time"))
+
+
+def contributions(models: dict, scenarios: DataFrame, features: list[str], id_col: str = "scenario") -> DataFrame:
+    """(id, strategy, feature, contribution) of each scenario's choice: how much its probability falls when the feature is at its mean instead."""
+    chosen = choose_strategy(plan(models, scenarios, features, id_col), id_col)
+    means = scenarios.agg(*[F.avg(f).alias(f) for f in features]).first()
+    out = None
+    for f in features:
+        moved = plan(models, scenarios.withColumn(f, F.lit(float(means[f]))), features, id_col).withColumnRenamed("probability", "without")
+        one = chosen.join(moved, [id_col, "strategy"]).select(id_col, "strategy", F.lit(f).alias("feature"), (F.col("probability") - F.col("without")).alias("contribution"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def train_strategy_models(data: DataFrame, features: list[str], strategies: list[str], seed: int = 7) -> dict:

@@ -107,6 +107,9 @@ def rank_relieff(s, d):
     return scored(rk.rank_relieff(lines(s, d), FEATURES, "label", "row_id"))
 
 
+query("rank_relieff_all")(rank_relieff)
+
+
 @query("rank_model_importance")
 def rank_model_importance(s, d):
     return scored(rk.rank_model_importance(lines(s, d), FEATURES, "label"))

@@ -108,19 +108,64 @@ def scenario_features(s, d):
     return read(s, d, "events").select("event_id", x["accuracy"].alias("accuracy"), r6(x["log_time"], "log_time"), r6(x["d_accuracy"], "d_accuracy"), x["safety"].alias("safety"))
 
 
+_CLAMP = "least(greatest({}, 0), 1)"
+
+
+@query("scenario_vector", f"""SELECT event_id, round(accuracy, 6) AS accuracy, 0.9::DOUBLE AS fairness, 1.0::DOUBLE AS safety, round(complexity, 6) AS complexity, round(privacy, 6) AS privacy, round(ln(1 + user_id), 6) AS log_time,
+    round(accuracy - 0.4, 6) AS d_accuracy, round(0.9 - 0.8, 6)::DOUBLE AS d_fairness, round(1 - 0.7, 6)::DOUBLE AS d_safety, round(complexity - 1, 6) AS d_complexity, round(ln(1 + user_id) - ln(1 + 2.5::DOUBLE), 6) AS d_time,
+    round(ln(1 + n), 6) AS log_rows, round(ln(1 + 6::DOUBLE), 6) AS log_columns, 0.25::DOUBLE AS label_share, 0.5::DOUBLE AS group_share, (event_type = 'click')::INT AS is_nb, (event_type = 'view')::INT AS is_tree, (event_type = 'error')::INT AS is_logistic
+    FROM (SELECT *, {_CLAMP.format('value / 50')}::DOUBLE AS accuracy, {_CLAMP.format('(event_id % 13) / 10.0')}::DOUBLE AS complexity, {_CLAMP.format('value / 20')}::DOUBLE AS privacy, (SELECT count(*) FROM events) AS n FROM events)""")
+def scenario_vector(s, d):
+    """All eighteen values of a scenario."""
+    df = read(s, d, "events")
+    model = F.when(C("event_type") == "click", "nb").when(C("event_type") == "view", "tree").when(C("event_type") == "error", "logistic")
+    x = rl.scenario_features(C("value") / 50, F.lit(0.9), F.lit(float("inf")), C("event_id") % 13 / 10.0, C("user_id"), F.lit(0.4), F.lit(0.8), C("value") / 20, F.lit(0.7), F.lit(2.5), F.lit(df.count()), F.lit(len(df.columns)), F.lit(0.25), F.lit(0.5), model)
+    return df.select("event_id", *[x[c].alias(c) if c.startswith("is_") else r6(x[c].cast("double"), c) for c in rl.SCENARIO])
+
+
+@query("random_scenarios")
+def random_scenarios(s, d):
+    return rl.random_scenarios(read(s, d, "events").select("event_id"), "event_id")
+
+
+@query("choice_contributions")
+def choice_contributions(s, d):
+    """For each scenario's chosen strategy, what each feature adds to its probability."""
+    data, names = _meta(s, d)
+    return rl.contributions(rl.train_strategy_models(data, _MF, names), data, _MF)
+
+
+@query("portfolio_of_predictions")
+def portfolio_of_predictions(s, d):
+    """Success and time of any of the three strategies that the models find most probable."""
+    from pyspark.sql import Window as W
+
+    data, names = _meta(s, d)
+    planned = rl.plan(rl.train_strategy_models(data, _MF, names), data, _MF)
+    place = F.row_number().over(W.partitionBy("scenario").orderBy(F.desc("probability"), "strategy"))
+    return rl.portfolio_outcome(_runs(s, d), planned.withColumn("k", place).where("k <= 3").select("scenario", "strategy"))
+
+
 @query("landmark")
 def landmark(s, d):
-    """Five-fold scores of naive Bayes on a sample of 100 rows."""
+    """Five-fold scores of naive Bayes on a sample of 100 rows: accuracy, fairness, safety, and seconds taken."""
+    import time
+
     from ..operators import evaluate as ev
     from ..operators import sample as sm
 
+    began = time.monotonic()
     small = cut(sm.kfold(sm.fixed_sample(lines(s, d), "row_id", "label", 100), "row_id", 5, "label"), "landmark")
     out = None
     for k in range(5):
         train, test = small.where(C("fold") != k), small.where(C("fold") == k)
-        one = ev.metrics(ev.confusion(test, ev.fit_nb(train, FEATURES, "label"), FEATURES, "label", "grp", [15]), []).withColumn("fold", F.lit(k))
+        model = ev.fit_nb(train, FEATURES, "label")
+        scale = train.agg(*[F.stddev_pop(f).alias(f) for f in FEATURES]).first().asDict()
+        safety = ev.robustness(test, model, FEATURES, "label", 15, scale).select("safety")
+        one = ev.metrics(ev.confusion(test, model, FEATURES, "label", "grp", [15]), []).join(F.broadcast(safety))
         out = one if out is None else out.unionByName(one)
-    return out.agg(F.avg("accuracy").alias("accuracy"), F.avg("fairness").alias("fairness"))
+    row = out.agg(F.avg("accuracy").alias("accuracy"), F.avg("fairness").alias("fairness"), F.avg("safety").alias("safety")).first()
+    return s.createDataFrame([(row.accuracy, row.fairness, row.safety, time.monotonic() - began)], "accuracy double, fairness double, safety double, seconds double")
 
 
 _MF = ["x1", "x2"]

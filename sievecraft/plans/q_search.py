@@ -64,7 +64,8 @@ def _greedy_sql(sizes, within, order):
     return f"{_ALL}, {', '.join(ctes)} SELECT (row_number() OVER (ORDER BY batch, mask {order}) - 1)::INT AS seq, batch, mask, size, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(fairness, 6) AS fairness, round(loss, 6) AS loss, false AS satisfied FROM ({steps})"
 
 
-_GREEDY = {"forward": _greedy_sql((1, 2, 3, 4), "(mask & {b}) = {b}", ""), "backward": _greedy_sql((3, 2, 1), "(mask & {b}) = mask", "DESC")}
+_FULL = _MET.replace(str(MASKS), "[15]") + " SELECT 0::INT AS seq, 0::INT AS batch, mask::BIGINT AS mask, size::INT AS size, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(fairness, 6) AS fairness, round(pow(greatest(0, 0.99 - accuracy), 2) + pow(greatest(0, 0.9 - fairness), 2), 6) AS loss, false AS satisfied FROM m"
+_GREEDY = {"full_set": _FULL, "forward": _greedy_sql((1, 2, 3, 4), "(mask & {b}) = {b}", ""), "backward": _greedy_sql((3, 2, 1), "(mask & {b}) = mask", "DESC")}
 
 #: Searches of a few dozen trials run over sixteen features, so over far fewer masks than there are.
 SAMPLED = ("tpe_masks", "annealing_masks", "nsga2_masks", "surrogate_masks")

@@ -134,6 +134,9 @@ def nearest_neighbours(s, d):
     return sel.nearest(lines(s, d), None, ["quantity", "discount"], "row_id", 5).select("anchor", "id", r6(C("dist"), "dist"), "rank")
 
 
+query("nearest_neighbours_all", _NEAR_SQL)(nearest_neighbours)
+
+
 _TOP = "SELECT c_mktsegment AS grp, 'n' || c_nationkey AS feature, round(avg(c_acctbal), 6) AS score FROM customer GROUP BY 1, 2"
 
 
