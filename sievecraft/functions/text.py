@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
+#: A vocabulary of at most so many terms (some tens of MB) is broadcast whole.
+BROADCAST_TERMS = 500_000
 WORD = r"[a-z0-9]+"
 
 
@@ -20,9 +27,9 @@ def tokens(c: Column) -> Column:
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    """Space-joined n-grams of an array of words."""
-    last = F.size(words) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Space-joined n-grams of an array of words: the array zipped with itself, shifted."""
+    last = F.greatest(F.size(words) - n + 1, F.lit(0))
+    return reduce(lambda grams, j: F.zip_with(grams, F.slice(words, F.lit(j + 1), last), lambda a, b: F.concat(a, F.lit(" "), b)), range(1, n), F.slice(words, F.lit(1), last))
 
 
 def char_ngrams(c: Column, n: int) -> Column:
@@ -33,19 +40,30 @@ def char_ngrams(c: Column, n: int) -> Column:
 def tf_idf(df: DataFrame, id_col: str, grams: Column, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, smooth: bool = True, norm: bool = True) -> DataFrame:
     """(id, term, weight): tf * (ln((1 + n) / (1 + df)) + 1), L2-normalised per row; terms outside the df limits are left out.
 
-    Terms are counted per row before any shuffle by term; the vocabulary stays a distributed table.
+    Texts are dealt by id once, so counts and norms per id need no shuffle of terms. Document frequencies are combined in
+    every task before their shuffle and written; the vocabulary is joined by broadcast while it has at most
+    ``BROADCAST_TERMS`` terms. Beyond that only terms in over a hundredth of the rows are broadcast (at most a hundred
+    times the terms of a row), as these would be hot keys, and the others are joined by shuffle.
     """
     total = df.count()
-    counts = df.select(id_col, F.explode(grams).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    counts = df.select(id_col, grams.alias("__grams")).repartition(id_col).select(id_col, F.explode("__grams").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     df_of = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
     add = 1 if smooth else 0
     idf = F.ln((F.lit(total) + add) / (F.col("df") + add)) + 1.0
+    vocabulary = cut(df_of.select("term", idf.alias("idf"), "df"), "vocabulary")
     tf = F.ln("tf") + 1.0 if sublinear else F.col("tf")
-    out = counts.join(df_of, "term").select(id_col, "term", (tf * idf).alias("weight"))
+    if vocabulary.count() <= BROADCAST_TERMS:
+        out = counts.join(F.broadcast(vocabulary), "term")
+    else:
+        hot, rest = vocabulary.where(F.col("df") > total / 100), vocabulary.where(F.col("df") <= total / 100)
+        marked = counts.join(F.broadcast(hot.select("term", F.col("idf").alias("__hot"))), "term", "left")
+        hot_rows = marked.where("__hot IS NOT NULL").select(id_col, "term", "tf", F.col("__hot").alias("idf"))
+        out = hot_rows.unionByName(marked.where("__hot IS NULL").join(rest, "term").select(id_col, "term", "tf", "idf"))
+    out = out.select(id_col, "term", (tf * F.col("idf")).alias("weight"))
     if not norm:
         return out
-    length = out.groupBy(id_col).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return out.join(length, id_col).select(id_col, "term", (F.col("weight") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy(id_col)))
+    return out.select(id_col, "term", (F.col("weight") / length).alias("weight"))
 
 
 def hash_vector(df: DataFrame, id_col: str, words: Column, buckets: int = 100) -> DataFrame:

@@ -83,17 +83,26 @@ def confusion(df: DataFrame, model: NaiveBayes, features: list[str], label: str,
     labels = np.array(model.labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(masks), len(labels), len(labels), 2), dtype=np.int64)
+        k = len(labels)
+        total = np.zeros((len(masks), k, k, 2), dtype=np.int64)
         for b in batches:
             for at in range(0, len(b), block):
                 part = b.iloc[at : at + block]
-                x = part[features].to_numpy(dtype=float)
-                scores = model.log_likelihoods(x) @ m + np.log(model.prior)[None, :, None]
-                pred = scores.argmax(axis=1)
-                y = np.searchsorted(labels, part[label].to_numpy())
-                g = part[group].to_numpy(dtype=int)
-                code = ((np.arange(len(masks))[None] * len(labels) + y[:, None]) * len(labels) + pred) * 2 + g[:, None]
-                total += np.bincount(code.ravel(), minlength=total.size).reshape(total.shape)
+                log = model.log_likelihoods(part[features].to_numpy(dtype=float))
+                best, pred = None, np.zeros((len(part), len(masks)), dtype=np.int8)
+                for c in range(k):
+                    score = log[:, c, :] @ m + np.log(model.prior[c])
+                    if best is None:
+                        best = score
+                    else:
+                        pred[score > best] = c
+                        best = np.maximum(best, score)
+                # rows of each class and group that are predicted as c, for all masks: a product of 0/1 matrices
+                code = np.searchsorted(labels, part[label].to_numpy()) * 2 + part[group].to_numpy(dtype=int)
+                own = (code[:, None] == np.arange(2 * k)[None]).astype(np.float32)
+                for c in range(k):
+                    n = own.T @ (pred == c).astype(np.float32)
+                    total[:, :, c, :] += n.T.reshape(len(masks), k, 2).astype(np.int64)
         at = np.argwhere(total)
         yield pd.DataFrame({"mask": names[at[:, 0]], "label": labels[at[:, 1]], "pred": labels[at[:, 2]], "grp": at[:, 3], "n": total[tuple(at.T)]})
 

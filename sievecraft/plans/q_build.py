@@ -32,9 +32,30 @@ def cut_point_gain(s, d):
     return x.select(r6(C("cut"), "cut"), F.round("gain", 9).alias("gain"))
 
 
-@query("mdlp_discretize", "SELECT p_partkey, (CASE WHEN p_size >= 20.5 THEN 1 ELSE 0 END)::INT AS bin FROM part")
+def _mdlp_sql(levels):
+    """All levels of entropy cuts with their stopping rule: each level cuts every segment at its best gain if that is accepted."""
+    k = lambda a, b: f"(({a} > 0)::INT + ({b} > 0)::INT)"
+    h = lambda a, b: _H.format(a=a, b=b)
+    whole, left, right = ("t0", "t1"), ("l0", "l1"), ("(t0 - l0)", "(t1 - l1)")
+    n, nl, nr = "(t0 + t1)", "(l0 + l1)", "(t0 + t1 - l0 - l1)"
+    gain = f"{h(*whole)} - {nl} / {n} * {h(*left)} - {nr} / {n} * {h(*right)}"
+    delta = f"log2(pow(3, {k(*whole)})) - ({k(*whole)} * {h(*whole)} - {k(*left)} * {h(*left)} - {k(*right)} * {h(*right)})"
+    ctes = ["t AS (SELECT p_partkey, p_size::DOUBLE AS v, ((p_size BETWEEN 16 AND 35) <> (p_partkey % 20 = 0))::INT AS y FROM part)", "c AS (SELECT v, sum(1 - y)::DOUBLE AS n0, sum(y)::DOUBLE AS n1 FROM t GROUP BY 1)", "k0 AS (SELECT 0.0::DOUBLE AS cut WHERE false)"]
+    for i in range(levels):
+        ctes += [
+            f"s{i} AS (SELECT *, (SELECT count(*) FROM k{i} WHERE cut <= v) AS seg FROM c)",
+            f"r{i} AS (SELECT *, sum(n0) OVER w AS l0, sum(n1) OVER w AS l1, sum(n0) OVER (PARTITION BY seg) AS t0, sum(n1) OVER (PARTITION BY seg) AS t1, lead(v) OVER w AS nv, lead(n0) OVER w AS m0, lead(n1) OVER w AS m1 FROM s{i} WINDOW w AS (PARTITION BY seg ORDER BY v))",
+            f"g{i} AS (SELECT seg, (v + nv) / 2 AS cut, {gain} AS gain, {gain} > (log2({n} - 1) + {delta}) / {n} AS ok FROM r{i} WHERE nv IS NOT NULL AND (n0 > 0 AND m1 > 0 OR n1 > 0 AND m0 > 0))",
+            f"b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY gain DESC, cut) AS place FROM g{i}) WHERE place = 1 AND ok)",
+            f"k{i + 1} AS (SELECT cut FROM k{i} UNION SELECT cut FROM b{i})",
+        ]
+    return f"WITH {', '.join(ctes)} SELECT p_partkey, (SELECT count(*) FROM k{levels} WHERE cut <= v)::INT AS bin FROM t"
+
+
+@query("mdlp_discretize", _mdlp_sql(4))
 def mdlp_discretize(s, d):
-    df = read(s, d, "part").withColumn("y", (C("p_size") > 20).cast("int"))
+    """Two true cuts in noise, found on two levels; the stopping rule ends the third."""
+    df = read(s, d, "part").withColumn("y", (C("p_size").between(16, 35) != (C("p_partkey") % 20 == 0)).cast("int"))
     return df.select("p_partkey", dz.segment_of(C("p_size"), dz.mdlp_cuts(df, "p_size", "y")).alias("bin"))
 
 
