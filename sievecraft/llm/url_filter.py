@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, table
+from ..scratch import cut
+from .common import ascii_lower, table
 
 #: Fixed by the contract: (verdict, host, path); a rule's name is host + path.
 RULES = (
