@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Buckets, table
 from .words import chunks, mix, split_words
 
 WINDOW, MINIMISER = 13, 3
@@ -115,7 +115,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]
     return docs, keys, starts, data[8 + 20 * n :].split(b"\n") if n else []
 
 
-def deal(k: int, m: int, hot: np.ndarray, parts: int, most: int = 1 << 22):
+def deal(k: int, m: int, hot: np.ndarray, buckets: Buckets, most: int = 1 << 22):
     """mapInPandas function: (doc_id, key, text) -> blocks (part, sub, marks, blob). With marks, the blob has marks of the task itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,15 +146,15 @@ def deal(k: int, m: int, hot: np.ndarray, parts: int, most: int = 1 << 22):
             for c in several:
                 sent[c] = min(least[c], sent.get(c, least[c]))
             start = first - w.first[text]
-            part = mix(low.copy()) % np.uint64(parts * 2)
+            place = mix(low.copy()) % np.uint64(buckets.parts * buckets.subs)
             out = []
             mine = np.flatnonzero(own)
-            order = mine[np.argsort(part[mine], kind="stable")]
-            edges = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(order)] if len(order) else [0]
+            order = mine[np.argsort(place[mine], kind="stable")]
+            edges = np.r_[0, np.flatnonzero(np.diff(place[order])) + 1, len(order)] if len(order) else [0]
             for a, b in zip(edges[:-1], edges[1:]):
                 at = order[a:b]
-                p = int(part[at[0]])
-                out.append((p >> 1, p & 1, False, pack(doc[at], keys[text[at]], start[at], [contents[i] for i in at])))
+                p = int(place[at[0]])
+                out.append((p // buckets.subs, p % buckets.subs, False, pack(doc[at], keys[text[at]], start[at], [contents[i] for i in at])))
             gone = np.flatnonzero(~own)
             if len(gone):
                 # neighbours of one text follow each other: join their intervals
@@ -163,7 +163,7 @@ def deal(k: int, m: int, hot: np.ndarray, parts: int, most: int = 1 << 22):
                 size = np.add.reduceat(n[gone], heads)
                 at = gone[heads]
                 blob = zstandard.compress(np.rec.fromarrays([doc[at], keys[text[at]], start[at].astype(np.int32), size.astype(np.int32)], dtype=_MARKS).tobytes(), 3)
-                out.append((turn % parts, 0, True, blob))
+                out.append((turn % buckets.parts, 0, True, blob))
                 turn += 1
             yield pd.DataFrame(out, columns=["part", "sub", "marks", "blob"])
 
@@ -261,11 +261,10 @@ def removed_words(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, hot_shar
 
     ``docs``: doc_id, key (hash of the text), text, none null.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = Buckets.of(docs, "text")
     hot = hot_minimisers(docs, k, m, hot_share)
-    blocks = docs.mapInPandas(deal(k, m, hot, parts), "part int, sub int, marks boolean, blob binary")
-    return blocks.repartitionById(parts, "part").sortWithinPartitions("part", "sub").mapInPandas(compare(k), _MARK_SCHEMA)
+    blocks = docs.mapInPandas(deal(k, m, hot, buckets), "part int, sub int, marks boolean, blob binary")
+    return blocks.repartitionById(buckets.parts, "part").sortWithinPartitions("part", "sub").mapInPandas(compare(k), _MARK_SCHEMA)
 
 
 def substring_dedup(docs: DataFrame, k: int = WINDOW, m: int = MINIMISER, text_col: str = "text", id_col: str = "doc_id", hot_share: float = HOT_SHARE) -> DataFrame:
