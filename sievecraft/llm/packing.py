@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from ..scratch import cut
+from .common import table
 
 CAPACITY = 2048
 #: Id that ends every document.
@@ -72,7 +73,7 @@ class ByteBpe:
 
     SPACES = re.compile(r"\s ")
 
-    def __init__(self, name: str, most: int = 300_000, longest: int = 64):
+    def __init__(self, name: str, most: int = 100_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -64,7 +64,7 @@ class Grammar:
 class Lexicon(dict):
     """The lexicon transducer: word -> (symbol, insult or None); words before stems, longest stem first. Forgets when too large."""
 
-    def __init__(self, grammar: Grammar, most: int = 500_000):
+    def __init__(self, grammar: Grammar, most: int = 100_000):
         self.grammar, self.most = grammar, most
         self.closed = {w: s for s, words in CLOSED.items() for w in words}
 
@@ -279,7 +279,7 @@ def count_forms(sample: DataFrame, only: frozenset[str] | None = None) -> DataFr
         for b in batches:
             for t in b["text"]:
                 seen.update(forms(t) if only is None else forms(t) & only)
-                if len(seen) > 1_000_000:
+                if len(seen) > 150_000:
                     yield pd.DataFrame(seen.items(), columns=["form", "n"])
                     seen.clear()
         yield pd.DataFrame(seen.items(), columns=["form", "n"])
