@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.window import range_edges, range_of
+from ..scratch import cut, discard
 
 
 def select_k_best(scores: DataFrame, k: int) -> DataFrame:
@@ -51,7 +52,8 @@ def all_masks(df: DataFrame, n: int, most: int) -> DataFrame:
 def set_cover(covers: DataFrame, steps: int, weight: DataFrame | None = None) -> DataFrame:
     """Greedy cover of rows by features. covers: (feature, row_id). (step, feature, newly): with weights, least weight per newly covered row first.
 
-    Each step counts uncovered rows per feature and keeps one row; what is covered leaves by an anti-join.
+    Each step counts uncovered rows per feature and keeps one row; what is covered leaves by an anti-join, whose result
+    is written so that no step repeats those before it.
     """
     spark = covers.sparkSession
     left, out = covers, []
@@ -65,7 +67,10 @@ def set_cover(covers: DataFrame, steps: int, weight: DataFrame | None = None) ->
             break
         out.append((step, best.feature, best.newly))
         done = left.where(F.col("feature") == best.feature).select("row_id")
-        left = left.join(done, "row_id", "left_anti")
+        if step < steps:
+            before, left = left, cut(left.join(done, "row_id", "left_anti"), "uncovered")
+            if step > 1:  # the first is the caller's
+                discard(before)
     return spark.createDataFrame(out, "step int, feature string, newly long")
 
 
