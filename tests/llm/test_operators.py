@@ -144,8 +144,7 @@ def near_family(n, edits):
     return out
 
 
-@pytest.mark.parametrize("frequent", [1, 8])
-@pytest.mark.parametrize("block", [16, 1000])
+@pytest.mark.parametrize("frequent,block", [(1, 1000), (8, 1000), (8, 16)])
 def test_ngram_join(spark, docs, nothing, frequent, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     family = [t for e in (0, 2, 4, 5, 6) for t in near_family(12, e)]
