@@ -158,7 +158,7 @@ class Scanner:
     """Phrases and templates made ready to scan texts."""
 
     def __init__(self, phrases: dict[str, str], templates: dict[str, list[str]]):
-        self.phrases = [(p.split(), label) for p, label in phrases.items()]
+        self.phrases = [(WORD.findall(p.translate(FOLD)), label) for p, label in phrases.items()]
         self.automata = [(label, compile_template(t)) for label, ts in templates.items() for t in ts]
         # words of which a text must have one for anything to match: the last words of phrases, any start of templates
         self.need_phrase = {p[-1] for p, _ in self.phrases}

@@ -322,6 +322,10 @@ def test_templates_accept_published_texts():
         assert label in {s[2] for s in scanner.scan(text)[2]}, label
 
 
+def test_upper_case_phrase():
+    assert license_scan.Scanner({"BSD License": "bsd"}, {}).scan("a bsd license, BSD-License")[1] == [(1, "bsd"), (3, "bsd")]
+
+
 def test_nested_upper_case_template():
     markup = "Take <<beginOptional>>THE <<beginOptional>>OLD<<endOptional>> RED<<endOptional>> Box"
     scanner = license_scan.Scanner({}, {"box": [markup]})
