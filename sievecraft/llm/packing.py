@@ -73,19 +73,20 @@ class ByteBpe:
 
     SPACES = re.compile(r"\s ")
 
-    def __init__(self, name: str, most: int = 100_000, longest: int = 64):
+    def __init__(self, name: str, most: int = 200_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
-        self.whole = False
+        self.whole, self.added = False, ()
         if got := byte_ranks(path):
             import tiktoken
 
             ranks, added, pattern = got
             encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-            names = tuple(added)
-            self._ids = lambda t: encoding.encode(t, allowed_special="all", disallowed_special=()) if any(s in t for s in names) else encoding.encode_ordinary(t)
+            self._ids = encoding.encode_ordinary
+            self.added = tuple(added)
+            self._ids_with_added = lambda t: encoding.encode(t, allowed_special="all", disallowed_special=())
         else:
             tokenizer = Tokenizer.from_file(path)
             added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
@@ -105,6 +106,8 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if any(a in text for a in self.added):
+            return array("I", self._ids_with_added(text)).tobytes()
         if self.whole or self.SPACES.search(text):
             return self._encode(text)
         if len(self.cache) > self.most:
