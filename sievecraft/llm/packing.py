@@ -226,7 +226,7 @@ def plan_slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
     return {x: np.array(rows, dtype=np.int64) for x, rows in slots.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, text_col: str = "text", id_col: str = "doc_id", bucket_rows: int = 1000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece with its place.
 
     Null texts count as empty; an empty text still has its separator, so it is one piece of length 1. Texts of any
