@@ -30,8 +30,8 @@ from .words import chunks, mix
 WINDOW = 100
 #: Bytes of the q-grams that deal windows to buckets; a multiple of 8.
 GRAM = 16
-#: Bytes of texts that are looked at together; longer texts are cut into pieces that overlap.
-CHUNK = 1 << 22
+#: Bytes of texts whose strings are merged and packed together, and of those that are hashed together; longer texts are cut into pieces that overlap.
+CHUNK, HASHED = 1 << 23, 1 << 19
 #: Share of all strings from which a q-gram counts as hot; at most 4/3 of its inverse are.
 HOT_SHARE = 1 / 2000
 TOP = np.uint64(1 << 63)
@@ -240,7 +240,7 @@ def hot_grams(docs: DataFrame, window: int, gram: int, share: float) -> np.ndarr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[int] = Counter()
-        for texts in chunks((p for b in batches for t in b["text"] for _, p in pieces(t.encode(), window, CHUNK)), len, 1 << 20):
+        for texts in chunks((p for b in batches for t in b["text"] for _, p in pieces(t.encode(), window, HASHED)), len, HASHED):
             low = packed_strings(texts, window, gram, np.zeros(0, dtype=np.uint64))[5]
             values, n = np.unique(low, return_counts=True)
             at = n >= max(2, share / 4 * len(low))
@@ -257,15 +257,41 @@ def hot_grams(docs: DataFrame, window: int, gram: int, share: float) -> np.ndarr
     return np.sort(np.array([r.v for r in rows], dtype=np.int64).astype(np.uint64))
 
 
-def deal(window: int, gram: int, hot: np.ndarray, buckets: Buckets, most: int = CHUNK):
+def packed(s: np.ndarray, body: np.ndarray) -> bytes:
+    """A block: strings column by column, bytes of one place together, ids as differences; then their bytes."""
+    columns = [np.diff(s[c], prepend=s[c].dtype.type(0)) if c == "doc" else np.ascontiguousarray(s[c]) for c in _STRING.names]
+    planes = [c.view(np.uint8).reshape(len(s), -1).T.tobytes() for c in columns]
+    return zstandard.compress(b"".join([np.int64(len(s)).tobytes(), *planes, body.tobytes()]), 6)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, their bytes) of a block."""
+    data = zstandard.decompress(blob)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    s, at = np.empty(n, dtype=_STRING), 8
+    for c in _STRING.names:
+        size = _STRING[c].itemsize
+        column = np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(_STRING[c]).ravel()
+        s[c] = np.cumsum(column) if c == "doc" else column
+        at += n * size
+    return s, np.frombuffer(data, np.uint8, -1, at)
+
+
+def deal(window: int, gram: int, hot: np.ndarray, buckets: Buckets, most: int = CHUNK, hashed: int = HASHED):
     """mapInPandas function: (doc_id, key, text) -> blocks (part, sub, marks, blob). With marks, the blob has marks of the task itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((d, x, a, p) for b in batches for d, x, t in zip(b["doc_id"].tolist(), b["key"].tolist(), b["text"].tolist()) for a, p in pieces(t.encode(), window, most))
+        rows = ((d, x, a, p) for b in batches for d, x, t in zip(b["doc_id"].tolist(), b["key"].tolist(), b["text"].tolist()) for a, p in pieces(t.encode(), window, hashed))
         turn = 0
-        for chunk in chunks(rows, lambda r: len(r[3]), most):
+        for chunk in chunks(rows, lambda r: len(r[3]), most, 1 << 16):
             ids, keys, begin = (np.array([r[c] for r in chunk], dtype=np.int64) for c in range(3))
-            data, text, at, start, n, low = packed_strings([r[3] for r in chunk], window, gram, hot)
+            parts, texts, before = [], 0, 0
+            for some in chunks(iter(chunk), lambda r: len(r[3]), hashed, 1 << 16):
+                data, text, at, *rest = packed_strings([r[3] for r in some], window, gram, hot)
+                parts.append((data[:-8], text + texts, at + before, *rest))
+                texts, before = texts + len(some), before + len(data) - 8
+            parts.append((np.zeros(8, dtype=np.uint8), *[p[:0] for p in parts[0][1:]]))
+            data, text, at, start, n, low = map(np.concatenate, zip(*parts))
             doc, key, start, size = ids[text], keys[text], start + begin[text], n + window - 1
             order, new = equal_runs(eights(data), at, size)
             first, later = firsts(ranks(doc, key, start), order, new)
@@ -277,11 +303,8 @@ def deal(window: int, gram: int, hot: np.ndarray, buckets: Buckets, most: int =
             edges = np.r_[np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), len(mine)]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 s = strings[a:b]
-                # by column, as likes stand together so
-                head = b"".join([np.int64(b - a).tobytes(), *[np.ascontiguousarray(s[c]).tobytes() for c in _STRING.names]])
-                body = laid_out(data, at[mine[a:b]], size[mine[a:b]]).tobytes()
                 p = int(place[a])
-                out.append((p // buckets.subs, p % buckets.subs, False, zstandard.compress(head + body, 3)))
+                out.append((p // buckets.subs, p % buckets.subs, False, packed(s, laid_out(data, at[mine[a:b]], size[mine[a:b]]))))
             if len(later):
                 m = marks_of(doc[later], key[later], start[later], n[later])
                 out.append((turn % buckets.parts, 0, True, zstandard.compress(m.tobytes(), 3)))
@@ -291,17 +314,6 @@ def deal(window: int, gram: int, hot: np.ndarray, buckets: Buckets, most: int =
     return run
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(strings, their bytes) of a block."""
-    data = zstandard.decompress(blob)
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    s, at = np.empty(n, dtype=_STRING), 8
-    for c in _STRING.names:
-        s[c] = np.frombuffer(data, _STRING[c], n, at)
-        at += n * _STRING[c].itemsize
-    return s, np.frombuffer(data, np.uint8, -1, at)
-
-
 def compare(window: int):
     """mapInPandas function: blocks sorted by sub-bucket -> marks."""
 
@@ -353,7 +365,9 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_c
     the text too are one document, each returned with the same result. Other columns are left out, whatever their
     names. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    alone = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = rows.withColumn("key", F.lit(0).cast("long") if alone else F.xxhash64("text"))  # where ids tell all documents apart, nothing else need travel
     marks = repeated_windows(rows.where("doc_id IS NOT NULL").select("doc_id", "key", "text"), window, gram, hot_share)
     per = marks.groupBy("doc_id", "key").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns"))
 
