@@ -31,7 +31,7 @@ WINDOW = 100
 #: Bytes of the q-grams that deal windows to buckets; a multiple of 8.
 GRAM = 16
 #: Bytes of texts whose strings are merged and packed together, and of those that are hashed together; longer texts are cut into pieces that overlap.
-CHUNK, HASHED = 1 << 23, 1 << 19
+CHUNK, HASHED = 1 << 22, 1 << 19
 #: Share of all strings from which a q-gram counts as hot; at most 4/3 of its inverse are.
 HOT_SHARE = 1 / 2000
 TOP = np.uint64(1 << 63)
