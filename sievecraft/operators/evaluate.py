@@ -7,7 +7,7 @@ leaves each task as a small table of confusion counts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +40,9 @@ class NaiveBayes:
         return -0.5 * (np.log(2 * np.pi * self.var)[None] + (x[:, None, :] - self.mean[None]) ** 2 / self.var[None])
 
 
-def fit_nb(train: DataFrame, features: list[str], label: str, smoothing: float = 1e-9, epsilon: float | None = None, bounds: dict[str, tuple[float, float]] | None = None, seed: int = 7) -> NaiveBayes:
-    """From sufficient statistics. With epsilon, Laplace noise is added to the means and variances of values bounded as given."""
-    st = classwise_stats(train, features, label).toPandas()
+def fit_nb(train: DataFrame, features: list[str], label: str, smoothing: float = 1e-9, epsilon: float | None = None, bounds: dict[str, tuple[float, float]] | None = None, seed: int = 7, stats: pd.DataFrame | None = None) -> NaiveBayes:
+    """From sufficient statistics, which may be given. With epsilon, Laplace noise is added to the means and variances of values bounded as given."""
+    st = classwise_stats(train, features, label).toPandas() if stats is None else stats
     labels = sorted(st["label"].unique().tolist())
     pick = lambda c: st.pivot(index="label", columns="feature", values=c).loc[labels, features].to_numpy(dtype=float)
     n, mean = pick("n"), pick("s") / pick("n")
@@ -76,42 +76,71 @@ def mask_matrix(masks: list[int], n: int) -> np.ndarray:
     return np.array([[(m >> i) & 1 for m in masks] for i in range(n)], dtype=float)
 
 
-def confusion(df: DataFrame, model: NaiveBayes, features: list[str], label: str, group: str, masks: list[int], block: int = 4096) -> DataFrame:
-    """(mask, label, pred, grp, n) of all masks over all rows."""
-    m = mask_matrix(masks, len(features))
-    names = np.array([stored(x, len(features)) for x in masks], dtype=object)
-    labels = np.array(model.labels)
+def places(labels: list, values: pd.Series) -> np.ndarray:
+    """Place of each value in the sorted labels; behind them where it isn't one."""
+    known = np.array(labels)
+    at = np.minimum(np.searchsorted(known, values.to_numpy()), len(known) - 1)
+    return np.where(known[at] == values.to_numpy(), at, len(known))
+
+
+def other_label(labels: list) -> int:
+    """What stands for all labels that a model doesn't know."""
+    return int(labels[0]) - 1
+
+
+def count_predictions(df: DataFrame, features: list[str], label: str, group: str, labels: list, columns: list[tuple[int, int]], predict: Callable[[pd.DataFrame], np.ndarray], block: int = 4096) -> DataFrame:
+    """(mask, label, pred, grp, n, setting) over all rows.
+
+    columns: the mask and the setting of each column of what ``predict`` gives for some rows, the places of the predicted
+    labels. Labels that aren't among ``labels`` count as one more class, ``other_label``, which nothing predicts.
+    """
+    names = np.array([stored(m, len(features)) for m, _ in columns], dtype=object)
+    settings = np.array([k for _, k in columns])
+    known = np.array([*labels, other_label(labels)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         k = len(labels)
-        total = np.zeros((len(masks), k, k, 2), dtype=np.int64)
+        total = np.zeros((len(columns), k + 1, k, 2), dtype=np.int64)
         for b in batches:
             for at in range(0, len(b), block):
                 part = b.iloc[at : at + block]
-                log = model.log_likelihoods(part[features].to_numpy(dtype=float))
-                best, pred = None, np.zeros((len(part), len(masks)), dtype=np.int8)
-                for c in range(k):
-                    score = log[:, c, :] @ m + np.log(model.prior[c])
-                    if best is None:
-                        best = score
-                    else:
-                        pred[score > best] = c
-                        best = np.maximum(best, score)
-                # rows of each class and group that are predicted as c, for all masks: a product of 0/1 matrices
-                code = np.searchsorted(labels, part[label].to_numpy()) * 2 + part[group].to_numpy(dtype=int)
-                own = (code[:, None] == np.arange(2 * k)[None]).astype(np.float32)
+                pred = predict(part)
+                # rows of each class and group that are predicted as c, for all columns: a product of 0/1 matrices
+                code = places(labels, part[label]) * 2 + part[group].to_numpy(dtype=int)
+                own = (code[:, None] == np.arange(2 * k + 2)[None]).astype(np.float32)
                 for c in range(k):
                     n = own.T @ (pred == c).astype(np.float32)
-                    total[:, :, c, :] += n.T.reshape(len(masks), k, 2).astype(np.int64)
+                    total[:, :, c, :] += n.T.reshape(len(columns), k + 1, 2).astype(np.int64)
         at = np.argwhere(total)
-        yield pd.DataFrame({"mask": names[at[:, 0]], "label": labels[at[:, 1]], "pred": labels[at[:, 2]], "grp": at[:, 3], "n": total[tuple(at.T)]})
+        yield pd.DataFrame({"mask": names[at[:, 0]], "label": known[at[:, 1]], "pred": known[at[:, 2]], "grp": at[:, 3], "n": total[tuple(at.T)], "setting": settings[at[:, 0]]})
 
-    counts = df.select(*features, label, group).mapInPandas(run, f"mask {mask_type(len(features))}, label int, pred int, grp int, n long")
-    return counts.groupBy("mask", "label", "pred", "grp").agg(F.sum("n").alias("n"))
+    counts = df.select(*features, label, group).mapInPandas(run, f"mask {mask_type(len(features))}, label int, pred int, grp int, n long, setting int")
+    return counts.groupBy("mask", "label", "pred", "grp", "setting").agg(F.sum("n").alias("n"))
 
 
-def metrics(counts: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
-    """(by, accuracy, f1, fairness, rows) from confusion counts.
+def confusion(df: DataFrame, model: NaiveBayes, features: list[str], label: str, group: str, masks: list[int]) -> DataFrame:
+    """(mask, label, pred, grp, n) of all masks over all rows; ``model`` has labels, prior and log_likelihoods(rows)."""
+    m = mask_matrix(masks, len(features))
+
+    def predict(part: pd.DataFrame) -> np.ndarray:
+        log = model.log_likelihoods(part[features].to_numpy(dtype=float))
+        best, pred = None, np.zeros((len(part), len(masks)), dtype=np.int8)
+        for c in range(len(model.labels)):
+            score = log[:, c, :] @ m + np.log(model.prior[c])
+            if best is None:
+                best = score
+            else:
+                pred[score > best] = c
+                best = np.maximum(best, score)
+        return pred
+
+    return count_predictions(df, features, label, group, model.labels, [(x, 0) for x in masks], predict).drop("setting")
+
+
+def metrics(counts: DataFrame, by: list[str], positive: int = 1, scorer: str | Callable[..., Column] | None = None) -> DataFrame:
+    """(by, accuracy, f1, fairness, rows) from confusion counts, and with ``scorer`` also score.
+
+    scorer: accuracy, f1, fairness, or a function of the columns tp, fp, fn, tn that gives a column.
 
     Fairness is 1 - |TP0 / n0 - TP1 / n1| with n the size of the group (not of its positives); a table without two
     groups counts as fair.
@@ -124,7 +153,11 @@ def metrics(counts: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
         *[x for g in (0, 1) for x in (s(F.col("grp") == g).alias(f"n{g}"), s(tp & (F.col("grp") == g)).alias(f"tp{g}"))],
     )
     gap = F.abs(F.try_divide("tp0", "n0") - F.try_divide("tp1", "n1"))
-    return a.select(*by, (F.col("hit") / F.col("rows")).alias("accuracy"), F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)).alias("f1"), (1 - F.coalesce(gap, F.lit(0.0))).alias("fairness"), "rows")
+    out = {"accuracy": F.col("hit") / F.col("rows"), "f1": F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)), "fairness": 1 - F.coalesce(gap, F.lit(0.0)), "rows": F.col("rows")}
+    if scorer is not None:
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        out["score"] = out[scorer] if isinstance(scorer, str) else scorer(tp, fp, fn, F.col("rows") - tp - fp - fn).cast("double")
+    return a.select(*by, *[v.alias(k) for k, v in out.items()])
 
 
 def constraint_loss(c: Constraints, accuracy: Column, fairness: Column, share: Column, safety: Column | None = None) -> Column:
@@ -160,44 +193,28 @@ def satisfied(c: Constraints, accuracy: Column, fairness: Column, share: Column)
     return ok
 
 
-def evaluate_model(train: DataFrame, valid: DataFrame, features: list[str], label: str, group: str, masks: list[int], constraints: Constraints, estimators: list, scorer: str = "accuracy") -> DataFrame:
+def evaluate_model(train: DataFrame, valid: DataFrame, features: list[str], label: str, group: str, masks: list[int], constraints: Constraints, estimators: list, scorer: str | Callable[..., Column] = "accuracy") -> DataFrame:
     """As ``evaluate_masks`` for any Spark ML classifier: per mask the setting of ``estimators`` that scores highest.
 
-    A mask is a fit of its own per setting, one Spark job each; ``scorer`` is accuracy, f1 or fairness. The result has
+    A mask is a fit of its own per setting, one Spark job each; ``scorer`` as in ``metrics``. The result has
     ``setting``, the place of the chosen one.
     """
-    from .rank import assembled
-
-    out = None
-    for mask in masks:
-        names = [f for i, f in enumerate(features) if (mask >> i) & 1]
-        for k, estimator in enumerate(estimators):
-            model = estimator.fit(assembled(train, names, label))
-            pred = model.transform(assembled(valid, names, label)).select(label, F.col("prediction").cast("int").alias("pred"), F.col(group).alias("grp"))
-            m = metrics(pred.groupBy(F.col(label).alias("label"), "pred", "grp").agg(F.count("*").alias("n")), [])
-            m = m.select(F.lit(stored(mask, len(features))).cast(mask_type(len(features))).alias("mask"), F.lit(k).alias("setting"), "accuracy", "f1", "fairness")
-            out = m if out is None else out.unionByName(m)
-    best = F.max_by(F.struct("setting", "accuracy", "f1", "fairness"), F.struct(scorer, -F.col("setting")))
-    out = out.groupBy("mask").agg(best.alias("b")).select("mask", "b.*")
-    return _with_loss(out, features, constraints, "setting")
+    from .mask_models import SparkMasks, evaluate
+
+    return evaluate(SparkMasks(tuple(estimators)).prepare(train, features, label), valid, features, group, masks, constraints, scorer).drop("score")
 
 
 def evaluate_masks(train: DataFrame, valid: DataFrame, features: list[str], label: str, group: str, masks: list[int], constraints: Constraints, smoothings=(1e-9,)) -> DataFrame:
     """(mask, size, share, accuracy, f1, fairness, loss, satisfied): per mask the smoothing of highest accuracy (not of lowest loss)."""
-    out = None
-    for k, smoothing in enumerate(smoothings):
-        m = metrics(confusion(valid, fit_nb(train, features, label, smoothing), features, label, group, masks), ["mask"]).withColumn("__h", F.lit(k))
-        out = m if out is None else out.unionByName(m)
-    if len(smoothings) > 1:
-        best = F.max_by(F.struct("accuracy", "f1", "fairness"), F.struct("accuracy", -F.col("__h")))
-        out = out.groupBy("mask").agg(best.alias("b")).select("mask", "b.*")
-    return _with_loss(out, features, constraints)
+    from .mask_models import GaussianMasks, evaluate
+
+    return evaluate(GaussianMasks(tuple(smoothings)).prepare(train, features, label), valid, features, group, masks, constraints).drop("setting", "score")
 
 
-def _with_loss(scored: DataFrame, features: list[str], constraints: Constraints, *keep: str) -> DataFrame:
+def _with_loss(scored: DataFrame, features: list[str], constraints: Constraints, *keep: str, goal: str = "accuracy") -> DataFrame:
     size = F.bit_count("mask").cast("int") if len(features) < 64 else F.length(F.replace("mask", F.lit("0"), F.lit("")))
     share = size / F.lit(float(len(features)))
-    c = [F.col("accuracy"), F.col("fairness"), share]
+    c = [F.col(goal), F.col("fairness"), share]
     return scored.select("mask", size.alias("size"), share.alias("share"), "accuracy", "f1", "fairness", constraint_loss(constraints, *c).alias("loss"), satisfied(constraints, *c).alias("satisfied"), *keep)
 
 

@@ -10,7 +10,8 @@ from itertools import combinations, islice
 
 from pyspark.sql import DataFrame
 
-from .evaluate import Constraints, evaluate_masks, loaded, mask_type, stored
+from .evaluate import Constraints, loaded, mask_type, stored
+from .mask_models import GaussianMasks, evaluate
 
 TRIAL_SCHEMA = "seq int, batch int, mask {}, size int, share double, accuracy double, f1 double, fairness double, loss double, satisfied boolean"
 
@@ -27,6 +28,9 @@ class Search:
     constraints: Constraints
     trials: dict[int, dict] = field(default_factory=dict)
     batches: int = 0
+    model: object = GaussianMasks()  # any of mask_models: what is fitted on a mask, with its grid of settings
+    scorer: object = "accuracy"  # by which a setting is chosen and which the constraint on accuracy is about
+    fitted: object = None
 
     @property
     def n(self) -> int:
@@ -41,7 +45,9 @@ class Search:
         masks = list(dict.fromkeys(masks))
         new = [m for m in masks if m and m not in self.trials]
         if new:
-            rows = evaluate_masks(self.train, self.valid, self.features, self.label, self.group, new, self.constraints).collect()
+            if self.fitted is None:  # what doesn't depend on the masks is read once
+                self.fitted = self.model.prepare(self.train, self.features, self.label)
+            rows = evaluate(self.fitted, self.valid, self.features, self.group, new, self.constraints, self.scorer).collect()
             got = {loaded(r["mask"]): r.asDict() | {"mask": loaded(r["mask"])} for r in rows}
             for m in new:
                 self.trials[m] = got[m] | {"seq": len(self.trials), "batch": self.batches}
@@ -94,8 +100,6 @@ def forward(s: Search, floating: bool = False) -> None:
         if now in seen and not floating:
             break
         seen.add(now)
-        if len(seen) > 4 * s.n:
-            break
 
 
 def backward(s: Search, floating: bool = False) -> None:
@@ -339,14 +343,14 @@ STRATEGIES = {
 }
 
 
-def query(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[str], label: str, group: str, constraints: Constraints, strategy="forward_floating") -> tuple[list[str], DataFrame]:
+def query(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[str], label: str, group: str, constraints: Constraints, strategy="forward_floating", model=None, scorer="accuracy") -> tuple[list[str], DataFrame]:
     """(names, trials): features of a mask that satisfies the constraints on validation and on test; no names if none does."""
-    s = Search(train, valid, features, label, group, constraints)
+    s = Search(train, valid, features, label, group, constraints, model=model or GaussianMasks(), scorer=scorer)
     (STRATEGIES[strategy] if isinstance(strategy, str) else strategy)(s)
     good = [t["mask"] for t in sorted(s.trials.values(), key=lambda t: (t["loss"], t["size"], t["mask"])) if t["satisfied"]]
     best = 0
     for i in range(0, len(good), 32):
-        held = evaluate_masks(train, test, features, label, group, good[i : i + 32], constraints).collect()
+        held = evaluate(s.fitted, test, features, group, good[i : i + 32], constraints, scorer).collect()
         ok = {loaded(r["mask"]) for r in held if r["satisfied"]}
         if best := next((m for m in good[i : i + 32] if m in ok), 0):
             break
