@@ -37,6 +37,11 @@ CANDIDATE = "[A-Za-z0-9+/_=]{20,}"
 #: Documents in the labelled sample, about; all of them where the table has fewer.
 SAMPLE_DOCS = 4000
 
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: inside a lambda anything but a lambda variable is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def before_each(values: Column, kind: str, merge, width: int = 64) -> Column:
     """What ``merge`` (associative, from 0) makes of all values before each one; ``kind`` is its type.
 
@@ -45,24 +50,27 @@ def before_each(values: Column, kind: str, merge, width: int = 64) -> Column:
     """
     zero, empty = F.lit(0).cast(kind), F.array().cast(f"array<{kind}>")
     grow = lambda vs, start: F.aggregate(vs, F.struct(start.alias("at"), empty.alias("out")), lambda a, v: F.struct(merge(a["at"], v).cast(kind).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda k: F.slice(values, k * width + 1, F.lit(width)))
-    sums = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, v: merge(a, v).cast(kind)))
-    filled = F.flatten(F.zip_with(chunks, grow(sums, zero), lambda c, start: grow(c, start)))
-    return F.when(F.size(values) > 0, filled).otherwise(empty)
+    cut = lambda vs: F.transform(F.sequence(F.lit(0), F.floor((F.size(vs) - 1) / width).cast("int")), lambda k: F.slice(vs, k * width + 1, F.lit(width)))
+    sums = lambda chunks: F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, v: merge(a, v).cast(kind)))
+    filled = lambda chunks: F.flatten(F.zip_with(chunks, grow(sums(chunks), zero), lambda c, start: grow(c, start)))
+    return bound(values, lambda vs: F.when(F.size(vs) > 0, bound(cut(vs), filled)).otherwise(empty))
 
 
 SPAN = "struct<start:int,end:int,len:int,token:string>"
 
 
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, len, token>> of leftmost non-overlapping matches in code points; len is the group's length."""
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    # the last piece between matches has no match behind it
-    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), whole, lambda gap, w: F.length(gap) + F.length(w))
-    ends = F.zip_with(before_each(sizes, "int", lambda a, v: a + v), sizes, lambda before, n: before + n)
-    spans = F.zip_with(ends, F.zip_with(whole, part, lambda w, g: F.struct(w.alias("w"), F.length(g).alias("g"))), lambda end, m: F.struct((end - F.length(m.w)).alias("start"), end.alias("end"), m.g.alias("len"), m.w.alias("token")))
+    """array<struct<start, end, len, token>> of leftmost non-overlapping matches in code points; len is the group's length.
+
+    The text is gone through once for a test, and only where that finds something for the matches and the gaps before them.
+    A match is a match of the pattern by itself too, which gives its group.
+    """
+    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("w"), F.split(text, pattern, -1).alias("gap"))
+    # behind the last match there is one more gap
+    sized = F.transform(F.filter(matches, lambda m: m["w"].isNotNull()), lambda m: F.struct(m["w"].alias("w"), F.length(m["w"]).alias("size"), (F.length(m["gap"]) + F.length(m["w"])).alias("n")))
+    length = lambda m: F.length(F.regexp_extract(m["w"], pattern, group)) if group else m["size"]
+    span = lambda m, before: F.struct((before + m["n"] - m["size"]).alias("start"), (before + m["n"]).alias("end"), length(m).alias("len"), m["w"].alias("token"))
+    spans = bound(sized, lambda ms: F.zip_with(ms, before_each(F.transform(ms, lambda m: m["n"]), "int", lambda a, v: a + v), span))
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -118,24 +126,46 @@ def mean_llr(token: Column, model: np.ndarray) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
 
 
+def apart(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` (start, end, token) that overlap none of ``others`` (start, end).
+
+    Both are laid out by place: an other at its start, a span at its end, before others that start there. A span is free if no
+    other before it reaches beyond its start.
+    """
+    place = lambda key, other, reach, start, end, token: F.struct(key.alias("key"), F.lit(other).alias("other"), reach.cast("int").alias("reach"), start.alias("start"), end.alias("end"), token.cast("string").alias("token"))
+    items = F.array_sort(F.concat(F.transform(others, lambda b: place(b["start"], 1, b["end"], b["start"], b["end"], F.lit(None))), F.transform(spans, lambda s: place(s["end"], 0, F.lit(0), s["start"], s["end"], s["token"]))))
+    reached = lambda xs: F.zip_with(xs, before_each(F.transform(xs, lambda x: x["reach"]), "int", F.greatest), lambda x, top: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"), ((x["other"] == 0) & (top <= x["start"])).alias("free")))
+    kept = F.transform(F.filter(bound(items, reached), lambda x: x["free"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")))
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["token"].alias("token")))
+    return F.when((F.size(others) > 0) & (F.size(spans) > 0), kept).otherwise(plain)
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def secret_scan(docs: DataFrame, model: np.ndarray | None = None, text_col: str = "text", id_col: str = "doc_id", least_llr: float = 3.0) -> DataFrame:
     """``docs`` with ``secrets`` added: array<struct<start, end, kind>> by start, then kind as listed.
 
     Starts are in code points, ends exclusive. The Markov models add tokens of 20 or more characters whose mean
     ratio reaches ``least_llr`` and that overlap no span of a fixed pattern. Null texts count as
-    empty and have no spans; texts of any length are scanned whole; repeated rows are scanned each.
+    empty and have no spans; texts of any length are scanned whole; repeated rows are scanned each. A column ``secrets``
+    of the input is replaced, all others stay. An empty table gives an empty result.
     """
     model = fit_markov(docs, text_col, id_col) if model is None else model
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = base_spans(text)
     rank = {k: i for i, k in enumerate([*KINDS, MARKOV])}
     tag = lambda spans, kind: F.transform(spans, lambda s: F.struct(s.start.alias("start"), F.lit(rank[kind]).alias("rank"), s.end.alias("end"), F.lit(kind).alias("kind")))
-    out = docs.withColumn("__base", F.concat(*[tag(s, k) for k, s in kinds.items()]))
+    base = _free_name(docs, "__base")
+    out = docs.withColumn(base, F.concat(*[tag(s, k) for k, s in kinds.items()]))
     spans = find_spans(text, CANDIDATE)
-    free = F.filter(spans, lambda s: ~F.exists(F.col("__base"), lambda b: (b.start < s.end) & (s.start < b.end)))
-    found = F.filter(free, lambda s: mean_llr(s.token, model) >= least_llr)
-    merged = F.array_sort(F.concat(F.col("__base"), tag(found, MARKOV)))
-    return out.withColumn("secrets", F.transform(merged, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).drop("__base")
+    found = F.filter(apart(spans, F.col(base)), lambda s: mean_llr(s.token, model) >= least_llr)
+    merged = F.array_sort(F.concat(F.col(base), tag(found, MARKOV)))
+    return out.withColumn("secrets", F.transform(merged, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind")))).drop(base)
 
 
 def redact(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
@@ -143,14 +173,13 @@ def redact(text: Column, secrets: Column, mark: str = "[secret]") -> Column:
 
     Only texts with spans are taken apart, into code points, so each gap is copied once.
     """
-    chars = F.split(text, "")
     # a gap begins where the spans so far end
     ends = F.transform(secrets, lambda s: s["end"])
-    begun = F.zip_with(secrets, before_each(ends, "int", lambda a, v: F.greatest(a, v)), lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
-    gap = lambda a, n: F.array_join(F.slice(chars, a + 1, n), "")
-    pieces = F.transform(F.filter(begun, lambda s: s["start"] >= s["at"]), lambda s: F.concat(gap(s["at"], s["start"] - s["at"]), F.lit(mark)))
-    last = F.array_max(ends)
-    return F.when(F.size(secrets) > 0, F.concat(F.array_join(pieces, ""), gap(last, F.greatest(F.size(chars) - last, F.lit(0))))).otherwise(text)
+    begun = F.zip_with(secrets, before_each(ends, "int", F.greatest), lambda s, at: F.struct(s["start"].alias("start"), at.alias("at")))
+    gap = lambda chars, a, n: F.array_join(F.slice(chars, a + 1, n), "")
+    pieces = lambda chars: F.transform(F.filter(begun, lambda s: s["start"] >= s["at"]), lambda s: F.concat(gap(chars, s["at"], s["start"] - s["at"]), F.lit(mark)))
+    rest = lambda chars: bound(F.array_max(ends), lambda last: gap(chars, last, F.greatest(F.size(chars) - last, F.lit(0))))
+    return F.when(F.size(secrets) > 0, bound(F.split(text, ""), lambda chars: F.concat(F.array_join(pieces(chars), ""), rest(chars)))).otherwise(text)
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
