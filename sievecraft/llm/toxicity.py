@@ -5,7 +5,7 @@ threats, targets, negations, reports and frames (function words). Small transduc
 symbols: negation, report and target transducers mark the insults and threats in their scope, one composition
 running forwards and one backwards over the clause. The pattern acceptor, a product of small automata, takes a
 clause that holds a threat to a target, an insult to a target, an insult in a phrase (with a function word), or
-several insults; its arcs say which weight an insult adds to. An insult that stands alone matches no pattern.
+several insults; the marks say which sum an insult's weight adds to. An insult that stands alone matches no pattern.
 
 What the accepted clauses of a text give is summed per kind, and a logistic model over these sums, fitted on
 labelled rows, gives the score. Words outside an accepted clause never count.
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, discard
 from .common import table
 
 #: Symbols of the grammar; the marks below are added to insults and threats.
@@ -219,7 +220,7 @@ def weigh(marked: list[int], clause: list[tuple[int, str | None]], grammar: Gram
             weight = steps[seen[form]] if seen[form] < len(steps) else 0.5
             seen[form] += 1
             out[3 if s & REPORTED else 2 if s & NEGATED else 0] += weight
-            out[1] += weight * bool(s & AIMED)
+            out[1] += weight * (s & (AIMED | NEGATED | REPORTED) == AIMED)
         elif kind == THREAT and s & AIMED and not s & NEGATED:
             out[4] += 1
     out[5] = out[:5].any()
@@ -347,13 +348,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000,
     What reaches the driver are the forms that many toxic texts of the sample share and six sums per sampled row. Without labelled rows every score
     is 0.02; with one label only, all scores go to that label.
     """
-    sample = labelled_sample(docs, labels, sample_rows, text_col, id_col, label_col)
+    sample = cut(labelled_sample(docs, labels, sample_rows, text_col, id_col, label_col), "labelled")  # four readers, one scan of the corpus
     grammar = Grammar()
     grammar.words, grammar.stems = learn_insults(sample)
     rows = sample.mapInPandas(_features_of(grammar, ["y"]), "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     grammar.coef[0] = -4.0
     if len(rows):
         grammar.coef = fit_logistic(rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy(dtype=float))
+    discard(sample)
     return grammar
 
 
