@@ -49,8 +49,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         hot = found.where(F.col("n") >= least).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__hk"), F.col("n").alias("__hn"))
         rest = found.where((F.col("n") < least) & (F.col("n") > 1)).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__k"), F.col("n").alias("__n"))
         marked = rows.join(F.broadcast(hot), "__digest", "left")
-        # rows of hot contents need no further partner: a key of their own spreads them over the join's tasks
-        key = F.when(F.col("__hn").isNotNull(), F.unhex(F.sha2(F.concat_ws(":", F.lit("hot"), F.col(id_col).cast("string")), 224))).otherwise(F.col("__digest"))
+        # rows of hot contents need no further partner: a key of their own, with or without an id, spreads them over the join's tasks
+        key = F.when(F.col("__hn").isNotNull(), F.unhex(F.sha2(F.concat_ws(":", F.lit("hot"), F.col(id_col).cast("string"), F.monotonically_increasing_id().cast("string")), 224))).otherwise(F.col("__digest"))
         marked = marked.withColumn("__key", key).drop("__digest")
         out = marked.join(rest.withColumnRenamed("__digest", "__key"), "__key", "left")
         single = F.lit(1).cast("long")
