@@ -61,6 +61,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import q_build, q_catalog, q_evaluate, q_extend, q_models, q_profile, q_rank, q_runlog, q_sample, q_search, q_select, q_sources, q_transform  # noqa: F401
+    from .plans import q_build, q_catalog, q_evaluate, q_extend, q_frontier, q_models, q_profile, q_rank, q_runlog, q_sample, q_search, q_select, q_sources, q_transform  # noqa: F401
 
 
