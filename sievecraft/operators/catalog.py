@@ -189,23 +189,3 @@ def aic_weights(models: DataFrame, score: str) -> DataFrame:
     w = W.partitionBy()
     raw = models.withColumn("w", F.exp(-(F.col(score) - F.min(score).over(w)) / 2))
     return raw.withColumn("weight", F.col("w") / F.sum("w").over(w)).drop("w")
-
-
-def functional_dependencies(df: DataFrame, features: list[str], target: str, most: int = 2) -> DataFrame:
-    """(lhs, holds): minimal sets X with X -> target, level by level; sets above a found one aren't tried. A level is one job."""
-    from itertools import combinations
-
-    found: list[tuple[str, ...]] = []
-    rows = []
-    for size in range(1, most + 1):
-        sets = [c for c in combinations(features, size) if not any(set(f) <= set(c) for f in found)]
-        if not sets:
-            break
-        keys = F.array(*[F.struct(F.lit(i).alias("i"), F.to_json(F.struct(*c)).alias("key")) for i, c in enumerate(sets)])
-        groups = df.select(F.explode(keys).alias("x"), F.col(target).alias("y")).groupBy("x.i", "x.key").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-        broken = {r.i for r in groups.where("lo <> hi").select("i").distinct().collect()}
-        for i, c in enumerate(sets):
-            rows.append((",".join(c), i not in broken))
-            if i not in broken:
-                found.append(c)
-    return df.sparkSession.createDataFrame(rows, "lhs string, holds boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.window import prefix_sums
 from ..operators import catalog as cg
+from ..operators import dependencies as dp
 from ..operators import profile as pf
 from ..registry import FEATURES, lines, query, r6, read
 from .scratch import cut
@@ -217,4 +218,31 @@ def prediction_distance(s, d):
 
 @query("fd_to_target", "SELECT lhs, NOT EXISTS (SELECT 1 FROM customer GROUP BY CASE lhs WHEN 'c_custkey' THEN c_custkey::VARCHAR WHEN 'c_nationkey' THEN c_nationkey::VARCHAR ELSE c_nationkey::VARCHAR || '|' || c_acctbal::VARCHAR END HAVING min(c_mktsegment) <> max(c_mktsegment)) AS holds FROM (SELECT unnest(['c_custkey', 'c_nationkey']) AS lhs)")
 def fd_to_target(s, d):
-    return cg.functional_dependencies(read(s, d, "customer"), ["c_custkey", "c_nationkey"], "c_mktsegment", 2)
+    return dp.functional_dependencies(read(s, d, "customer"), ["c_custkey", "c_nationkey"], "c_mktsegment", 2).select("lhs", "holds")
+
+
+_SIX = ["l_linenumber", "l_quantity", "l_discount", "l_returnflag", "day", "month"]
+
+
+def _six(s, d):
+    t = read(s, d, "lineitem")
+    return t.withColumns({"day": F.dayofmonth("l_shipdate"), "month": F.date_format("l_shipdate", "yyyy-MM")})
+
+
+def _six_sql(error):
+    """Errors of all sets of six columns; those without a smaller set that holds."""
+    one = lambda m: ", ".join(c for i, c in enumerate(_SIX) if (m >> i) & 1)
+    parts = " UNION ALL ".join(f"SELECT {m} AS mask, '{one(m).replace(' ', '')}' AS lhs, sum(e) AS e FROM (SELECT sum(c) - max(c) AS e FROM (SELECT {one(m)}, l_linestatus, count(*) AS c FROM t GROUP BY ALL) GROUP BY {one(m)})" for m in range(1, 64))
+    return f"WITH t AS (SELECT *, day(l_shipdate) AS day, strftime(l_shipdate, '%Y-%m') AS month FROM lineitem), e AS (SELECT mask, lhs, e / (SELECT count(*) FROM t) AS error FROM ({parts})), h AS (SELECT mask FROM e WHERE error <= {error}) SELECT lhs, bit_count(mask)::INT AS size, round(error, 9) AS error, error <= {error} AS holds FROM e WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.mask & e.mask = h.mask AND h.mask <> e.mask) AND ((SELECT error FROM e WHERE mask = 63) <= {error} OR bit_count(mask) = 1)"
+
+
+@query("functional_dependencies", _six_sql(0.02))
+def functional_dependencies(s, d):
+    """Sets of six columns that determine the line status but for a fiftieth of the rows."""
+    return dp.functional_dependencies(_six(s, d), _SIX, "l_linestatus", error=0.02).withColumn("error", F.round("error", 9))
+
+
+@query("exact_dependencies", _six_sql(0.0))
+def exact_dependencies(s, d):
+    """Sets of six columns that determine the line status in all rows."""
+    return dp.functional_dependencies(_six(s, d), _SIX, "l_linestatus").withColumn("error", F.round("error", 9))
