@@ -277,30 +277,3 @@ def robustness(df: DataFrame, model: NaiveBayes, features: list[str], label: str
 
     s = df.select(*features, label).mapInPandas(run, "n long, clean long, attacked long").agg(*[F.sum(c).alias(c) for c in ("n", "clean", "attacked")])
     return s.select((F.col("clean") / F.col("n")).alias("clean"), (F.col("attacked") / F.col("n")).alias("attacked"), (1 - (F.col("clean") - F.col("attacked")) / F.col("n")).alias("safety"))
-
-
-def private_forest(df: DataFrame, features: list[str], label: str, bounds: dict[str, tuple[float, float]], epsilon: float, trees: int = 8, depth: int = 4, row_id: str = "row_id", seed: int = 7) -> DataFrame:
-    """(tree, leaf, majority, n_noisy): random trees with split points drawn from the features' domains.
-
-    Every tree sees its own rows (by hash), so each has the whole budget; a leaf's majority is drawn by the
-    exponential mechanism with smooth sensitivity e^(-j epsilon), j the lead of the majority. Trees are a few
-    numbers in the plan; leaves are expressions.
-    """
-    rng = np.random.default_rng(seed)
-    choice = F.lit(0)
-    for t in range(trees):
-        code = F.lit(0)
-        for _ in range(depth):
-            # one split per level (an oblivious tree): feature and point are random
-            f = features[int(rng.integers(len(features)))]
-            code = code * 2 + (F.col(f) > F.lit(float(rng.uniform(*bounds[f])))).cast("int")
-        choice = F.when(F.col("__tree") == t, code).otherwise(choice)
-    rows = df.withColumn("__tree", F.pmod(F.xxhash64(row_id), F.lit(trees)).cast("int")).withColumn("leaf", choice)
-    counts = rows.groupBy(F.col("__tree").alias("tree"), "leaf", F.col(label).alias("y")).agg(F.count("*").alias("n"))
-    per = counts.groupBy("tree", "leaf").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
-    lead = F.abs(F.col("n1") - F.col("n0"))
-    sensitivity = F.exp(-lead * F.lit(epsilon))
-    weight = F.lit(1.0) / (1 + F.exp(-F.lit(epsilon) / (2 * F.greatest(sensitivity, F.lit(1e-12)))))
-    draw = F.pmod(F.xxhash64("tree", "leaf", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    major = (F.col("n1") > F.col("n0")).cast("int")
-    return per.select("tree", "leaf", F.when(draw < weight, major).otherwise(1 - major).alias("majority"), "n0", "n1")

@@ -90,13 +90,78 @@ def pareto_front(df: DataFrame, id_col: str, maximise: list[str]) -> DataFrame:
         keep = best.withColumn("__above", above).join(F.broadcast(ranges), "__part").withColumn("__above", F.greatest("__above", "__beyond"))
         keep = keep.where(F.col("__above").isNull() | (F.col("__b") > F.col("__above")))
         return df.join(keep.select(a, F.col("__b").alias(b)), [a, b])
-    points = df.select(*maximise).distinct()
-    left = points.mapInPandas(local_skyline(maximise), points.schema)
-    o = left.select(*[F.col(c).alias(f"o_{c}") for c in maximise])
-    no_worse = reduce(lambda x, y: x & y, [F.col(f"o_{c}") >= F.col(c) for c in maximise])
-    better = reduce(lambda x, y: x | y, [F.col(f"o_{c}") > F.col(c) for c in maximise])
-    front = left.join(o, no_worse & better, "left_anti").select(*[F.col(c).alias(f"f_{c}") for c in maximise])
-    return df.join(front, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"f_{c}")) for c in maximise]), "left_semi")
+    names = [f"__p{i}" for i in range(len(maximise))]
+    value = [F.col(c).cast("double").alias(n) for c, n in zip(maximise, names)]
+    points = df.select(*value)
+    for n in names:  # what has no value can't be compared: it neither dominates nor is dominated
+        points = points.where(F.col(n).isNotNull() & ~F.isnan(n))
+    front = skyline(points.distinct(), names).withColumn("__front", F.lit(True))
+    rows = df.withColumns({n: F.col(c).cast("double") for c, n in zip(maximise, names)})
+    whole = reduce(lambda x, y: x & y, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])
+    out = rows.withColumn("__whole", whole).join(front, names, "left").where(F.col("__front") | F.coalesce(~F.col("__whole"), F.lit(True)))
+    return out.select(*[f"`{c}`" for c in df.columns])
+
+
+#: Most cells of the grid that a skyline is cut by.
+CELLS = 4096
+
+
+def skyline(points: DataFrame, axes: list[str]) -> DataFrame:
+    """Of distinct points without missing values those that no other dominates.
+
+    Tasks drop what their own points dominate. The others fall into the cells of a grid: a cell that lies below another
+    one in all axes goes whole, and each point of the rest meets only points of cells that are nowhere below its own. A
+    point is sent to the cells that it may dominate into, of which there are at most as many as share a row or column
+    of the grid with it.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..scratch import cut
+
+    left = cut(points.mapInPandas(local_skyline(axes), points.schema), "skyline")
+    most = max(2, int(CELLS ** (1 / len(axes))))
+    sample = left.orderBy(F.xxhash64(*axes)).limit(64 * most).toPandas()  # decides the cost, not the result
+    edges = [np.unique(np.quantile(sample[c], np.arange(1, most) / most, method="lower")) if len(sample) else np.zeros(0) for c in axes]
+
+    def cells_of(x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+
+    def seen(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"cell": [c.tolist() for c in np.unique(cells_of(b[axes].to_numpy()), axis=0)]})
+
+    cells = np.array([r.cell for r in left.mapInPandas(seen, "cell array<int>").distinct().collect()]).reshape(-1, len(axes))
+    alive = cells[[not (cells > c).all(axis=1).any() for c in cells]] if len(cells) else cells
+    number = {tuple(c): i for i, c in enumerate(alive.tolist())}
+    into = {i: np.flatnonzero((alive <= c).all(axis=1)) for i, c in enumerate(alive)}
+
+    def send(batches):
+        for b in batches:
+            own = np.array([number.get(tuple(c), -1) for c in cells_of(b[axes].to_numpy()).tolist()], dtype=np.int64)
+            for i in np.unique(own[own >= 0]):
+                mine = b[own == i]
+                for k in into[int(i)]:
+                    yield mine.assign(cell=int(k), own=bool(k == i))
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        v = g[axes].to_numpy()
+        order = np.argsort(-v.sum(axis=1), kind="stable")
+        v, own = v[order], g["own"].to_numpy()[order]
+        total = v.sum(axis=1)
+        lost = np.zeros(len(g), dtype=bool)
+        for lo in range(0, len(v), 256):
+            part = v[lo : lo + 256, None, :]
+            # what dominates has no smaller sum, so only points up to the last of that sum do
+            last = np.searchsorted(-total, -total[min(lo + 255, len(v) - 1)], side="right")
+            for at in range(0, last, 8192):
+                near = v[None, at : at + 8192]
+                lost[lo : lo + 256] |= ((near >= part).all(axis=2) & (near > part).any(axis=2)).any(axis=1)
+        return pd.DataFrame(v[own & ~lost], columns=axes)
+
+    kind = ", ".join(f"`{c}` double" for c in axes)
+    return left.mapInPandas(send, f"{kind}, cell long, own boolean").groupBy("cell").applyInPandas(meet, kind)
 
 
 def local_skyline(maximise: list[str], block: int = 1000):

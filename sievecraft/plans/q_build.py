@@ -10,6 +10,7 @@ from ..operators import construct as co
 from ..operators import discretize as dz
 from ..operators import rank as rk
 from ..operators import sample as sm
+from ..operators import usefulness as us
 from ..registry import FEATURES, lines, query, r6, read
 from .scratch import cut, shared_path
 
@@ -118,6 +119,32 @@ def transform_usefulness(s, d):
     return cg.parent_gain(scored).where("op <> 'raw'").select(C("raw")[0].alias("feature"), "op", (C("gain") > 0).alias("useful"))
 
 
+_OPS = {"square": "{0} * {0}", "log": "ln(abs({0}) + 1D)", "one_div": "try_divide(1D, {0})", "sqrt": "sqrt(abs({0}))", "exp": "exp(-abs({0}) / 50D)"}
+
+
+def _usefulness(s, d):
+    """Examples over the columns of lines: does an operator help to tell where another column lies?"""
+    q, p, disc, tax = C("l_quantity"), C("l_extendedprice"), C("l_discount"), C("l_tax")
+    columns = {"quantity": q, "price": p, "discount": disc, "tax": tax, "unit": p / q, "net": p * (1 - disc), "gross": p * (1 + tax), "saved": p * disc, "fee": p * tax, "bulk": q * q, "rest": 50 - q, "line": C("l_linenumber").cast("double"), "day": F.dayofmonth("l_shipdate").cast("double"), "month": F.month("l_shipdate").cast("double")}
+    targets = {f"t{i}": e.cast("int") for i, e in enumerate([p > 20000, p > 50000, p > 80000, q > 10, q > 40, disc > 0.05, tax > 0.04, p * disc > 1000, p * tax > 3000, p / q > 1500, F.month("l_shipdate") > 6, F.dayofmonth("l_shipdate") < 8, C("l_returnflag") == "R"])}
+    df = read(s, d, "lineitem").select(*[e.alias(c) for c, e in columns.items()], *[e.alias(t) for t, e in targets.items()])
+    return us.examples(df, list(columns), list(targets), _OPS, 0.001)
+
+
+@query("usefulness_examples")
+def usefulness_examples(s, d):
+    """Metafeatures of every column and target, and which operators help."""
+    return _usefulness(s, d).select("column", "target", "op", *[F.round(c, 6).alias(c) for c in us.META], "useful")
+
+
+@query("learned_usefulness")
+def learned_usefulness(s, d):
+    """Accuracy on held-out columns after each round of labels, against the more frequent answer."""
+    every = cut(_usefulness(s, d), "examples")
+    held = C("column").isin("net", "fee", "rest", "month")
+    return us.active_rounds(every.where(~held), every.where(held), list(_OPS), rounds=6, batch=40, first=60)
+
+
 @query("construct_then_select", "SELECT row_id, round((qd - (SELECT min(quantity * discount) FROM {lines})) / (SELECT max(quantity * discount) - min(quantity * discount) FROM {lines}), 6) AS c0 FROM (SELECT row_id, quantity * discount AS qd FROM {lines})")
 def construct_then_select(s, d):
     made = cg.generate_binary(cg.raw_catalog(s, ["discount", "quantity"]), 3, {"prod": "({0} * {1})"})

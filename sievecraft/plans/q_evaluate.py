@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as num
 from ..operators import evaluate as ev
+from ..operators import private_trees as pt
 from ..operators import rank as rk
 from ..operators import sample as sm
 from ..registry import FEATURES, lines, query, r6, read
@@ -127,6 +128,19 @@ def robustness(s, d):
     return ev.robustness(valid, ev.fit_nb(train, FEATURES, "label"), FEATURES, "label", 15, scale)
 
 
+@query("robustness_boundary")
+def robustness_boundary(s, d):
+    """Accuracy before and after an attack that walks along the decision boundary, and how far it goes."""
+    from ..operators import attack as at
+    from ..operators import mask_models as mm
+
+    train, valid, _ = parts(s, d)
+    fitted = mm.LogisticMasks((1.0,)).prepare(train, FEATURES, "label")
+    coefs, mean, width = fitted.fit([15])[15][0], fitted.design.mean, fitted.design.scale
+    predict = lambda x: ((x - mean) / width @ coefs[:-1] + coefs[-1] > 0).astype(int)
+    return at.boundary_attack(valid, FEATURES, "label", "row_id", predict, fitted.labels, dict(zip(FEATURES, width.tolist())))
+
+
 _SUM_LL = " + ".join(f"-0.5 * (ln(2 * pi() * v_{f}) + pow({f} - m_{f}, 2) / v_{f})" for f in FEATURES)
 
 
@@ -226,8 +240,17 @@ def private_lr(s, d):
 
 @query("private_random_trees")
 def private_random_trees(s, d):
+    """Leaves of random private trees with their majorities and counts."""
     df = lines(s, d)
-    return ev.private_forest(df, FEATURES, "label", _bounds(df), epsilon=0.5)
+    leaves = pt.fit_private_trees(df, FEATURES, "label", _bounds(df), epsilon=0.5).table(s)
+    return leaves.select("tree", "leaf", "majority", C("counts")[0].alias("n0"), C("counts")[1].alias("n1"))
+
+
+@query("private_trees_vote")
+def private_trees_vote(s, d):
+    """Accuracy, F1 and fairness of the vote of private trees."""
+    train, valid, _ = parts(s, d)
+    return ev.metrics(pt.fit_private_trees(train, FEATURES, "label", _bounds(train), epsilon=0.5).confusion(valid, "label", "grp"), [])
 
 
 @query("resource_constraints", "SELECT event_id, CASE WHEN value > 40 THEN 40 - value WHEN user_id % 50 > 30 THEN (30 - user_id % 50)::DOUBLE WHEN event_id % 9 > 6 THEN (6 - event_id % 9)::DOUBLE ELSE 0 END AS violation FROM events")

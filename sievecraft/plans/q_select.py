@@ -157,3 +157,12 @@ def skyline_three_axes(s, d):
     # one best balance per pair of the other axes leaves a small table for the anti-join
     best = df.groupBy("c_nationkey", "l").agg(F.max("c_acctbal").alias("c_acctbal"))
     return sel.pareto_front(df.join(best, ["c_nationkey", "l", "c_acctbal"]), "c_custkey", ["c_acctbal", "c_nationkey", "l"]).select("c_custkey", "c_acctbal", "c_nationkey", "l")
+
+
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("skyline_four_axes", f"WITH p AS (SELECT DISTINCT {', '.join(_FOUR)} FROM lineitem) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE {' AND '.join(f'o.{c} >= p.{c}' for c in _FOUR)} AND ({' OR '.join(f'o.{c} > p.{c}' for c in _FOUR)}))")
+def skyline_four_axes(s, d):
+    """Distinct lines that no other line beats in quantity, price, discount and tax."""
+    return sel.pareto_front(read(s, d, "lineitem").select(*_FOUR).distinct(), "l_quantity", list(_FOUR))
