@@ -60,7 +60,7 @@ def traverse(df: DataFrame, features: list[str], label: str, row_id: str, how: s
     return spark.createDataFrame([(k, c, float(s), t) for k, (s, c, t) in scores.items()], "key string, complexity int, score double, step int")
 
 
-def info_gain_greedy(df: DataFrame, features: list[str], label: str, row_id: str, rounds: int = 3, improve: float = 0.0001, least: float = 0.00001) -> DataFrame:
+def info_gain_greedy(df: DataFrame, features: list[str], label: str, row_id: str, rounds: int = 15, improve: float = 0.01, least: float = 0.00001) -> DataFrame:
     """Rank candidates of one unary round by mutual information; add the first that beats the last by ``improve``; stop below ``least``."""
     catalog = cg.raw_catalog(df.sparkSession, features)
     every = catalog.unionByName(cg.generate_unary(catalog, 2))

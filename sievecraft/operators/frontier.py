@@ -22,18 +22,33 @@ from .mask_models import BLOCK, array_sums, places
 CHUNK = 128
 
 
-def mutual_informations(df: DataFrame, exprs: list[str], label: str, bins: int = 10) -> list[float]:
+def classes(df: DataFrame, label: str) -> list:
+    return sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
+
+
+def mutual_informations(df: DataFrame, exprs: list[str], label: str, labels: list, bins: int = 10) -> list[float]:
     """Mutual information in bits of the label and each expression's equal-width bins; missing and infinite values are a bin of their own.
 
     Two passes over the rows: ranges, then counts per bin and class, added up in tasks.
     """
-    value = lambda e: F.when(F.abs(F.expr(e).cast("double")) < F.lit(float("inf")), F.expr(e).cast("double"))
     cols = [f"c{i}" for i in range(len(exprs))]
-    table = df.select(F.col(label).alias("__y"), *[value(e).alias(c) for c, e in zip(cols, exprs)])
-    row = table.agg(*[g(c).alias(f"{n}{c}") for c in cols for n, g in (("lo", F.min), ("hi", F.max))]).first()
-    labels = sorted(r[0] for r in df.select(label).where(F.col(label).isNotNull()).distinct().collect())
-    low = np.array([row[f"lo{c}"] if row[f"lo{c}"] is not None else 0.0 for c in cols])
-    high = np.array([row[f"hi{c}"] if row[f"hi{c}"] is not None else 0.0 for c in cols])
+    table = df.select(F.col(label).alias("__y"), *[F.expr(e).cast("double").alias(c) for c, e in zip(cols, exprs)])
+
+    def finite(b: pd.DataFrame) -> np.ndarray:
+        x = b[cols].to_numpy(dtype=float)
+        return np.where(np.isfinite(x), x, np.nan)
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
+        low = high = np.full(len(cols), np.inf)
+        for b in batches:
+            if len(b):
+                x = finite(b)
+                low, high = np.minimum(low, np.where(np.isnan(x), np.inf, x).min(axis=0)), np.minimum(high, np.where(np.isnan(x), np.inf, -x).min(axis=0))
+        return {0: np.r_[low, high]}
+
+    found = array_sums(table, ranges, np.minimum).get(0, np.zeros(2 * len(cols)))
+    low, high = found[: len(cols)], -found[len(cols) :]
+    low, high = np.where(np.isfinite(low), low, 0.0), np.where(np.isfinite(high), high, 0.0)
     width = np.where(high > low, (high - low) / bins, 1.0)
     k, m = len(labels), bins + 1
 
@@ -42,7 +57,7 @@ def mutual_informations(df: DataFrame, exprs: list[str], label: str, bins: int =
         for b in batches:
             for at in range(0, len(b), BLOCK):
                 part = b.iloc[at : at + BLOCK]
-                x = part[cols].to_numpy(dtype=float)
+                x = finite(part)
                 missing = np.isnan(x)
                 bin_of = np.where(missing, bins, np.clip(np.floor((np.where(missing, low, x) - low) / width), 0, bins - 1)).astype(np.int64)
                 cell = bin_of * (k + 1) + places(labels, part["__y"])[:, None]
@@ -58,13 +73,14 @@ def mutual_informations(df: DataFrame, exprs: list[str], label: str, bins: int =
     return [float(entropy(c.sum(axis=1)) + entropy(c.sum(axis=0)) - entropy(c.reshape(-1))) for c in counts]
 
 
-def score_forms(df: DataFrame, forms: DataFrame, label: str, bins: int = 10, chunk: int = CHUNK) -> DataFrame:
+def score_forms(df: DataFrame, forms: DataFrame, label: str, bins: int = 10, chunk: int = CHUNK, labels: list | None = None) -> DataFrame:
     """``forms`` with score; a chunk of expressions at a time."""
     spark, scores, held = df.sparkSession, [], []
+    labels = labels or classes(df, label)
 
     def flush() -> None:
         if held:
-            scores.extend((r.key, s) for r, s in zip(held, mutual_informations(df, [r.expr for r in held], label, bins)))
+            scores.extend((r.key, s) for r, s in zip(held, mutual_informations(df, [r.expr for r in held], label, labels, bins)))
             held.clear()
 
     for r in forms.select("key", "expr", "parents").orderBy("parents", "key").toLocalIterator():
@@ -81,10 +97,10 @@ def expand(df: DataFrame, features: list[str], label: str, unary: dict[str, str]
     how: best takes open nodes by score, depth the latest first, harmonic by the harmonic mean of score and simplicity. A
     node is expanded by all unary operators and by all binary ones with every raw feature.
     """
-    spark = df.sparkSession
+    spark, labels = df.sparkSession, classes(df, label)
     names = [f.split()[0] for f in fm.SCHEMA.split(", ")]
     keep = [*names, "score", "step"]
-    save = lambda forms, step: cut(score_forms(df, forms, label, bins).withColumn("step", F.lit(step)).select(*keep), "frontier")
+    save = lambda forms, step: cut(score_forms(df, forms, label, bins, labels=labels).withColumn("step", F.lit(step)).select(*keep), "frontier")
     parts, done = [save(fm.raw_forms(spark, features), 0)], []
     read = lambda dfs: spark.read.schema(dfs[0].schema).parquet(*[d._scratch_path for d in dfs])
     for step in range(1, rounds + 1):

@@ -28,8 +28,8 @@ PASS_NUMBERS = 1 << 22
 BLOCK = 4096
 
 
-def array_sums(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """Sums over all tasks of the arrays that ``partial`` makes of a task's rows, by key. Arrays of a key are added up in a task."""
+def array_sums(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[int, np.ndarray]], merge=np.add) -> dict[int, np.ndarray]:
+    """Sums over all tasks (or what ``merge`` makes of two) of the arrays that ``partial`` makes of a task's rows, by key. Arrays of a key are merged in a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, v in partial(batches).items():
@@ -40,7 +40,7 @@ def array_sums(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], dict[i
         for b in batches:
             for k, v in zip(b["k"].tolist(), b["v"]):
                 got = np.frombuffer(v, dtype=np.float64)
-                total[k] = total[k] + got if k in total else got
+                total[k] = merge(total[k], got) if k in total else got
         if total:
             yield pd.DataFrame({"k": list(total), "v": [v.tobytes() for v in total.values()]})
 

@@ -63,10 +63,10 @@ def complexity_partition_pairs(s, d):
     return out
 
 
-@query("generate_one_round", f"WITH {_RAW}, {_U}, a AS (SELECT k FROM raw UNION ALL SELECT k FROM u) SELECT 'unary' AS part, count(*) AS n FROM u UNION ALL SELECT 'binary', count(*) FROM a x, a y WHERE x.k < y.k")
+@query("generate_one_round", f"WITH {_RAW}, {_U}, a AS (SELECT k FROM raw UNION ALL SELECT k FROM u) SELECT 'unary' AS part, count(*) AS n FROM u UNION ALL SELECT 'binary', count(*) FROM a x, a y WHERE x.k < y.k UNION ALL SELECT 'unary_of_binary', count(*) FROM a x, a y, (SELECT unnest(['minus', 'log', 'one_div', 'square']) AS o) WHERE x.k < y.k")
 def generate_one_round(s, d):
     out = cg.one_round(_catalog(s, d), binary={"prod": "({0} * {1})"})
-    return out.where("op <> 'raw'").groupBy(F.when(C("op") == "prod", "binary").when(C("complexity") == 2, "unary").otherwise("unary_of_binary").alias("part")).agg(F.count("*").alias("n")).where("part <> 'unary_of_binary'")
+    return out.where("op <> 'raw'").groupBy(F.when(C("op") == "prod", "binary").when(C("complexity") == 2, "unary").otherwise("unary_of_binary").alias("part")).agg(F.count("*").alias("n"))
 
 
 @query("search_space_size", "SELECT n * 4 AS unary, (n * 5) * (n * 5 - 1) * 4 AS binary, (n * 5) * (n * 5 - 1) * 16 AS unary_of_binary, n + n * 4 + (n * 5) * (n * 5 - 1) * 20 AS total FROM (SELECT count(*) AS n FROM (SELECT unnest(['a', 'b', 'c', 'd'])))")
@@ -172,11 +172,11 @@ def harmonic_stop(s, d):
     return cg.harmonic_scores(_scored(s, d)).groupBy("complexity").agg(r6(F.max("harmonic"), "best"))
 
 
-_RSS = "SELECT p_size AS k, count(*) AS n, sum(pow(p_retailprice - 1000, 2)) AS rss FROM part WHERE p_size <= 8 GROUP BY 1"
+_RSS = "SELECT p_size AS k, count(*) AS n, sum(pow(p_retailprice - 1000, 2)) AS rss FROM part GROUP BY 1"
 
 
 def _models(s, d):
-    return read(s, d, "part").where("p_size <= 8").groupBy(C("p_size").alias("k")).agg(F.count("*").alias("n"), F.sum((C("p_retailprice") - 1000) * (C("p_retailprice") - 1000)).alias("rss"))
+    return read(s, d, "part").groupBy(C("p_size").alias("k")).agg(F.count("*").alias("n"), F.sum((C("p_retailprice") - 1000) * (C("p_retailprice") - 1000)).alias("rss"))
 
 
 @query("aicc_select", f"SELECT k, round(2 * k + n * ln(rss / n) + 2 * k * (k + 1) / (n - k - 1), 5) AS aicc FROM ({_RSS}) WHERE n > k + 1 ORDER BY 2, k LIMIT 3")

@@ -242,11 +242,11 @@ def hash_vectorize(s, d):
     return txt.hash_vector(read(s, d, "documents"), "doc_id", txt.tokens(C("text"))).select("doc_id", "bucket", r6(C("weight"), "weight"))
 
 
-@query("avg_word_vectors", f"""WITH w AS ({_TOKENS}), v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id < 50),
-    t AS (SELECT doc_id, unnest(ws) AS word FROM w) SELECT doc_id, round(avg(e[1]), 4) AS v0, round(avg(e[2]), 4) AS v1 FROM t JOIN v ON 'w' || (length(word) * 7 % 50) = 'w' || vec_id GROUP BY 1""")
+@query("avg_word_vectors", f"""WITH w AS ({_TOKENS}), v AS (SELECT vec_id, embedding AS e FROM embeddings),
+    t AS (SELECT doc_id, unnest(ws) AS word FROM w) SELECT doc_id, round(avg(e[1]), 4) AS v0, round(avg(e[2]), 4) AS v1 FROM t JOIN v ON 'w' || (length(word) * 7 % 500) = 'w' || vec_id GROUP BY 1""")
 def avg_word_vectors(s, d):
-    vectors = read(s, d, "embeddings").where("vec_id < 50").select(F.concat(F.lit("w"), C("vec_id").cast("string")).alias("word"), "embedding")
-    words = F.transform(txt.tokens(C("text")), lambda w: F.concat(F.lit("w"), (F.length(w) * 7 % 50).cast("string")))
+    vectors = read(s, d, "embeddings").select(F.concat(F.lit("w"), C("vec_id").cast("string")).alias("word"), "embedding")
+    words = F.transform(txt.tokens(C("text")), lambda w: F.concat(F.lit("w"), (F.length(w) * 7 % 500).cast("string")))
     out = txt.average_vectors(read(s, d, "documents"), "doc_id", words, vectors, "word", "embedding", 2)
     return out.select("doc_id", F.round("v0", 4).alias("v0"), F.round("v1", 4).alias("v1"))
 
