@@ -10,7 +10,7 @@ from itertools import combinations, islice
 
 from pyspark.sql import DataFrame
 
-from .evaluate import Constraints, loaded, mask_type, stored
+from .evaluate import Constraints, evaluate_masks, loaded, mask_type, stored
 from .mask_models import GaussianMasks, evaluate
 
 TRIAL_SCHEMA = "seq int, batch int, mask {}, size int, share double, accuracy double, f1 double, fairness double, loss double, satisfied boolean"
@@ -345,14 +345,18 @@ STRATEGIES = {
 
 def query(train: DataFrame, valid: DataFrame, test: DataFrame, features: list[str], label: str, group: str, constraints: Constraints, strategy="forward_floating", model=None, scorer="accuracy") -> tuple[list[str], DataFrame]:
     """(names, trials): features of a mask that satisfies the constraints on validation and on test; no names if none does."""
-    s = Search(train, valid, features, label, group, constraints, model=model or GaussianMasks(), scorer=scorer)
+    s = Search(train, valid, features, label, group, constraints)
+    plain = model is None and scorer == "accuracy"
+    if not plain:
+        s.model, s.scorer = model or GaussianMasks(), scorer
     (STRATEGIES[strategy] if isinstance(strategy, str) else strategy)(s)
     good = [t["mask"] for t in sorted(s.trials.values(), key=lambda t: (t["loss"], t["size"], t["mask"])) if t["satisfied"]]
     best = 0
     for i in range(0, len(good), 32):
-        held = evaluate(s.fitted, test, features, group, good[i : i + 32], constraints, scorer).collect()
+        some = good[i : i + 32]
+        held = (evaluate_masks(train, test, features, label, group, some, constraints) if plain else evaluate(s.fitted, test, features, group, some, constraints, scorer)).collect()
         ok = {loaded(r["mask"]) for r in held if r["satisfied"]}
-        if best := next((m for m in good[i : i + 32] if m in ok), 0):
+        if best := next((m for m in some if m in ok), 0):
             break
     names = [f for i, f in enumerate(features) if (best >> i) & 1]
     return names, s.table()

@@ -44,17 +44,21 @@ def frontier_first_round(s, d):
     return out.select("key", "complexity", r6(C("score"), "score"), "step")
 
 
-def _frontier(how, rounds, width):
+#: Operators whose forms often are equal: sums and products in any order, logarithms and reciprocals of them.
+_FEW = ({"log": "ln({0})", "one_div": "try_divide(1D, {0})"}, {"sum": "({0} + {1})", "prod": "({0} * {1})"})
+
+
+def _frontier(how, rounds, width, ops):
     def run(s, d):
-        out = fr.expand(lines(s, d), FEATURES, "label", *co.SPACES["explorekit"], how, rounds, width)
+        out = fr.expand(lines(s, d), FEATURES, "label", *ops, how, rounds, width)
         return out.select("key", "op", "complexity", r6(C("score"), "score"), "step")
 
     return run
 
 
 #: Two hundred expansions from the best, forty from the deepest and by harmonic mean.
-for _how, _rounds, _width in (("best", 8, 25), ("depth", 4, 10), ("harmonic", 4, 10)):
-    query(f"frontier_{_how}")(_frontier(_how, _rounds, _width))
+for _how, _rounds, _width, _ops in (("best", 8, 25, _FEW), ("depth", 4, 10, co.SPACES["explorekit"]), ("harmonic", 4, 10, co.SPACES["explorekit"])):
+    query(f"frontier_{_how}")(_frontier(_how, _rounds, _width, _ops))
 
 
 _SUMS = {"sum": "({0} + {1})", "subtract": "({0} - {1})"}
