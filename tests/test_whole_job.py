@@ -47,9 +47,10 @@ def near(rows, of, k, power, group=None):
     return sorted((length(d), r[0], d) for d, r in zip(diffs, rows) if r[0] != of[0] and (group is None or r[1] == group))[:k]
 
 
-@pytest.mark.parametrize("box", [2000, 20])
-def test_every_row_has_its_nearest(spark, monkeypatch, box):
+@pytest.mark.parametrize("box,top", [(2000, 4096), (20, 4096), (20, 4), (20, 1), (4, 2)])
+def test_every_row_has_its_nearest(spark, monkeypatch, box, top):
     monkeypatch.setattr(neighbours, "BOX", box)
+    monkeypatch.setattr(neighbours, "TOP", top)
     df, rows = points(spark, 300)
     got = {}
     for r in nearest(df, None, ["a", "b", "c"], "row_id", 4).collect():
@@ -58,9 +59,38 @@ def test_every_row_has_its_nearest(spark, monkeypatch, box):
     assert got == want
 
 
-@pytest.mark.parametrize("box", [2000, 20])
-def test_relieff_of_every_row(spark, monkeypatch, box):
+def test_what_the_driver_holds_of_the_boxes_is_bounded(spark, monkeypatch):
+    """Small boxes in few top boxes: the sample and the rows of reaches stay those of the top boxes."""
+    monkeypatch.setattr(neighbours, "BOX", 10)
+    monkeypatch.setattr(neighbours, "TOP", 4)
+    seen = []
+    boxes = neighbours.Boxes
+    monkeypatch.setattr(neighbours, "Boxes", lambda sample, leaves: seen.append((len(sample), leaves)) or boxes(sample, leaves))
+    df = spark.range(5000).selectExpr("id", "cast(id % 71 as double) AS a", "cast(id as double) AS b")
+    nearest(df, None, ["a", "b"], "id", 3)
+    assert seen[0][1] == 4 and seen[0][0] <= 2 * neighbours.PER_BOX * 4
+
+
+def test_a_box_with_fewer_rows_than_wanted_is_bounded_by_the_sample(spark):
+    """Anchors far from all rows, more neighbours than a box of theirs holds, and anchors without any row near."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (300, 2)), rng.normal(50, 1, (3, 2))])
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double")
+    far = [(1000 + i, 200.0 + i, -70.0) for i in range(3)]
+    anchors = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x) if i % 7 == 0 or i >= 300] + far, "id long, a double, b double")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(neighbours, "BOX", 1)
+        got = {(r.anchor, r["rank"]): r.id for r in nearest(rows, anchors, ["a", "b"], "id", 6).collect()}
+    for a in anchors.collect():
+        d = np.sqrt((x[:, 0] - a.a) ** 2 + (x[:, 1] - a.b) ** 2)
+        want = [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != a.id][:6]
+        assert [got[a.id, j] for j in range(1, 7)] == want
+
+
+@pytest.mark.parametrize("box,top", [(2000, 4096), (20, 4096), (20, 2)])
+def test_relieff_of_every_row(spark, monkeypatch, box, top):
     monkeypatch.setattr(neighbours, "BOX", box)
+    monkeypatch.setattr(neighbours, "TOP", top)
     df, rows = points(spark, 300)
     x = np.array([r[2:] for r in rows])
     scaled = [(*r[:2], *v) for r, v in zip(rows, (x - x.min(0)) / (x.max(0) - x.min(0)))]
