@@ -32,6 +32,11 @@ def word_ngrams(words: Column, n: int) -> Column:
     return reduce(lambda grams, j: F.zip_with(grams, F.slice(words, F.lit(j + 1), last), lambda a, b: F.concat(a, F.lit(" "), b)), range(1, n), F.slice(words, F.lit(1), last))
 
 
+def words_and_ngrams(words: Column, n: int) -> Column:
+    """An array's words, then their n-grams. The array is bound to a variable first, as it would be split again for every gram."""
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(w, word_ngrams(w, n))))
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     last = F.length(c) - n + 1
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
@@ -46,7 +51,8 @@ def tf_idf(df: DataFrame, id_col: str, grams: Column, min_df: int = 1, max_df: f
     times the terms of a row), as these would be hot keys, and the others are joined by shuffle.
     """
     total = df.count()
-    counts = df.select(id_col, grams.alias("__grams")).repartition(id_col).select(id_col, F.explode("__grams").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    # the texts travel, not their grams, which are several times as long
+    counts = df.repartition(id_col).select(id_col, grams.alias("__grams")).select(id_col, F.explode("__grams").alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
     df_of = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total))
     add = 1 if smooth else 0
     idf = F.ln((F.lit(total) + add) / (F.col("df") + add)) + 1.0

@@ -91,12 +91,28 @@ def percent_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(ranks, F.col(col) == ranks["value"], "left").drop("value")
 
 
+#: Rows of one value that are numbered in one task at most, unless their ties are equal too.
+HOT_ROWS = 100_000
+
+
 def row_ranks(df: DataFrame, col: str, tie: str, out: str) -> DataFrame:
-    """Row number by value, ties by another column; within a value only."""
-    ranks = value_ranks(df, col).select("value", "before")
-    joined = df.join(ranks, F.col(col) == ranks["value"], "left")
-    number = F.row_number().over(W.partitionBy("value").orderBy(tie)) + F.col("before")
-    return joined.withColumn(out, F.when(F.col("value").isNotNull(), number)).drop("value", "before")
+    """Row number by value, ties by another column. Rows of a frequent value are numbered range by range of the tie."""
+    ranks = value_ranks(df, col).select(F.col("value").alias("__value"), F.col("n").alias("__rows"), F.col("before").alias("__before"))
+    joined = df.join(ranks, F.col(col) == ranks["__value"], "left")
+    present = df.where(F.col(col).isNotNull())
+    hot = present.groupBy(F.col(col).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS).select("__hot")
+    part, shift = F.lit(0), F.lit(0)
+    if not hot.isEmpty():
+        at = range_of(F.col(tie), range_edges(df, tie))
+        part, shift = F.when(F.col("__rows") > HOT_ROWS, at).otherwise(0), F.coalesce("__shift", F.lit(0))
+        counts = present.join(hot, F.col(col) == F.col("__hot")).groupBy("__hot", at.alias("__at")).agg(F.count("*").alias("__c"))
+        earlier = W.partitionBy("__hot").orderBy("__at")  # a row a range
+        starts = counts.select("__hot", "__at", (F.sum("__c").over(earlier) - F.col("__c")).alias("__shift"))
+        joined = joined.join(starts, (F.col("__value") == F.col("__hot")) & (part == F.col("__at")), "left")
+    # rows without a value get no number and are spread
+    spread = F.when(F.col("__value").isNull(), F.pmod(F.xxhash64(tie), F.lit(1 << 16)).cast("int")).otherwise(part)
+    number = F.row_number().over(W.partitionBy("__value", "__part").orderBy(tie)) + F.col("__before") + shift
+    return joined.withColumn("__part", spread).withColumn(out, F.when(F.col("__value").isNotNull(), number)).select(*[f"`{c}`" for c in df.columns], out)
 
 
 def plotting_position(rank: Column, n: int) -> Column:
