@@ -1,10 +1,12 @@
 """The candidate catalog: features and constructed candidates as rows (cand_id, key, op, parents, expr, complexity).
 
-A candidate's ``expr`` is a Spark SQL expression over raw columns, so a layer is materialised by one select.
+A candidate's ``expr`` is a Spark SQL expression over raw columns, so candidates are materialised by a select. A layer of
+any size is gone through in chunks of ``CHUNK``: a plan and the driver hold the expressions of one chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +14,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.window import value_ranks
+from ..scratch import cut, discard, shared_path
 
 SCHEMA = "key string, op string, parents array<string>, expr string, complexity int, raw array<string>"
 UNARY_OPS = {"minus": "(-{0})", "log": "ln({0})", "one_div": "try_divide(1D, {0})", "square": "({0} * {0})"}
 BINARY_OPS = {"sum": "({0} + {1})", "prod": "({0} * {1})", "divide": "try_divide({0}, {1})", "subtract": "({0} - {1})"}
 COMMUTATIVE = ("sum", "prod", "max", "min")
+#: Candidates, or pairs of them, that one pass over the rows takes.
+CHUNK = 128
 
 
 def raw_catalog(spark: SparkSession, features: list[str]) -> DataFrame:
@@ -61,10 +66,14 @@ def generate_unary(catalog: DataFrame, complexity: int, ops: dict[str, str] = UN
 
 
 def generate_binary(catalog: DataFrame, complexity: int, ops: dict[str, str] = BINARY_OPS) -> DataFrame:
-    """Candidates of the complexity from pairs whose complexities add to one less: an equi-join on the missing share."""
-    a = catalog.select(F.col("key").alias("ka"), F.col("expr").alias("ea"), F.col("complexity").alias("ca"), F.col("raw").alias("ra"))
-    b = catalog.select(F.col("key").alias("kb"), F.col("expr").alias("eb"), F.col("complexity").alias("cb"), F.col("raw").alias("rb"))
-    pairs = a.join(b, (F.lit(complexity - 1) - F.col("ca") == F.col("cb")) & (F.col("ka") != F.col("kb"))).join(_ops(catalog.sparkSession, ops))
+    """Candidates of the complexity from pairs whose complexities add to one less: an equi-join on the missing share.
+
+    There are few complexities, so the second parents are dealt to as many salts as there are shuffle partitions.
+    """
+    salts = max(1, int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = catalog.select(F.col("key").alias("ka"), F.col("expr").alias("ea"), F.col("complexity").alias("ca"), F.col("raw").alias("ra"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("sa"))
+    b = catalog.select(F.col("key").alias("kb"), F.col("expr").alias("eb"), F.col("complexity").alias("cb"), F.col("raw").alias("rb"), F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int").alias("sb"))
+    pairs = a.join(b, (F.lit(complexity - 1) - F.col("ca") == F.col("cb")) & (F.col("sa") == F.col("sb")) & (F.col("ka") != F.col("kb"))).join(_ops(catalog.sparkSession, ops))
     pairs = pairs.where(~F.col("op").isin(*COMMUTATIVE) | (F.col("ka") < F.col("kb")))
     expr = F.regexp_replace(F.regexp_replace("template", r"\{0\}", F.col("ea")), r"\{1\}", F.col("eb"))
     out = pairs.select(canonical(F.col("op"), F.col("ka"), F.col("kb")).alias("key"), "op", F.array("ka", "kb").alias("parents"), expr.alias("expr"), F.lit(complexity).alias("complexity"), F.array_sort(F.array_union("ra", "rb")).alias("raw"))
@@ -114,28 +123,75 @@ def drop_constant(prints: DataFrame) -> DataFrame:
     return prints.where("lo < hi")
 
 
-def drop_equivalent(prints: DataFrame, complexity: DataFrame, table: DataFrame | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+def chunks(candidates: DataFrame, by: list[str], size: int = CHUNK) -> Iterator[list]:
+    """The rows of a written table, ``size`` at a time in the order of ``by``; no two rows may agree in all of it."""
+    last = None
+    while True:
+        rest = candidates
+        if last is not None:
+            same, later = F.lit(True), F.lit(False)
+            for c in by:
+                later, same = later | (same & (F.col(c) > F.lit(last[c]))), same & (F.col(c) == F.lit(last[c]))
+            rest = rest.where(later)
+        rows = rest.orderBy(*by).limit(size).collect()
+        if rows:
+            yield rows
+        if len(rows) < size:
+            return
+        last = rows[-1]
+
+
+def candidate_prints(df: DataFrame, candidates: DataFrame, row_id: str, size: int = CHUNK) -> DataFrame:
+    """(key, lo, hi, print) of every candidate (key, expr): one pass over the rows a chunk, written chunk by chunk."""
+    spark = df.sparkSession
+    path = shared_path(spark, "prints")
+    listed = cut(candidates.select("key", "expr"), "candidates")
+    schema = None
+    for rows in chunks(listed, ["key"], size):
+        cols = [f"c{i}" for i in range(len(rows))]
+        table = df.select(row_id, *[F.expr(r.expr).cast("double").alias(c) for c, r in zip(cols, rows)])
+        part = fingerprints(table, cols, [r.key for r in rows], row_id)
+        part.write.mode("append").parquet(path)
+        schema = part.schema
+    discard(listed)
+    if schema is None:
+        return spark.createDataFrame([], "key string, lo double, hi double, print decimal(38,0)")
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_equivalent(prints: DataFrame, complexity: DataFrame, df: DataFrame | None = None, size: int = CHUNK) -> DataFrame:
     """Of candidates with identical values, the least complex (then the first key) stays.
 
-    Equal prints are the candidates for that. With ``table`` and ``columns`` (key -> its column), each is compared with
-    those that stay of its print, value by value, in one aggregate per round; what differs in any row stays.
+    complexity: (key, complexity), with ``df`` also expr. Equal prints are the candidates for that. With ``df`` each is
+    compared with the first of its print, value by value, ``size`` pairs a pass; what differs from it in any row goes
+    into the next round, where the first of those stands for its print.
     """
     w = W.partitionBy("print").orderBy("complexity", "key")
-    ranked = prints.join(complexity, "key").withColumn("rn", F.row_number().over(w))
-    if table is None:
-        return ranked.where("rn = 1").drop("rn")
-    groups: dict = {}
-    for r in ranked.withColumn("m", F.count("*").over(W.partitionBy("print"))).where("m > 1").orderBy("print", "rn").select("print", "key").collect():
-        groups.setdefault(r.print, []).append(r.key)
-    gone: list[str] = []
-    value = lambda k: F.round(F.col(columns[k]), 9) + F.lit(0.0)
-    while pairs := [(keys[0], k) for keys in groups.values() for k in keys[1:]]:
-        same = table.agg(*[F.bool_and(value(a).eqNullSafe(value(b))).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).first()
-        equal = {b for i, (_, b) in enumerate(pairs) if same[i] is not False}
-        gone += sorted(equal)
-        # the first of those that differ stands for the next round
-        groups = {p: [k for k in keys[1:] if k not in equal] for p, keys in groups.items()}
-    return ranked.where(~F.col("key").isin(gone)).drop("rn") if gone else ranked.drop("rn")
+    ranked = prints.join(complexity, "key")
+    if df is None:
+        return ranked.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    spark = df.sparkSession
+    kept, left = None, cut(ranked.select("key", "print", "complexity", "expr"), "equivalent")
+    value = lambda e: F.round(F.expr(e).cast("double"), 9) + F.lit(0.0)
+    while True:
+        first = left.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("print", F.col("key").alias("head"), F.col("expr").alias("head_expr"))
+        pairs = cut(left.join(first, "print").where("key <> head"), "pairs")
+        heads = cut(first.select(F.col("head").alias("key")), "heads")
+        kept = heads if kept is None else kept.unionByName(heads)
+        path = shared_path(spark, "differ")
+        some = False
+        for rows in chunks(pairs, ["key"], size):
+            same = df.agg(*[F.bool_and(value(r.head_expr).eqNullSafe(value(r.expr))).alias(f"s{i}") for i, r in enumerate(rows)]).first()
+            differ = [(r.key, r.print, r.complexity, r.expr) for i, r in enumerate(rows) if same[i] is False]
+            if differ:
+                some = True
+                spark.createDataFrame(differ, left.schema).write.mode("append").parquet(path)
+        schema = left.schema
+        discard(left)
+        discard(pairs)
+        if not some:
+            return ranked.join(kept, "key", "left_semi")
+        left = spark.read.schema(schema).parquet(path)
 
 
 def drop_equal_score(scored: DataFrame, places: int = 9) -> DataFrame:

@@ -87,7 +87,7 @@ def info_gain_greedy(s, d):
     return co.info_gain_greedy(lines(s, d), FEATURES, "label", "row_id")
 
 
-@query("feature_spaces", "SELECT 'autofeat' AS space, 6::BIGINT * n AS unary, n * (n - 1) AS binary FROM (SELECT count(*) AS n FROM (SELECT unnest([1, 2, 3, 4]))) UNION ALL SELECT 'explorekit', 2 * n, n * (n - 1) * 3 FROM (SELECT count(*) AS n FROM (SELECT unnest([1, 2, 3, 4])))")
+@query("feature_spaces", "WITH raw AS (SELECT count(*) AS n FROM (DESCRIBE SELECT * FROM {lines}) WHERE column_type = 'DOUBLE') SELECT 'autofeat' AS space, 6::BIGINT * n AS unary, n * (n - 1) AS binary FROM raw UNION ALL SELECT 'explorekit', 2 * n, n * (n - 1) * 3 FROM raw")
 def feature_spaces(s, d):
     raw = cg.raw_catalog(s, sorted(c for c, t in lines(s, d).dtypes if t == "double"))
     out = None

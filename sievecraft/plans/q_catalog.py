@@ -20,13 +20,25 @@ def _catalog(s, d):
     return cg.raw_catalog(s, sorted(r.col for r in found))
 
 
-_RAW = "raw AS (SELECT unnest(['discount', 'price', 'quantity', 'tax']) AS k)"
+#: Numeric columns without a missing value, and their values by row.
+_RAW = "raw AS (" + " UNION ALL ".join(f"SELECT '{f}' AS k FROM {{lines}} HAVING count({f}) = count(*) AND bool_and(typeof({f}) = 'DOUBLE')" for f in sorted(FEATURES)) + ")"
+_LONG = _RAW + ", v AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT row_id, '{f}' AS k, {f} AS x FROM {{lines}}" for f in sorted(FEATURES)) + ") WHERE k IN (SELECT k FROM raw))"
 _U = "u AS (SELECT o || '(' || k || ')' AS k FROM raw, (SELECT unnest(['minus', 'log', 'one_div', 'square']) AS o))"
 
 
-@query("generate_unary", f"WITH {_RAW}, {_U} SELECT k AS key, 2::INT AS complexity FROM u")
+def _spans(s, d, made):
+    """Key, complexity and least and greatest value of each candidate over the rows."""
+    made = cut(made)
+    spans = cg.candidate_prints(lines(s, d), made, "row_id")
+    return made.join(spans, "key").select("key", "complexity", r6(C("lo"), "lo"), r6(C("hi"), "hi"))
+
+
+_UNARY_VALUES = {"minus": "-x", "log": "CASE WHEN x > 0 THEN ln(x) END", "one_div": "CASE WHEN x <> 0 THEN 1 / x END", "square": "x * x"}
+
+
+@query("generate_unary", f"WITH {_LONG} " + " UNION ALL ".join(f"SELECT '{o}(' || k || ')' AS key, 2::INT AS complexity, round(min({e}), 6) AS lo, round(max({e}), 6) AS hi FROM v GROUP BY k" for o, e in _UNARY_VALUES.items()))
 def generate_unary(s, d):
-    return cg.generate_unary(_catalog(s, d), 2).select("key", "complexity")
+    return _spans(s, d, cg.generate_unary(_catalog(s, d), 2))
 
 
 @query("generate_unary_applicable", "WITH t AS (SELECT * FROM {lines}), pr AS (" + " UNION ALL ".join(f"SELECT '{f}' AS col, bool_or({f} = 0) AS z, min({f}) AS lo FROM t" for f in FEATURES) + ") SELECT 'log(' || col || ')' AS key FROM pr WHERE NOT z AND lo > 0 UNION ALL SELECT 'one_div(' || col || ')' FROM pr WHERE NOT z")
@@ -35,12 +47,13 @@ def generate_unary_applicable(s, d):
     return cg.generate_unary(_catalog(s, d), 2, allowed=allowed).select("key")
 
 
-_B3 = "b AS (SELECT CASE WHEN o IN ('sum', 'prod') THEN o || '(' || least(x.k, y.k) || ',' || greatest(x.k, y.k) || ')' ELSE o || '(' || x.k || ',' || y.k || ')' END AS k FROM raw x, raw y, (SELECT unnest(['sum', 'prod', 'divide', 'subtract']) AS o) WHERE x.k <> y.k)"
+_BINARY_VALUES = {"sum": ("{a} + {b}", True), "prod": ("{a} * {b}", True), "divide": ("CASE WHEN {b} <> 0 THEN {a} / {b} END", False), "subtract": ("{a} - {b}", False)}
+_PAIRS = [(o, a, b, e.format(a=a, b=b)) for o, (e, same) in _BINARY_VALUES.items() for a in sorted(FEATURES) for b in sorted(FEATURES) if a < b or a > b and not same]
 
 
-@query("generate_binary", f"WITH {_RAW}, {_B3} SELECT DISTINCT k AS key, 3::INT AS complexity FROM b")
+@query("generate_binary", f"WITH {_RAW}, t AS (SELECT * FROM {{lines}}) " + " UNION ALL ".join(f"SELECT '{o}({a},{b})' AS key, 3::INT AS complexity, round(min({e}), 6) AS lo, round(max({e}), 6) AS hi FROM t HAVING (SELECT count(*) FROM raw WHERE k IN ('{a}', '{b}')) = 2" for o, a, b, e in _PAIRS))
 def generate_binary(s, d):
-    return cg.generate_binary(_catalog(s, d), 3).select("key", "complexity")
+    return _spans(s, d, cg.generate_binary(_catalog(s, d), 3))
 
 
 @query("candidate_pairs", f"WITH {_RAW} SELECT 'unordered_repeated' AS kind, count(*) AS n FROM raw x, raw y WHERE x.k <= y.k UNION ALL SELECT 'unordered', count(*) FROM raw x, raw y WHERE x.k < y.k UNION ALL SELECT 'ordered', count(*) FROM raw x, raw y WHERE x.k <> y.k UNION ALL SELECT 'ordered_repeated', count(*) FROM raw x, raw y")
@@ -69,7 +82,7 @@ def generate_one_round(s, d):
     return out.where("op <> 'raw'").groupBy(F.when(C("op") == "prod", "binary").when(C("complexity") == 2, "unary").otherwise("unary_of_binary").alias("part")).agg(F.count("*").alias("n"))
 
 
-@query("search_space_size", "SELECT n * 4 AS unary, (n * 5) * (n * 5 - 1) * 4 AS binary, (n * 5) * (n * 5 - 1) * 16 AS unary_of_binary, n + n * 4 + (n * 5) * (n * 5 - 1) * 20 AS total FROM (SELECT count(*) AS n FROM (SELECT unnest(['a', 'b', 'c', 'd'])))")
+@query("search_space_size", "SELECT n * 4 AS unary, (n * 5) * (n * 5 - 1) * 4 AS binary, (n * 5) * (n * 5 - 1) * 16 AS unary_of_binary, n + n * 4 + (n * 5) * (n * 5 - 1) * 20 AS total FROM (WITH " + _RAW + " SELECT count(*) AS n FROM raw)")
 def search_space_size(s, d):
     n = _catalog(s, d).count()
     size = cg.search_space_size(n, len(cg.UNARY_OPS), len(cg.BINARY_OPS))
@@ -100,24 +113,31 @@ def materialize_candidates(s, d):
     return out.select("row_id", F.round("c0", 4).alias("c0"), r6(C("c1"), "c1"))
 
 
-def _prints(s, d):
-    raw = _catalog(s, d)
-    flat = s.createDataFrame([("tax0", "zero", ["tax"], "(tax * 0D)", 2, ["tax"]), ("quantity2", "double", ["quantity"], "(quantity + quantity)", 2, ["quantity"]), ("quantity3", "twice", ["quantity"], "(2D * quantity)", 2, ["quantity"])], cg.SCHEMA)
-    every = raw.unionByName(flat)
-    out, names = cg.materialize(lines(s, d), every, ["row_id"])
-    columns = {n: f"c{i}" for i, n in enumerate(names)}
-    return cg.fingerprints(out, list(columns.values()), names, "row_id"), every, out, columns
+#: Constructed candidates: constants, the same values in other words, and such as differ.
+_FORMED = [("gap", "(price - price)", 2), ("tax0", "(tax * 0D)", 2), ("quantity2", "(quantity + quantity)", 2), ("quantity3", "(2D * quantity)", 2), ("price_tax", "(price * tax)", 3),
+           ("tax_price", "(tax * price)", 3), ("undone", "(-(-discount))", 3), ("square", "(quantity * quantity)", 2), ("net", "(price - price * discount)", 4)]
+_EVERY = [(f, f, 1) for f in sorted(FEATURES)] + _FORMED
+_VALUES = "t AS (SELECT " + ", ".join(f"{e.replace('0D', '0::DOUBLE').replace('2D', '2::DOUBLE')} AS {k}" for k, e, _ in _EVERY) + " FROM {lines})"
 
 
-@query("drop_constant", "SELECT unnest(['discount', 'price', 'quantity', 'quantity2', 'quantity3', 'tax']) AS key")
+def _forms(s, d):
+    formed = s.createDataFrame([(k, "formed", [], e, n, []) for k, e, n in _FORMED], cg.SCHEMA)
+    every = cut(_catalog(s, d).unionByName(formed))
+    return every, cg.candidate_prints(lines(s, d), every, "row_id", 5)
+
+
+@query("drop_constant", f"WITH {_VALUES} " + " UNION ALL ".join(f"SELECT '{k}' AS key, round(min({k}), 6) AS lo, round(max({k}), 6) AS hi FROM t HAVING min({k}) < max({k})" for k, _, _ in _EVERY))
 def drop_constant(s, d):
-    return cg.drop_constant(_prints(s, d)[0]).select("key")
+    return cg.drop_constant(_forms(s, d)[1]).select("key", r6(C("lo"), "lo"), r6(C("hi"), "hi"))
+
+
+_FIRST = sorted(_EVERY, key=lambda c: (c[2], c[0]))
 
 
-@query("drop_equivalent", "SELECT unnest(['discount', 'price', 'quantity', 'quantity2', 'tax', 'tax0']) AS key")
+@query("drop_equivalent", f"WITH {_VALUES} " + " UNION ALL ".join(f"SELECT '{k}' AS key FROM t HAVING " + (" AND ".join(f"NOT bool_and(round({k}, 9) IS NOT DISTINCT FROM round({o}, 9))" for o, _, _ in _FIRST[:i]) or "true") for i, (k, _, _) in enumerate(_FIRST)))
 def drop_equivalent(s, d):
-    prints, every, table, columns = _prints(s, d)
-    return cg.drop_equivalent(prints, every.select("key", "complexity"), table, columns).select("key")
+    every, prints = _forms(s, d)
+    return cg.drop_equivalent(prints, every.select("key", "complexity", "expr"), lines(s, d), 5).select("key")
 
 
 # scored candidates: parts stand for raw features of price, their products with a score from the table

@@ -143,9 +143,29 @@ def test_aicc_is_undefined_with_too_few_rows(spark):
 def test_equal_prints_are_compared_by_value(spark):
     df = spark.createDataFrame([(i, float(i), float(i), float(-i)) for i in range(9)], "id long, c0 double, c1 double, c2 double")
     prints = spark.createDataFrame([("a", 0.0, 8.0, 7), ("b", 0.0, 8.0, 7), ("c", -8.0, 0.0, 7), ("d", -8.0, 0.0, 7)], "key string, lo double, hi double, print int")
-    size = spark.createDataFrame([("a", 2), ("b", 1), ("c", 3), ("d", 4)], "key string, complexity int")
-    columns = {"a": "c0", "b": "c1", "c": "c2", "d": "c2"}
-    assert {r.key for r in catalog.drop_equivalent(prints, size, df, columns).collect()} == {"b", "c"}
+    size = spark.createDataFrame([("a", 2, "c0"), ("b", 1, "c1"), ("c", 3, "c2"), ("d", 4, "c2")], "key string, complexity int, expr string")
+    for chunk in (1, 2, 100):
+        assert {r.key for r in catalog.drop_equivalent(prints, size, df, chunk).collect()} == {"b", "c"}
+
+
+def test_candidates_go_through_in_chunks(spark, monkeypatch):
+    df = spark.range(50).selectExpr("id", "cast(id AS double) AS x")
+    made = spark.createDataFrame([(f"k{i:02}", f"(x * {i}D)", i) for i in range(23)] + [("twice", "(x + x)", 9), ("nothing", "CAST(NULL AS double)", 1)], "key string, expr string, complexity int")
+    whole = {tuple(r) for r in catalog.candidate_prints(df, made, "id", 1000).collect()}
+    asked = []
+    plain = catalog.fingerprints
+    monkeypatch.setattr(catalog, "fingerprints", lambda t, cols, names, row: asked.append(len(cols)) or plain(t, cols, names, row))
+    prints = catalog.candidate_prints(df, made, "id", 5)
+    assert {tuple(r) for r in prints.collect()} == whole and len(whole) == 25 and asked == [5] * 5
+    assert {r.key for r in catalog.drop_constant(prints).collect()} == {f"k{i:02}" for i in range(1, 23)} | {"twice"}
+    assert {r.key for r in catalog.drop_equivalent(prints, made, df, 4).collect()} == {f"k{i:02}" for i in range(23)} | {"nothing"}
+    assert catalog.candidate_prints(df, made.limit(0), "id").count() == 0
+
+
+def test_pairs_are_those_of_all_salts(spark):
+    raw = catalog.raw_catalog(spark, [f"f{i}" for i in range(9)])
+    got = [r.key for r in catalog.generate_binary(raw, 3, {"prod": "({0} * {1})", "divide": "try_divide({0}, {1})"}).collect()]
+    assert len(got) == len(set(got)) == 9 * 8 // 2 + 9 * 8
 
 
 def test_top_per_group(spark):
