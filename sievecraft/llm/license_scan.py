@@ -50,6 +50,58 @@ TEMPLATES = {
     ],
 }
 
+_BSD_TERMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer. <<beginOptional>>2.<<endOptional>> Redistributions in binary form
+    must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
+    other materials provided with the distribution."""
+_BSD_NAMES = """<<beginOptional>>3.<<endOptional>> Neither the name of <<var;least=1;most=12>> nor the names of its contributors may be used
+    to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY <<var;least=1;most=12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+    NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+    SHALL <<var;least=1;most=12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+    (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+    INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+    NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: label -> templates of whole licences, as published, with the parts marked that licensors fill in. A text in which any
+#: other word was altered, added or left out gets no label of these.
+LICENCES = {
+    "mit": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or
+        substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+        IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL <<var;least=1;most=12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ],
+    "bsd-2-clause": [f"{_BSD_TERMS} {_BSD_DISCLAIMER}"],
+    "bsd-3-clause": [f"{_BSD_TERMS} {_BSD_NAMES} {_BSD_DISCLAIMER}"],
+    "isc": [
+        """Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
+        without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var;least=1;most=8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+        INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;least=1;most=8>> BE LIABLE FOR
+        ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will <<var;least=1;most=8>> be
+        held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: <<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim
+        that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+        documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be
+        plainly marked as such, and must not be misrepresented as being the original software.
+        <<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution.""",
+    ],
+}
+
 MARK = re.compile(r"<<(var|beginOptional|endOptional)((?:;[^>]*)?)>>")
 
 
@@ -166,7 +218,7 @@ class Scanner:
         for label, a in self.automata:
             for w in a.first:
                 self.starts.setdefault(w, []).append((label, a))
-        # words that every match of some template has: without any, templates needn't run
+        # words that every match of a template has: it runs only where a text has them all
         self.keys = [a.words for _, a in self.automata]
 
     def scan(self, text: str | None) -> tuple:
@@ -181,8 +233,9 @@ class Scanner:
             places.sort()
         spans = []
         if any(have >= k for k in self.keys):
+            starts = {w: [x for x in self.starts[w] if have >= x[1].words] for w in have & self.starts.keys()}
             for i, w in enumerate(words):
-                for label, a in self.starts.get(w, ()):
+                for label, a in starts.get(w, ()):
                     if (end := a.match(words, i)) is not None:
                         spans.append((i, end, label, a.mandatory))
         return len(words), places, spans
@@ -195,9 +248,9 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, templat
     """``docs`` with ``licenses`` added: struct of n_words, places of phrases, and spans of templates (word offsets).
 
     Null texts count as empty (no words, no places). Texts are read whole, whatever their length; repeated rows are
-    scanned each; an existing column of that name is replaced.
+    scanned each; an existing column of that name is replaced; an empty table gives an empty result.
     """
-    phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    phrases, templates = PHRASES if phrases is None else phrases, {**TEMPLATES, **LICENCES} if templates is None else templates
 
     @F.pandas_udf(SCHEMA)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cut
+from ..scratch import cut, discard
 from .common import ascii_lower, table
 
 #: Fixed by the contract: (verdict, host, path); a rule's name is host + path.
@@ -39,12 +39,14 @@ class Level:
     seed: int
 
     def test(self, key: Column) -> Column:
+        """Whether the key's bits are set. The filter stands in the plan once a test, not once a hash."""
         bits, words = len(self.words) * 64, F.lit(self.words)
-        passed = F.lit(True)
-        for k in range(self.hashes):
-            at = F.pmod(F.xxhash64(key, F.lit(self.seed), F.lit(k)), F.lit(bits))
-            passed &= F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
-        return passed
+
+        def set_at(k: Column) -> Column:
+            at = F.pmod(F.xxhash64(key, F.lit(self.seed), k), F.lit(bits))
+            return F.getbit(F.element_at(words, (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
+
+        return F.forall(F.array(*[F.lit(k) for k in range(self.hashes)]), set_at)
 
 
 def bloom_level(keys: DataFrame, n: int, seed: int, bits_per_key: float = 12.0, hashes: int = 5, most_bits: int = 1 << 26) -> Level:
@@ -106,12 +108,23 @@ def word_keys(host: Column) -> Column:
     return F.transform(F.array_distinct(F.split(host, r"[.\-]")), lambda w: F.concat(F.lit("word:"), w))
 
 
-def url_filter(pages: DataFrame, rules=RULES, words=HOST_WORDS, url_col: str = "url", **options) -> DataFrame:
+def host_keys(host: Column) -> Column:
+    """Array of keys for a host and the hosts above it; an empty host has none."""
+    labels = F.when(host != "", F.size(F.split(host, r"\.", -1))).otherwise(0)
+    return F.when(labels > 0, F.transform(F.sequence(F.lit(1), labels), lambda n: F.concat(F.lit("host:"), F.array_join(F.slice(F.split(host, r"\.", -1), -n, n), ".")))).otherwise(F.array().cast("array<string>"))
+
+
+def url_filter(pages: DataFrame, rules=RULES, words=HOST_WORDS, url_col: str = "url", blocked: DataFrame | None = None, **options) -> DataFrame:
     """``pages`` with host, path, rule and verdict (clashing columns replaced).
 
     A rule fits its host and all its subdomains if the path starts with the rule's; of those that fit, the one
     with the longest name wins. Without a rule, the method blocks a host with a listed word and allows any
-    other, urls that are null, empty or lack :// included. An empty table gives an empty result.
+    other, urls that are null, empty or lack :// included. An empty table gives an empty result; repeated rows are
+    judged each, and urls are read whole, whatever their length.
+
+    ``blocked`` (host) lists further hosts, as many as there are: one that is a url's host or a parent of it blocks the
+    url where no rule fits. It is joined once with the distinct keys of the corpus to tell the listed
+    ones; urls then meet the cascade only. Null and empty hosts in it list nothing.
 
     All of a url's keys that are in no rule or list are in the universe too, so the cascade is exact for it.
     """
@@ -120,17 +133,27 @@ def url_filter(pages: DataFrame, rules=RULES, words=HOST_WORDS, url_col: str = "
     keys = rule_keys(F.col("host"), F.col("path"), rules)
     named = {h + p: verdict for verdict, h, p in rules}
     listed = [*named, *[f"word:{w}" for w in words]]
-    universe = base.select(F.explode(F.array_distinct(F.concat(F.array(*keys), word_keys(F.col("host"))))).alias("key")).where("key IS NOT NULL").distinct()
+    others = word_keys(F.col("host"))
+    if blocked is not None:
+        others = F.concat(others, host_keys(F.col("host")))
+    every = F.concat(F.array(*keys), others)
+    universe = base.select(F.explode(F.array_distinct(every)).alias("key")).where("key IS NOT NULL").distinct()
     # listed keys that no url has needn't be stored: only keys of the universe are ever asked for
-    universe = cut(universe.withColumn("listed", F.col("key").isin(listed)), "url-keys")
+    universe = universe.withColumn("listed", F.col("key").isin(listed))
+    if blocked is not None:
+        hosts = blocked.select(F.concat(F.lit("host:"), ascii_lower(F.col("host"))).alias("key")).where("key > 'host:'").distinct()
+        universe = universe.join(hosts.withColumn("__more", F.lit(True)), "key", "left").select("key", (F.col("listed") | F.coalesce("__more", F.lit(False))).alias("listed"))
+    universe = cut(universe, "url-keys")
     levels = build_cascade(universe, **options)
+    discard(universe)
     # keys of one shape have different lengths of text, so the longest listed key is searched by length
-    hits = F.filter(F.array(*keys), lambda k: in_cascade(levels, k))
+    tested = base.withColumn("__listed", F.transform(every, lambda k: in_cascade(levels, k)))
+    hits = F.filter(F.array(*keys), lambda k, i: F.element_at("__listed", i + 1))
     best = F.aggregate(hits, F.lit(None).cast("string"), lambda a, k: F.when(a.isNull() | (F.length(k) > F.length(a)), k).otherwise(a))
-    out = base.withColumn("rule", best)
     by_rule = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
-    listed_word = F.exists(word_keys(F.col("host")), lambda k: in_cascade(levels, k))
-    return out.withColumn("verdict", F.when(F.col("rule").isNotNull(), F.element_at(by_rule, F.col("rule"))).when(listed_word, F.lit("block")).otherwise(F.lit("allow")))
+    in_list = F.exists(F.slice("__listed", len(keys) + 1, F.size("__listed")), lambda x: x)
+    verdict = F.when(F.col("rule").isNotNull(), F.element_at(by_rule, F.col("rule"))).when(in_list, F.lit("block")).otherwise(F.lit("allow"))
+    return tested.withColumn("rule", best).withColumn("verdict", verdict).drop("__listed")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

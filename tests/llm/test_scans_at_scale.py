@@ -1,6 +1,7 @@
 """Costs that must not grow with the square of a text's matches, keys that must not gather rows, and scopes of the grammar."""
 
 import random
+import re
 import string
 import time
 
@@ -78,3 +79,60 @@ def test_negated_and_reported_insults_have_no_target():
     assert score("you idiot")["targeted"] == 2
     assert score("not you idiot")["targeted"] == 0 and score("not you idiot")["negated"] == 2
     assert score("he said you idiot")["targeted"] == 0 and score("he said you idiot")["reported"] == 2
+
+
+def licence_texts():
+    """label -> the licence with its variable parts filled in and optional parts left out, then with all parts."""
+    from sievecraft.llm import license_scan as ls
+
+    out = {}
+    for label, (markup,) in ls.LICENCES.items():
+        bare = re.sub(r"<<beginOptional>>.*?<<endOptional>>", "", markup, flags=re.S)
+        full = markup.replace("<<beginOptional>>", "").replace("<<endOptional>>", "")
+        out[label] = [re.sub(r"<<var[^>]*>>", "the Regents and Contributors", t) for t in (bare, full)]
+    return out
+
+
+def test_whole_licences_match_and_altered_ones_do_not():
+    from sievecraft.llm import license_scan as ls
+
+    scanner = ls.Scanner({}, ls.LICENCES)
+    for label, texts in licence_texts().items():
+        for text in texts:
+            n, _, spans = scanner.scan("Copyright (c) 2020 A. Person\n\n" + text + "\nend")
+            assert [s[2] for s in spans] == [label] and spans[0][1] == n - 1, label
+            words = text.split()
+            own = [i for i, w in enumerate(words) if len(w) > 4 and w not in ("Regents", "Contributors", "(including", "paragraph)")]
+            for i in own[:: max(1, len(own) // 12)]:
+                for changed in ([*words[:i], "altered", *words[i + 1 :]], [*words[:i], *words[i + 1 :]]):
+                    assert scanner.scan(" ".join(changed))[2] == [], (label, words[i])
+
+
+def test_two_and_three_clauses_are_told_apart():
+    from sievecraft.llm import license_scan as ls
+
+    scanner, texts = ls.Scanner({}, ls.LICENCES), licence_texts()
+    assert [[s[2] for s in scanner.scan(texts[k][0])[2]] for k in ("bsd-2-clause", "bsd-3-clause")] == [["bsd-2-clause"], ["bsd-3-clause"]]
+
+
+def test_start_words_over_and_over():
+    from sievecraft.llm import license_scan as ls
+
+    scanner = ls.Scanner({}, {**ls.TEMPLATES, **ls.LICENCES})
+    text = "permission this redistribution licensed " * 20_000 + licence_texts()["mit"][0]
+    begin = time.monotonic()
+    n, _, spans = scanner.scan(text)
+    assert {s[2] for s in spans} == {"mit", "mit-text"} and n > 80_000 and time.monotonic() - begin < 30
+
+
+def test_many_listed_hosts(spark):
+    """A list of a million hosts, of which the urls ask for some thousands."""
+    from sievecraft.llm import url_filter
+
+    blocked = spark.range(1_000_000).selectExpr("CASE WHEN id % 2 = 0 THEN concat('H', id, '.example.org') ELSE concat('site', id, '.net') END AS host")
+    blocked = blocked.unionByName(spark.createDataFrame([(None,), ("",), ("h2.example.org",)], "host string"))
+    urls = spark.range(6000).selectExpr("id AS page_id", "CASE id % 4 WHEN 0 THEN concat('http://a.h', id, '.example.org/x') WHEN 1 THEN concat('http://site', id, '.net/es/') WHEN 2 THEN concat('http://xsite', id - 1, '.net/') ELSE concat('http://h', id, '.example.org:80/') END AS url")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(urls, blocked=blocked, bits_per_key=4.0, hashes=2).collect()}
+    want = {0: (None, "block"), 1: ("net/es/", "block"), 2: (None, "allow"), 3: (None, "allow")}
+    assert len(got) == 6000 and all(v == want[i % 4] for i, v in got.items())
+    assert {r.verdict for r in url_filter.url_filter(urls.where("page_id % 4 = 0"), blocked=blocked.where("host IS NULL")).collect()} == {"allow"}
