@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .window import prefix_sums
+from .window import group_quantiles, prefix_sums
 
 #: A lookup of at most so many categories is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -18,7 +17,6 @@ AGGREGATES = {
     "std": F.stddev_pop,
     "var": F.var_pop,
     "len": lambda c: F.count(F.lit(1)),
-    "median": lambda c: F.percentile(c, F.lit(0.5)),
     "prod": F.product,
     "sum": F.sum,
 }
@@ -58,13 +56,22 @@ def contrast(code: Column, k: int, kind: str) -> list[Column]:
     return [F.when(code.isNotNull(), c) for c in cols]
 
 
+def group_statistic(df: DataFrame, value: str, key: str, agg: str, out: str) -> DataFrame:
+    """(key, out): an aggregate of every group, combined in tasks before the shuffle; medians by counts over ranges of values."""
+    if agg == "median":
+        return group_quantiles(df, key, value, {out: 0.5})
+    return df.groupBy(key).agg(AGGREGATES[agg](F.col(value)).alias(out))
+
+
 def group_by_then(train: DataFrame, df: DataFrame, value: str, key: str, agg: str, out: str) -> DataFrame:
     """The training aggregate of ``value`` in the row's group; an unseen key gives 0 for std, 1 for len, else the raw value."""
-    codes = train.groupBy(key).agg(AGGREGATES[agg](F.col(value)).alias(out))
+    codes = group_statistic(train, value, key, agg, out)
     unseen = {"std": F.lit(0.0), "len": F.lit(1)}.get(agg, F.col(value))
     return lookup(df, codes, key).withColumn(out, F.coalesce(out, unseen))
 
 
 def group_by_then_over(df: DataFrame, value: str, key: str, agg: str, out: str) -> DataFrame:
-    """Group-by-then where the training part is the table itself."""
-    return df.withColumn(out, AGGREGATES[agg](F.col(value)).over(W.partitionBy(key)))
+    """Group-by-then where the training part is the table itself: no task holds a group. Rows without a key are a group."""
+    codes = group_statistic(df, value, key, agg, out).withColumnRenamed(key, "__key")
+    small = codes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.drop(out).join(F.broadcast(codes) if small else codes, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")

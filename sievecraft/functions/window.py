@@ -78,6 +78,29 @@ def exact_quantiles(df: DataFrame, cols: list[str], shares: list[float]) -> dict
     return out
 
 
+def group_quantiles(df: DataFrame, key: str, col: str, shares: dict[str, float]) -> DataFrame:
+    """(key, a column per share): exact quantiles of each group, interpolated; null is a key like any other.
+
+    Values are counted per group and range of values, so no task and no buffer holds a group; groups without values are
+    left out.
+    """
+    present = df.where(F.col(col).isNotNull()).select(F.struct(F.col(key)).alias("__key"), F.col(col).cast("double").alias("value"))
+    counts = present.groupBy("__key", "value").agg(F.count("*").alias("n"))
+    total = counts.groupBy("__key").agg(F.sum("n").alias("__total"))
+    ranks = prefix_sums(counts, "value", ["n"], ["__key"]).join(total, "__key")
+
+    def at(place: Column) -> Column:
+        """Value of that order statistic; other values don't count."""
+        return F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col("value")))
+
+    out = []
+    for name, q in shares.items():
+        place = F.lit(q) * (F.col("__total") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out.append(F.when(part == 0, low).otherwise((1 - part) * low + part * high).alias(name))
+    return ranks.groupBy("__key").agg(*out).select(F.col("__key")[key].alias(key), *[f"`{n}`" for n in shares])
+
+
 def rankdata(df: DataFrame, col: str, out: str) -> DataFrame:
     """Average rank from 1; missing stays missing."""
     ranks = value_ranks(df, col).select("value", (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))

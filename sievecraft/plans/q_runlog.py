@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import window as win
 from ..operators import rank as rk
 from ..operators import runlog as rl
 from ..registry import FEATURES, lines, query, r6, read
@@ -247,8 +248,9 @@ def ranking_correlation(s, d):
 
 @query("satisfied_values", f"SELECT strategy, round(quantile_cont(time, 0.25), 6) AS q25, round(quantile_cont(time, 0.5), 6) AS q50, round(quantile_cont(time, 0.75), 6) AS q75, count(*) AS n FROM ({_T}) WHERE success GROUP BY 1")
 def satisfied_values(s, d):
-    q = F.percentile("time", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _trials(s, d).where("success").groupBy("strategy").agg(q.alias("q"), F.count("*").alias("n")).select("strategy", *[r6(C("q")[i], f"q{p}") for i, p in enumerate((25, 50, 75))], "n")
+    good = _trials(s, d).where("success")
+    q = win.group_quantiles(good, "strategy", "time", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return good.groupBy("strategy").agg(F.count("*").alias("n")).join(q, "strategy", "left").select("strategy", *[r6(C(c), c) for c in ("q25", "q50", "q75")], "n")
 
 
 @query("pivot_heatmap", f"WITH {_FAST} SELECT scenario % 5 AS accuracy, " + ", ".join(f"min(strategy) FILTER (WHERE scenario % 3 = {i}) AS f{i}" for i in range(3)) + " FROM fast GROUP BY 1")
