@@ -132,28 +132,8 @@ def rank_fcbf(df: DataFrame, features: list[str], label: str, threshold: float |
 def rank_relieff(df: DataFrame, features: list[str], label: str, row_id: str, anchors: Column | None = None, k: int = 10) -> DataFrame:
     """ReliefF: for each anchor row the k nearest rows of its own class and of the others, on min-max scaled features.
 
-    Without ``anchors`` every row is one. With them, they are a sample that the caller bounds (a predicate); they are
-    broadcast, rows are read once, and only each task's nearest k candidates per anchor and class leave it.
-    """
-    if anchors is None:
-        return _relieff_all(df, features, label, row_id, k)
-    row = df.agg(*[g(f).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]).first()
-    scaled = df.select(F.col(row_id).alias("id"), F.col(label).alias("y"), *[(F.try_divide(F.col(f) - row[f"lo_{f}"], F.lit(float(row[f"hi_{f}"] - row[f"lo_{f}"])))).alias(f) for f in features], anchors.alias("__anchor"))
-    points = F.broadcast(scaled.where("__anchor").select(F.col("id").alias("aid"), F.col("y").alias("ay"), *[F.col(f).alias(f"a_{f}") for f in features]))
-    diff = {f: F.abs(F.col(f) - F.col(f"a_{f}")) for f in features}
-    pairs = scaled.join(points, F.col("id") != F.col("aid")).select("aid", "ay", "y", "id", reduce(lambda a, b: a + b, diff.values()).alias("dist"), *[d.alias(f) for f, d in diff.items()])
-    near = pairs.withColumn("rn", F.row_number().over(W.partitionBy("aid", "y").orderBy("dist", "id"))).where(F.col("rn") <= k)
-    prior = df.groupBy(F.col(label).alias("y")).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy()))
-    with_p = near.join(F.broadcast(prior.select("y", "p")), "y").join(F.broadcast(prior.select(F.col("y").alias("ay"), F.col("p").alias("ap"))), "ay")
-    sign = F.when(F.col("y") == F.col("ay"), F.lit(-1.0)).otherwise(F.col("p") / (1 - F.col("ap")))
-    count = scaled.where("__anchor").count()
-    return unpivot(with_p.agg(*[(F.sum(sign * F.col(f)) / F.lit(float(k * count))).alias(f) for f in features]), features)
-
-
-def _relieff_all(df: DataFrame, features: list[str], label: str, row_id: str, k: int) -> DataFrame:
-    """ReliefF with every row as an anchor. Ids may repeat: a row is told from others by its id, class and features.
-
-    Classes are searched in turn; tasks return sums only. A row counts itself out of its own class.
+    ``anchors`` is a predicate; without it every row is an anchor. Ids may repeat: a row is told from others by its id,
+    class and features. Classes are searched in turn; tasks return sums only. A row counts itself out of its own class.
     """
     import pandas as pd
 
@@ -162,13 +142,16 @@ def _relieff_all(df: DataFrame, features: list[str], label: str, row_id: str, k:
     row = df.agg(*[g(f).alias(f"{n}_{f}") for f in features for n, g in (("lo", F.min), ("hi", F.max))]).first()
     wide = {f: float(row[f"hi_{f}"] - row[f"lo_{f}"]) for f in features}
     scale = {f: ((F.col(f) - row[f"lo_{f}"]) / F.lit(wide[f]) if wide[f] else F.col(f) * 0).cast("double") for f in features}
-    rows = placed(df.select(F.col(row_id).alias("id"), F.col(label).alias("y"), *[scale[f].alias(f) for f in features]), features)
+    asked = F.lit(True) if anchors is None else F.coalesce(anchors, F.lit(False))
+    rows = placed(df.select(F.col(row_id).alias("id"), F.col(label).alias("y"), *[scale[f].alias(f) for f in features], asked.alias("__anchor")), features)
     # of equal rows the first k may meet themselves among their nearest; the others are counted
-    first = rows.withColumn("__n", F.row_number().over(W.partitionBy("y", *features).orderBy("id"))).where(F.col("__n") <= k).select("y", *features, F.col("id").alias("aid"), F.lit(1).cast("long").alias("n"))
-    more = rows.groupBy("y", *features).agg(F.count("*").alias("n")).where(F.col("n") > k).select("y", *features, F.lit(None).cast(rows.schema["id"].dataType).alias("aid"), (F.col("n") - k).alias("n"))
+    first = rows.withColumn("__n", F.row_number().over(W.partitionBy("y", *features).orderBy("id"))).where(F.col("__n") <= k).where("__anchor").select("y", *features, F.col("id").alias("aid"), F.lit(1).cast("long").alias("n"))
+    # anchors beyond those, per class and features
+    signed = first.select("y", *features, (-F.col("n")).alias("n")).unionByName(rows.where("__anchor").select("y", *features, F.lit(1).cast("long").alias("n")))
+    more = signed.groupBy("y", *features).agg(F.sum("n").alias("n")).where("n > 0").select("y", *features, F.lit(None).cast(rows.schema["id"].dataType).alias("aid"), "n")
     queries = first.unionByName(more)
     prior = {r.y: r["count"] for r in df.groupBy(F.col(label).alias("y")).count().collect()}
-    total, count = sum(prior.values()), rows.count()
+    total, count = sum(prior.values()), max(1, rows.where("__anchor").count())
     score = dict.fromkeys(features, 0.0)
     typed = rows.schema["y"].dataType.simpleString()
     for c, n in prior.items():

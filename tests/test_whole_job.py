@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sievecraft.operators import discretize, neighbours, search
 from sievecraft.operators.rank import rank_permutation_importance, rank_relieff
@@ -104,6 +105,21 @@ def test_relieff_of_every_row(spark, monkeypatch, box, top):
     assert np.allclose([got[f] for f in "abc"], want, rtol=1e-9, atol=1e-12)
 
 
+def test_relieff_of_some_anchors(spark):
+    df, rows = points(spark, 300)
+    x = np.array([r[2:] for r in rows])
+    scaled = [(*r[:2], *v) for r, v in zip(rows, (x - x.min(0)) / (x.max(0) - x.min(0)))]
+    share = {c: np.mean([r[1] == c for r in rows]) for c in (0, 1)}
+    some = [r for r in scaled if r[0] % 3 == 0]
+    want = np.zeros(3)
+    for r in some:
+        for c in (0, 1):
+            weight = -1.0 if r[1] == c else share[c] / (1 - share[r[1]])
+            want += weight * np.sum([d for _, _, d in near(scaled, r, 5, 1, c)], axis=0) / (5 * len(some))
+    out = rank_relieff(df, ["a", "b", "c"], "label", "row_id", anchors=F.col("row_id") % 3 == 0, k=5)
+    assert np.allclose([{r.feature: r.score for r in out.collect()}[f] for f in "abc"], want, rtol=1e-9, atol=1e-12)
+
+
 def test_every_minority_row_gets_synthetic_rows(spark):
     df = spark.range(4000).selectExpr("id", "cast(id % 97 as double) AS a", "cast(id as double) AS b", "cast(id % 3 = 0 as int) AS y")
     minority = df.where("y = 1").count()
