@@ -24,6 +24,8 @@ from .common import LOWER, UPPER, table
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 FOLD = str.maketrans(UPPER, LOWER)
+#: Typographic quotes: parts of words in phrases, which are the contract's, but not in templates.
+QUOTES = "\u2018\u2019\u201c\u201d"
 
 #: Fixed by the contract: phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -232,6 +234,9 @@ class Scanner:
                     places += [(i, label) for i, w in enumerate(words) if w == p[0] and words[i : i + len(p)] == p]
             places.sort()
         spans = []
+        if text and any(q in text for q in QUOTES):
+            words = [w.strip(QUOTES) for w in words]
+            have = set(words)
         if any(have >= k for k in self.keys):
             starts = {w: [x for x in self.starts[w] if have >= x[1].words] for w in have & self.starts.keys()}
             for i, w in enumerate(words):

@@ -115,6 +115,16 @@ def test_two_and_three_clauses_are_told_apart():
     assert [[s[2] for s in scanner.scan(texts[k][0])[2]] for k in ("bsd-2-clause", "bsd-3-clause")] == [["bsd-2-clause"], ["bsd-3-clause"]]
 
 
+def test_typographic_quotes_do_not_hide_a_licence():
+    from sievecraft.llm import license_scan as ls
+
+    text = re.sub(r'"([^"]*)"', "\u201c\\1\u201d", licence_texts()["mit"][0])
+    assert "\u201c" in text and '"' not in text
+    n, places, spans = ls.Scanner({"software to": "x"}, ls.LICENCES).scan("\u201c" + text + "\u201d the \u201csoftware to\u201d")
+    assert [s[2] for s in spans] == ["mit"] and places == []
+    assert n == len(ls.WORD.findall(("\u201c" + text + "\u201d the \u201csoftware to\u201d").translate(ls.FOLD)))
+
+
 def test_start_words_over_and_over():
     from sievecraft.llm import license_scan as ls
 
