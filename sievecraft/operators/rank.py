@@ -6,7 +6,6 @@ Sums per class are one aggregate over the rows with one expression per feature.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
