@@ -162,3 +162,26 @@ def test_cuts_have_no_level_limit(spark, monkeypatch):
 
 def test_permutation_importance_is_a_mean_of_five():
     assert inspect.signature(rank_permutation_importance).parameters["repeats"].default == 5
+
+
+def test_relieff_searches_equal_rows_once(spark, monkeypatch):
+    """Forty copies of each row: as many queries as there are rows of a class with different features, and the brute-force result."""
+    few, _ = points(spark, 60)
+    df = few.crossJoin(spark.range(40).withColumnRenamed("id", "copy")).selectExpr("row_id + 1000 * copy AS row_id", "label", "a", "b", "c").cache()
+    rows = [tuple(r) for r in df.collect()]
+    x = np.array([r[2:] for r in rows])
+    x = (x - x.min(0)) / (x.max(0) - x.min(0))
+    y, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    want = np.zeros(3)
+    for i in range(len(rows)):
+        diff = np.abs(x - x[i])
+        dist = diff[:, 0] + diff[:, 1] + diff[:, 2]
+        for c in (0, 1):
+            near = [j for j in np.lexsort((ids, dist)) if y[j] == c and j != i][:5]
+            weight = -1.0 if y[i] == c else np.mean(y == c) / (1 - np.mean(y == y[i]))
+            want += weight * diff[near].sum(axis=0) / (5 * len(rows))
+    asked, search = [], neighbours.each_box
+    monkeypatch.setattr(neighbours, "each_box", lambda queries, *more: asked.append(queries.count()) or search(queries, *more))
+    got = {r.feature: r.score for r in rank_relieff(df, ["a", "b", "c"], "label", "row_id", k=5).collect()}
+    assert asked == [few.select("label", "a", "b", "c").distinct().count()] * 2
+    assert np.allclose([got[f] for f in "abc"], want, rtol=1e-9, atol=1e-12)
