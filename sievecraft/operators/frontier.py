@@ -2,7 +2,7 @@
 
 A round takes the best open nodes of the frontier, expands them, keeps forms that are new by their prints, scores these in
 chunks of bounded columns and appends them. Children of one node stand in one chunk, so that Spark computes what
-they share once. The driver holds a chunk's expressions and the scores of a round, never the frontier.
+they share once. Rows with equal features and label are one row with their number. The driver holds a chunk's expressions and the scores of a round, never the frontier.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, discard
+from ..scratch import ROWS, counted, cut, discard
 from . import forms as fm
 from .mask_models import BLOCK, array_sums, places
 
@@ -29,10 +29,10 @@ def classes(df: DataFrame, label: str) -> list:
 def mutual_informations(df: DataFrame, exprs: list[str], label: str, labels: list, bins: int = 10) -> list[float]:
     """Mutual information in bits of the label and each expression's equal-width bins; missing and infinite values are a bin of their own.
 
-    Two passes over the rows: ranges, then counts per bin and class, added up in tasks.
+    Two passes over the rows: ranges, then counts per bin and class, added up in tasks. ``df`` may be what ``counted`` makes.
     """
     cols = [f"c{i}" for i in range(len(exprs))]
-    table = df.select(F.col(label).alias("__y"), *[F.expr(e).cast("double").alias(c) for c, e in zip(cols, exprs)])
+    table = df.select(F.col(label).alias("__y"), (F.col(ROWS) if ROWS in df.columns else F.lit(1)).alias("__w"), *[F.expr(e).cast("double").alias(c) for c, e in zip(cols, exprs)])
 
     def finite(b: pd.DataFrame) -> np.ndarray:
         x = b[cols].to_numpy(dtype=float)
@@ -53,16 +53,16 @@ def mutual_informations(df: DataFrame, exprs: list[str], label: str, labels: lis
     k, m = len(labels), bins + 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
-        out = np.zeros((len(cols), m * (k + 1)), dtype=np.int64)
+        out = np.zeros((len(cols), m * (k + 1)))
         for b in batches:
             for at in range(0, len(b), BLOCK):
                 part = b.iloc[at : at + BLOCK]
-                x = finite(part)
+                x, n = finite(part), part["__w"].to_numpy(dtype=float)
                 missing = np.isnan(x)
                 bin_of = np.where(missing, bins, np.clip(np.floor((np.where(missing, low, x) - low) / width), 0, bins - 1)).astype(np.int64)
                 cell = bin_of * (k + 1) + places(labels, part["__y"])[:, None]
                 for i in range(len(cols)):
-                    out[i] += np.bincount(cell[:, i], minlength=m * (k + 1))
+                    out[i] += np.bincount(cell[:, i], n, m * (k + 1))
         return {0: out.reshape(-1)}
 
     got = array_sums(table, partial)
@@ -97,7 +97,8 @@ def expand(df: DataFrame, features: list[str], label: str, unary: dict[str, str]
     how: best takes open nodes by score, depth the latest first, harmonic by the harmonic mean of score and simplicity. A
     node is expanded by all unary operators and by all binary ones with every raw feature.
     """
-    spark, labels = df.sparkSession, classes(df, label)
+    spark, df = df.sparkSession, counted(df.select(*[f"`{f}`" for f in features], f"`{label}`"))
+    labels = classes(df, label)
     names = [f.split()[0] for f in fm.SCHEMA.split(", ")]
     keep = [*names, "score", "step"]
     save = lambda forms, step: cut(score_forms(df, forms, label, bins, labels=labels).withColumn("step", F.lit(step)).select(*keep), "frontier")
@@ -122,4 +123,5 @@ def expand(df: DataFrame, features: list[str], label: str, unary: dict[str, str]
         if not new.isEmpty():
             parts.append(save(new, step))
         discard(new)
+    discard(df)
     return read(parts).select("key", "op", "complexity", "score", "step")

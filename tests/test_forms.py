@@ -153,3 +153,17 @@ def test_chunks_and_ends(table, monkeypatch):
     assert all(abs(a[k] - whole[k]) < 1e-12 for k in NAMES)
     # nothing is left to expand after the raw features
     assert fr.expand(table, NAMES, "label", {}, {}, "best", 5, 2).count() == 3
+
+
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    """Copies of rows change no score, and are one row of what the rounds read."""
+    few = spark.range(200).selectExpr("cast(id % 23 as double) AS a", "cast(id * id % 31 as double) AS b", "cast(id % 23 + id * id % 31 > 25 as int) AS label")
+    many = few.crossJoin(spark.range(12).withColumnRenamed("id", "copy")).drop("copy")
+    read, scored = [], fr.mutual_informations
+    monkeypatch.setattr(fr, "mutual_informations", lambda df, *more: read.append(df.count()) or scored(df, *more))
+    ops = ({"log": "ln({0})"}, {"sum": "({0} + {1})", "divide": "try_divide({0}, {1})"})
+    rows = lambda df: {r.key: (r.step, round(r.score, 9)) for r in fr.expand(df, ["a", "b"], "label", *ops, "best", 2, 2).collect()}
+    got = rows(many)
+    assert set(read) == {few.distinct().count()} and got == rows(few)
+    raw = scored(many, ["`a`", "`b`"], "label", [0, 1])
+    assert np.allclose([got["a"][1], got["b"][1]], raw, atol=1e-8)
