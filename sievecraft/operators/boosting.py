@@ -2,7 +2,7 @@
 
 A tree grows level by level. Each level is one job: tasks route their rows by the trees so far and add up gradients and
 Hessians per (node, feature, code); of two children only the smaller is added up, the other is the parent
-minus it. The driver sees histograms, never rows. Margins of finished trees are written beside the rows every
+minus it. Where every tree sees all rows, rows with equal codes and class are one row with their number. The driver sees histograms, never rows. Margins of finished trees are written beside the rows every
 few trees, so a pass routes rows through few of them.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, discard
+from ..scratch import ROWS, counted, cut, discard
 from .evaluate import count_predictions
 from .mask_models import BLOCK, Bins, Node, array_sums, members
 
@@ -65,7 +65,7 @@ class Boosted:
         return sum((t.margins(codes, self.bins.missing) for t in self.trees), np.zeros(len(rows)))
 
     def confusion(self, df: DataFrame, features: list[str], label: str, group: str, mask: int, setting: int = 0) -> DataFrame:
-        return count_predictions(df, features, label, group, self.labels, [(mask, setting)], lambda part: (self.margins(part) > 0).astype(np.int8)[:, None])
+        return count_predictions(counted(df.select(*features, label, group)), features, label, group, self.labels, [(mask, setting)], lambda part: (self.margins(part) > 0).astype(np.int8)[:, None])
 
     def score(self, df: DataFrame, out: str = "probability") -> DataFrame:
         """``df`` with the probability of the larger label."""
@@ -122,10 +122,10 @@ def fit_boosting(train: DataFrame, features: list[str], label: str, settings: Bo
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield pd.DataFrame({"id": b["__id"], "codes": [r.tobytes() for r in bins.codes(b)], "y": (b[label].to_numpy() == labels[1]).astype(np.int32), "margin": 0.0})
+                yield pd.DataFrame({"id": b["__id"] if s.rows < 1 else 0, "codes": [r.tobytes() for r in bins.codes(b)], "y": (b[label].to_numpy() == labels[1]).astype(np.int32), "margin": 0.0})
 
     name = F.xxhash64(row_id) if row_id else F.xxhash64(*features, label)
-    coded = cut(train.where(F.col(label).isNotNull()).select(*features, label, name.alias("__id")).mapInPandas(code, "id long, codes binary, y int, margin double"), "boosting")
+    coded = counted(train.where(F.col(label).isNotNull()).select(*features, label, name.alias("__id")).mapInPandas(code, "id long, codes binary, y int, margin double"), "boosting")
     done, fresh = [], []
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
@@ -144,7 +144,8 @@ def fit_boosting(train: DataFrame, features: list[str], label: str, settings: Bo
                     seen = _spread(part["id"].to_numpy(), s.seed * 100_003 + k) < s.rows
                     part, codes, margin = part[seen], codes[seen], margin[seen]
                 p = 1 / (1 + np.exp(-margin))
-                g, h = p - part["y"].to_numpy(), p * (1 - p)
+                n = part[ROWS].to_numpy(dtype=float)
+                g, h = n * (p - part["y"].to_numpy()), n * p * (1 - p)
                 flat = np.arange(nf)[None] * size + codes
                 for n, rows in members(nodes, wanted, codes, missing).items():
                     if len(rows):
