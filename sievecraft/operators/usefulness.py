@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import cut, discard
+from ..scratch import ROWS, counted, cut, discard
 from .mask_models import array_sums
 
 #: What is known of a column and target without trying a transformation.
@@ -24,10 +24,10 @@ META = ["mean", "std", "skew", "kurtosis", "lowest", "highest", "zeros", "negati
 def _correlations(df: DataFrame, values: list[Column], targets: list[str]) -> np.ndarray:
     """Absolute correlation of each value with each target (values x targets), 0 where either is constant; missing and infinite values are left out.
 
-    One pass: the sums of all pairs are products of matrices in the tasks.
+    One pass: the sums of all pairs are products of matrices in the tasks. ``df`` may be what ``counted`` makes.
     """
     finite = [F.when(F.abs(v) < F.lit(float("inf")), v).alias(f"v{i}") for i, v in enumerate(values)]
-    table = df.select(*finite, *[F.col(t).cast("double").alias(f"t{j}") for j, t in enumerate(targets)])
+    table = df.select((F.col(ROWS) if ROWS in df.columns else F.lit(1)).alias("w"), *finite, *[F.col(t).cast("double").alias(f"t{j}") for j, t in enumerate(targets)])
     vs, ts = [f"v{i}" for i in range(len(values))], [f"t{j}" for j in range(len(targets))]
 
     def partial(batches: Iterator[pd.DataFrame]) -> dict[int, np.ndarray]:
@@ -36,7 +36,9 @@ def _correlations(df: DataFrame, values: list[Column], targets: list[str]) -> np
             x, y = b[vs].to_numpy(dtype=float), b[ts].to_numpy(dtype=float)
             m, k = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
             x, y = np.nan_to_num(x), np.nan_to_num(y)
-            out += np.stack([m.T @ k, x.T @ k, (x * x).T @ k, m.T @ y, m.T @ (y * y), x.T @ y])
+            w = b["w"].to_numpy(dtype=float)[:, None]
+            k, wy = k * w, y * w
+            out += np.stack([m.T @ k, x.T @ k, (x * x).T @ k, m.T @ wy, m.T @ (y * wy), x.T @ wy])
         return {0: out.reshape(-1)}
 
     got = array_sums(table, partial)
@@ -69,8 +71,12 @@ def gains(df: DataFrame, columns: list[str], targets: list[str], ops: dict[str,
 
 
 def examples(df: DataFrame, columns: list[str], targets: list[str], ops: dict[str, str], least: float = 1e-6) -> DataFrame:
-    """(column, target, op, META, useful): whether an operator's gain is above ``least``."""
-    return metafeatures(df, columns, targets).join(gains(df, columns, targets, ops), ["column", "target"]).withColumn("useful", (F.col("gain") > least).cast("int"))
+    """(column, target, op, META, useful): whether an operator's gain is above ``least``.
+
+    Gains are taken of different rows with their number, and metafeatures, which are aggregates, of the table.
+    """
+    few = counted(df.select(*[f"`{c}`" for c in dict.fromkeys([*columns, *targets])]))
+    return metafeatures(df, columns, targets).join(gains(few, columns, targets, ops), ["column", "target"]).withColumn("useful", (F.col("gain") > least).cast("int"))
 
 
 def active_rounds(pool: DataFrame, held: DataFrame, ops: list[str], rounds: int = 5, batch: int = 10, first: int = 20, seed: int = 7, label: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
