@@ -215,3 +215,43 @@ def test_fronts_and_crowding():
     assert search.fronts(points) == [[0, 1, 4], [2], [3], [5]]
     far = search.crowding([(0.0, 4.0), (1.0, 3.0), (4.0, 0.0)])
     assert far[0] == far[2] == math.inf and math.isclose(far[1], 2.0)
+
+
+def test_profile_counts_distinct_values_a_column_at_a_time(spark):
+    """No copy of every row per column: the plan of a profile has no Expand."""
+    from sievecraft.operators import profile
+
+    df = spark.range(60).selectExpr("id", "if(id % 3 = 0, null, cast(id % 7 as double)) AS a", "cast(id % 5 as string) AS b")
+    out = profile.profile(df)
+    assert {r.col: (r.n, r.missing, r.n_distinct) for r in out.collect()} == {"id": (60, 0, 60), "a": (60, 20, 7), "b": (60, 0, 5)}
+    assert "Expand" not in out._jdf.queryExecution().toString()
+
+
+def test_vectors_of_frequent_words_are_broadcast(spark, monkeypatch):
+    """Whichever way vectors are joined, means are those of all tokens; frequent words never meet a shuffle."""
+    from pyspark.sql import functions as F
+
+    from sievecraft.functions import text
+
+    df = spark.range(300).selectExpr("id", "array('common', 'common', concat('w', id % 250)) AS words")
+    vectors = spark.range(260).selectExpr("if(id = 259, 'common', concat('w', id)) AS word", "array(cast(id as double), 1D, 5D) AS v")
+    want = {i: (259.0 * 2 + i % 250) / 3 for i in range(300)}
+    for most in (500_000, 10):
+        monkeypatch.setattr(text, "BROADCAST_TERMS", most)
+        out = text.average_vectors(df, "id", F.col("words"), vectors, "word", "v", 1)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.v0 for r in out.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_shadows_of_a_repeat_come_in_one_order(spark):
+    """A row's values stay together, each is dealt once, and the order is that of the ids' hashes."""
+    from pyspark.sql import functions as F
+
+    from sievecraft.operators import rank
+
+    df = spark.range(500).selectExpr("id", "id * 3 AS a", "id * 5 AS b")
+    rows = rank.permuted(rank.hash_places(df, "id"), ["a", "b"], "id", 11).collect()
+    by = lambda *seed: [r.id for r in df.orderBy(F.xxhash64("id", *seed), "id").collect()]
+    want = dict(zip(by(), by(F.lit(11))))
+    assert len(rows) == 500 and all(r.shadow_a == 3 * want[r.id] and r.shadow_b == 5 * want[r.id] for r in rows)
