@@ -50,12 +50,9 @@ def select_boruta(s, d):
     """Features whose forest importance beats the best hash-shuffled shadow in most of three runs."""
     names = ["o_totalprice", "o_custkey", "day"]
     df = read(s, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", F.dayofyear("o_orderdate").alias("day"), (C("o_totalprice") > 250000).cast("int").alias("label"))
-    hits = dict.fromkeys(names, 0)
+    hits, places = dict.fromkeys(names, 0), cut(rk.hash_places(df, "o_orderkey"), "places")
     for run in range(3):
-        shadow = df
-        for f in names:
-            shadow = shadow.join(rk.permuted(df, f, "o_orderkey", 11 + run).withColumnRenamed(f, f"shadow_{f}"), "o_orderkey")
-        shadow = cut(shadow, "shadow")
+        shadow = cut(rk.permuted(places, names, "o_orderkey", 11 + run), "shadow")
         scores = {r.feature: r.score for r in rk.rank_model_importance(shadow, [*names, *[f"shadow_{f}" for f in names]], "label", seed=run).collect()}
         best = max(v for f, v in scores.items() if f.startswith("shadow_"))
         for f in names:
