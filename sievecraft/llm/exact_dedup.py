@@ -1,8 +1,9 @@
 """Exact dedup by skew-safe combining.
 
-Copies are combined three times, each time comparing the full content beside its digest: inside every map
-task (partial aggregation), then per salt of a digest, then over the salts' winners. A hot text is thus at
-most one row per task in the first shuffle and one row per salt in the second.
+Digests are counted first, so that only texts whose digest occurs again travel. These are combined three times,
+each time comparing the full content beside its digest: inside every map task (partial aggregation), then per salt
+of a digest, then over the salts' winners. A hot text is thus at most one row per task in the first shuffle and one
+row per salt in the second.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .common import table
 
+#: Up to so many digests that occur again (some tens of MB as longs) are broadcast to choose their rows.
+BROADCAST_DIGESTS = 1_000_000
+
 
 def winners(docs: DataFrame, content: Column, digest: Column, id_col: str = "doc_id", salts: int = 16, keep: str = "max") -> DataFrame:
     """(digest, content, keep_id, n): one row per distinct content, with its largest (or smallest) id and number of rows."""
@@ -22,6 +26,19 @@ def winners(docs: DataFrame, content: Column, digest: Column, id_col: str = "doc
     return salted.groupBy("digest", "content").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
 
+def repeated_rows(docs: DataFrame, digest: Column) -> DataFrame:
+    """The rows whose digest occurs again, and a few others where hashes of digests are equal.
+
+    All rows, where more than half of them are such or their digests are too many to broadcast.
+    """
+    again = cut(docs.groupBy(digest.alias("digest")).agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    size = again.agg(F.count("*").alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if size.digests > BROADCAST_DIGESTS or 2 * size.rows > docs.count():
+        return docs
+    chosen = again.select(F.xxhash64("digest").alias("__hash")).distinct()
+    return docs.withColumn("__hash", F.xxhash64(digest)).join(F.broadcast(chosen), "__hash", "left_semi").drop("__hash")
+
+
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", salts: int = 16, digest=None, hot_share: int = 1024, keep: str = "max") -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256 added (clashing columns replaced).
 
@@ -35,7 +52,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     content = F.coalesce(F.col(text_col), F.lit(""))
     digest = digest or (lambda c: F.unhex(F.sha2(c, 256)))
-    found = cut(winners(docs, content, digest(content), id_col, salts, keep).select("digest", F.col("keep_id"), "n", F.sha2("content", 256).alias("sha")), "winners")
+    found = cut(winners(repeated_rows(docs.select(id_col, text_col), digest(content)), content, digest(content), id_col, salts, keep).select("digest", "keep_id", "n"), "winners")
     total = docs.count()
     per = found.groupBy("digest").agg(F.count("*").alias("contents"), F.max("keep_id").alias("keep_id"), F.max("n").alias("n"))
     several = per.where("contents > 1").select("digest")

@@ -36,8 +36,9 @@ SHINGLE, LEAST = 4, 0.85
 FREQUENT = 8
 #: Sizes are rounded up to powers of this ratio to fix the number of classes of a combination index.
 LADDER = 1.5
-#: Token classes whose sizes are a set's sketch: the sketches of linked sets can't differ by more than the sets.
-CLASSES = 128
+#: Token classes whose sizes are a set's sketch: the sketches of linked sets can't differ by more than the sets. With few
+#: classes differing tokens cancel out, and sets of some hundred tokens that are far from linked stay plausible.
+CLASSES = 512
 #: Up to so many classes, empty ones are keys too.
 ALL_EMPTY = 64
 #: Rows of a star or block that meet in one task, and tokens of a block's side.
