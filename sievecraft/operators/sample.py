@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Memory of the vectors that a fit keeps of one partition, as objects; each takes VECTOR_BYTES beside its components.
+PART_BYTES = 64_000_000
+VECTOR_BYTES = 72
+
 
 def hash_order(id_col: str, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
@@ -82,6 +88,25 @@ def round_robin(df: DataFrame, cluster: str, id_col: str) -> DataFrame:
     return ranked.withColumnRenamed("__rank", "turn").withColumnRenamed("__o", "place").drop("__n")
 
 
+def fit_even(df: DataFrame, features: list[str], fit: Callable[[DataFrame], object], width: int | None = None) -> object:
+    """fit(features of df), for fits that keep their partitions as vectors (of this width): none takes much more than PART_BYTES.
+
+    A file split holds as many rows as its compression lets it. If one is too large, rows are dealt once by their place,
+    whatever their values, and keep the table's order, by which a fit draws.
+    """
+    rows = df.select(*features)
+    most = max(1, PART_BYTES // (8 * (width or len(features)) + VECTOR_BYTES))
+    largest, count = rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if not count or largest <= most:
+        return fit(rows)
+    placed = rows.withColumn("__row", F.monotonically_increasing_id())
+    even = placed.repartition(-(-count // most), "__row").sortWithinPartitions("__row").persist()
+    try:
+        return fit(even)
+    finally:
+        even.unpersist()
+
+
 def cluster_rows(df: DataFrame, features: list[str], k: int, seed: int = 42) -> DataFrame:
     """df with the KMeans cluster of its standardised features."""
     from pyspark.ml.clustering import KMeans
@@ -89,10 +114,12 @@ def cluster_rows(df: DataFrame, features: list[str], k: int, seed: int = 42) ->
 
     from .rank import assembled
 
-    data = assembled(df.withColumn("__zero", F.lit(0)), features, "__zero")
-    data = StandardScaler(inputCol="features", outputCol="scaled").fit(data).transform(data)
-    model = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster", maxIter=10).fit(data)
-    return model.transform(data).drop("features", "scaled", "__zero", "__y")
+    vectors = lambda rows: assembled(rows.withColumn("__zero", F.lit(0)), features, "__zero")
+    data = vectors(df)
+    scaler = StandardScaler(inputCol="features", outputCol="scaled").fit(data)
+    kmeans = KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster", maxIter=10)
+    model = fit_even(df, features, lambda rows: kmeans.fit(scaler.transform(vectors(rows))), scaler.std.size)
+    return model.transform(scaler.transform(data)).drop("features", "scaled", "__zero", "__y")
 
 
 def oversample_minority(df: DataFrame, features: list[str], label: str, id_col: str, minority: int, neighbours: int = 5, rows: int | None = None) -> DataFrame:

@@ -65,10 +65,11 @@ def cluster_transform(s, d):
     """KMeans label of one column and the distances to all centres."""
     from pyspark.ml.clustering import KMeans
 
-    data = rk.assembled(read(s, d, "customer").withColumn("__zero", F.lit(0)), ["c_acctbal"], "__zero")
-    model = KMeans(k=10, seed=42, maxIter=10).fit(data)
+    df = read(s, d, "customer")
+    vectors = lambda rows: rk.assembled(rows.withColumn("__zero", F.lit(0)), ["c_acctbal"], "__zero")
+    model = sm.fit_even(df, ["c_acctbal"], lambda rows: KMeans(k=10, seed=42, maxIter=10).fit(vectors(rows)))
     centres = [float(c[0]) for c in model.clusterCenters()]
-    return model.transform(data).select("c_custkey", C("prediction").alias("cluster"), *[F.abs(C("c_acctbal") - F.lit(c)).alias(f"d{i}") for i, c in enumerate(centres)])
+    return model.transform(vectors(df)).select("c_custkey", C("prediction").alias("cluster"), *[F.abs(C("c_acctbal") - F.lit(c)).alias(f"d{i}") for i, c in enumerate(centres)])
 
 
 def _traversal(how):
