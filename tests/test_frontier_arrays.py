@@ -44,3 +44,13 @@ def test_other_types_and_operators_stay_with_spark(table):
     assert fr.array_steps([made("ln({0})", "whole")], known, table) is None
     assert fr.array_steps([made("abs({0})", "c")], known, table) is None
     assert fr.array_steps([made("ln({0})", "unknown")], known, table) is None
+
+
+def test_logarithms_are_those_of_spark_to_the_last_bit(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.uniform(0, 2, 20000), np.exp(rng.uniform(-700, 700, 20000)), 1 + rng.uniform(-1e-5, 1e-5, 5000), np.arange(1, 3000) / 100, 2.0 ** np.arange(-1074, 1024), np.sqrt(0.5) + np.arange(-50, 50) * 2.0**-53]
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("x", "ln(x) AS y").toPandas()
+    assert (fr.ln(rows["x"].to_numpy()) == rows["y"].to_numpy()).all()
+    with np.errstate(all="ignore"):
+        rest = fr.ln(np.array([0.0, -0.0, -1.0, np.nan, -np.inf, np.inf]))
+    assert np.isnan(rest[:5]).all() and rest[5] == np.inf
